@@ -14,4 +14,4 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-from tallywatt.catalog import telemetry_queries  # noqa: E402,F401
+from tallywatt.catalog import run_queries, telemetry_queries  # noqa: E402,F401

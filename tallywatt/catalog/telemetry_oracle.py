@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallywatt.catalog.rounding import rounded_sql
 from tallywatt.schema import CATEGORY_COLUMNS, DERIVED_COLUMNS, NUMERIC_COLUMNS, PROFILE_KEYS, TELEMETRY_COLUMNS
 
 SQL: dict[str, str] = {}
@@ -103,10 +104,10 @@ cast_{name} AS (SELECT {rest}, {numeric} FROM {source}),
 def profile_select(source: str, cols: list[str], digits: int) -> str:
     parts = []
     for c in cols:
-        parts += [f"count({c}) AS {c}_count", f"round(avg(CAST({c} AS DOUBLE)), {digits}) AS {c}_mean",
-                  f"round(stddev_samp(CAST({c} AS DOUBLE)), {digits}) AS {c}_std",
-                  f"round(CAST(min({c}) AS DOUBLE), {digits}) AS {c}_min",
-                  f"round(CAST(max({c}) AS DOUBLE), {digits}) AS {c}_max"]
+        parts.append(f"count({c}) AS {c}_count")
+        parts += [f"{rounded_sql(e, digits)} AS {c}_{name}" for name, e in (
+            ("mean", f"avg(CAST({c} AS DOUBLE))"), ("std", f"stddev_samp(CAST({c} AS DOUBLE))"),
+            ("min", f"CAST(min({c}) AS DOUBLE)"), ("max", f"CAST(max({c}) AS DOUBLE)"))]
     return f"SELECT {', '.join(PROFILE_KEYS)}, {', '.join(parts)} FROM {source} GROUP BY ALL"
 
 
@@ -120,8 +121,8 @@ SQL["profile_constants_dropped"] = (
     f"WITH {TELEMETRY}, {derived('DOUBLE', 'telemetry')} "
     + profile_select("derived", [c for c in ALL if c != "swap_used_mb"], 6))
 SQL["profile_merge"] = f"WITH {TELEMETRY}, {derived('DOUBLE', 'telemetry')} " + " UNION ALL ".join(
-    f"SELECT {', '.join(PROFILE_KEYS)}, '{c}' AS \"column\", count({c}) AS \"count\", round(avg({c}), 6) AS \"mean\", "
-    f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS \"min\", round(max({c}), 6) AS \"max\" "
+    f"SELECT {', '.join(PROFILE_KEYS)}, '{c}' AS \"column\", count({c}) AS \"count\", {rounded_sql(f'avg({c})')} AS \"mean\", "
+    f"{rounded_sql(f'stddev_samp({c})')} AS std, {rounded_sql(f'min({c})')} AS \"min\", {rounded_sql(f'max({c})')} AS \"max\" "
     f"FROM derived GROUP BY ALL" for c in ALL)
 
 _checked = [c for c in TELEMETRY_COLUMNS if c not in (
@@ -139,9 +140,9 @@ SQL["cast_dirty"] = f"""WITH {TELEMETRY}, dirty AS (SELECT sample_index,
 SELECT sample_index, nullif(TRY_CAST(process_count AS DOUBLE), 'NaN'::DOUBLE) AS process_count,
   TRY_CAST(cpu_percent AS DOUBLE) AS cpu_percent, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp" FROM dirty"""
 SQL["derive_features"] = f"WITH {TELEMETRY}, {derived('DOUBLE', 'telemetry')} SELECT sample_index, " + ", ".join(
-    f'round("{c}", 6) AS "{c}"' for c in DERIVED_COLUMNS) + " FROM derived"
+    f'{rounded_sql(c)} AS "{c}"' for c in DERIVED_COLUMNS) + " FROM derived"
 SQL["derive_features_float32"] = f"WITH {TELEMETRY}, {derived('FLOAT', 'telemetry')} SELECT sample_index, " + ", ".join(
-    f'round(CAST("{c}" AS DOUBLE), 4) AS "{c}"' for c in DERIVED_COLUMNS) + " FROM derived"
+    f'{rounded_sql(f"CAST({c} AS DOUBLE)", 4)} AS "{c}"' for c in DERIVED_COLUMNS) + " FROM derived"
 SQL["state_bins"] = f"""WITH {TELEMETRY} SELECT sample_index, cpu_state, ram_state, disk_activity, swap_state,
   process_load_tier, net_activity, freq_tier, temp_state, time_period, weekday_type FROM telemetry"""
 

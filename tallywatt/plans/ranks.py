@@ -15,8 +15,10 @@ from tallywatt.plans.segments import SEGMENT, add_segments, cut_points
 
 
 def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """From (keys, segment, value, n): add ``__before`` (rows with a smaller
-    value) and ``__total`` (all rows of the key)."""
+    """From (keys, segment, value, n, ...): add ``__before`` (rows with a
+    smaller value), ``__tied`` (rows with this value) and ``__total`` (all
+    rows of the key). A value may be spread over several input rows.
+    """
     sizes = counts.groupBy(*keys, SEGMENT).agg(F.sum("n").alias("__size"))
     order = W.partitionBy(*keys).orderBy(SEGMENT)
     # one row per key and segment
@@ -26,30 +28,46 @@ def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("__size").over(W.partitionBy(*keys)).alias("__total"),
         F.lit(True).alias("__seed"),
     )
-    rows = counts.withColumns({"__total": F.lit(None).cast("bigint"), "__seed": F.lit(False)})
+    rows = counts.withColumn("__seed", F.lit(False))
     both = rows.unionByName(offsets, allowMissingColumns=True)
-    inside = W.partitionBy(*keys, SEGMENT).orderBy(F.col("__seed").desc(), "value")
-    seen = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.first("__total").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    segment = W.partitionBy(*keys, SEGMENT)
+    upto = segment.orderBy(F.col("__seed").desc(), F.col("value")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = F.sum("n").over(W.partitionBy(*keys, SEGMENT, "__seed", "value"))
     return (
-        both.withColumns({"__before": seen - F.col("n"), "__all": total})
+        both.withColumn("__tied", tied)
+        .withColumns({"__before": F.sum("n").over(upto) - F.col("__tied"), "__total": F.max("__total").over(upto)})
         .filter(~F.col("__seed"))
-        .drop("__total", "__seed")
-        .withColumnRenamed("__all", "__total")
+        .drop("__seed")
     )
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Counts of (keys, value, payload) with the value's segment. The cut
+    points come from all values together: a (key, segment) group holds at most
+    one share of all rows.
+    """
+    clean = df.filter("value is not null and not isnan(value)")
+    cuts = cut_points(clean, ["value"], parts)
+    counts = clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n"))
+    return add_segments(counts, cuts, {"value": SEGMENT})
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """(keys, value, payload, n, avg_rank, total) from rows with ``value``."""
+    ranked = _ranked_counts(value_counts(df, keys, payload, parts), keys)
+    return ranked.select(*keys, "value", *payload, "n",
+                         (F.col("__before") + (F.col("__tied") + 1) / 2).alias("avg_rank"),
+                         F.col("__total").alias("total"))
+
+
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """(keys, value, n, min_rank, avg_rank, total) of every distinct value.
 
     ``avg_rank`` is the mean of the positions the tied rows share. Null and
     NaN values have no rank.
     """
-    clean = df.select(*keys, F.col(col).cast("double").alias("value")).filter("value is not null and not isnan(value)")
-    cuts = cut_points(clean, ["value"], parts)
-    counts = add_segments(
-        clean.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), cuts, {"value": SEGMENT})
-    ranked = _ranked_counts(counts, keys)
+    values = df.select(*keys, F.col(col).cast("double").alias("value"))
+    ranked = _ranked_counts(value_counts(values, keys, parts=parts), keys)
     return ranked.select(
         *keys, "value", "n",
         (F.col("__before") + 1).alias("min_rank"),

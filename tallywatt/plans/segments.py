@@ -58,21 +58,26 @@ def segmented(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
 
 def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[str, str] = {},
                  low: Mapping[str, str] = {}, high: Mapping[str, str] = {}, index: str | None = None,
-                 parts: int | None = None) -> DataFrame:
-    """Add per-key history columns of the rows ordered by ``order``.
+                 parts: int | None = None, segment: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Add per-key history columns of the rows ordered by ``order``, then by
+    the columns in ``ties``.
 
     ``last`` maps a column to the name of its previous value (null for the
     first row), ``low``/``high`` map a column to the name of its running
     minimum/maximum including the current row, ``index`` names a row number
     that counts from 0.
 
+    ``segment`` replaces the measured cut points where the caller knows an
+    even cut of the order column (a uniform hash).
+
     Every segment starts from a seed row that carries the state of the earlier
     segments; the seeds are unioned in, so the rows shuffle once and null keys
     need no join.
     """
-    rows = segmented(df, order, parts)
+    rows = segmented(df, order, parts) if segment is None else df.withColumn(SEGMENT, segment)
+    newest = F.struct(order, *ties) if ties else F.col(order)
     state = rows.groupBy(*keys, SEGMENT).agg(
-        *[F.max_by(c, order).alias(f"__last_{c}") for c in last],
+        *[F.max_by(c, newest).alias(f"__last_{c}") for c in last],
         *[F.min(c).alias(f"__low_{c}") for c in low],
         *[F.max(c).alias(f"__high_{c}") for c in high],
         F.count(F.lit(1)).alias("__n"),
@@ -96,7 +101,7 @@ def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[s
         "__seed": F.lit(False),
     })
     both = rows.unionByName(seeds, allowMissingColumns=True)
-    ordered = W.partitionBy(*keys, SEGMENT).orderBy(F.col("__seed").desc(), order)
+    ordered = W.partitionBy(*keys, SEGMENT).orderBy(F.col("__seed").desc(), order, *ties)
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     added = {
         **{name: F.lag(f"__last_{c}").over(ordered) for c, name in last.items()},
