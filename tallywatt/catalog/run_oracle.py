@@ -201,7 +201,7 @@ def _describe(source: str) -> str:
 SQL["describe_runs"] = f"WITH {LOG} {_describe('ok')}"
 SQL["describe_design"] = f"WITH {DESIGN} {_describe('design')}"
 _short = [("energy", "energy_j"), ("runtime", "runtime_s"), ("memory", "peak_rss_mb")]
-T9 = "2.2621571627409915::DOUBLE"  # t quantile at 0.975 for n = 10
+T9 = "2.2621571627982036::DOUBLE"  # t quantile at 0.975 for n = 10
 SQL["config_summary"] = f"""WITH {DESIGN}, g AS (SELECT config_id, {F5}, count(*) AS n, avg(energy_j) AS e, """ + ", ".join(
     f"{r(f'avg({c})')} AS {s}_mean, {r(f'median({c})')} AS {s}_median, {r(f'stddev_samp({c})')} AS {s}_sd" for s, c in _short) + f""",
   {r('min(energy_j)')} AS energy_min, {r('max(energy_j)')} AS energy_max,

@@ -57,14 +57,16 @@ def row_index(df: DataFrame, keys: Sequence[str], order: str, offset: int = 0, n
     return rows.withColumn(name, F.col(name) + F.lit(offset))
 
 
-def telemetry_columns(deltas: dict[str, Column], low: Column, high: Column, index: Column) -> list[Column]:
+def telemetry_columns(deltas: dict[str, Column], low: Column, high: Column, index: Column,
+                      temp: Column | None = None, core: Column | None = None) -> list[Column]:
     """The 24 columns of one sample, given its history.
 
     cpu and ram states use the unrounded reading; the others the stored one.
     The same expressions serve batch and stream.
     """
     freq = F.round("cpu_freq_mhz", 2)
-    temp = S.cpu_temp(F.col("sensors"))
+    temp = S.cpu_temp(F.col("sensors")) if temp is None else temp
+    core = S.busiest_core(F.col("per_core")) if core is None else core
     swap = F.round(F.col("swap_used") / 1e6, 2)
     read, write, sent, recv = (deltas[name] for name, _, _ in COUNTERS)
     columns = {
@@ -80,7 +82,7 @@ def telemetry_columns(deltas: dict[str, Column], low: Column, high: Column, inde
         "net_recv_kb": recv,
         "swap_used_mb": swap,
         "process_count": F.col("process_count"),
-        "core_id": S.busiest_core(F.col("per_core")),
+        "core_id": core,
         "cpu_state": S.cpu_state(F.col("cpu_percent")),
         "ram_state": S.ram_state(F.col("mem_percent")),
         "disk_activity": S.disk_activity(read, write),
