@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatt.functions import dist
 from tallywatt.functions.values import eta_label
-from tallywatt.plans.small import checked_small
+from tallywatt.plans.small import checked_small, small_copy
 from tallywatt.schema import FACTORS
 
 MAX_CELLS = 4096
@@ -182,27 +182,32 @@ def absorbed(design: Design, base: DataFrame, by: Sequence[str]) -> DataFrame:
     is free; a state's size depends on the number of cells only.
     """
     by = list(by)
-    base = checked_small(base)
-    total = base.count()
-    tasks = max(1, -(-total // ROWS_PER_TASK))
-    centre = checked_small(base.groupBy(*by).agg(F.avg("mean").alias("shift")))
-    rows = base.join(centre, by).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("bigint"))
+    base, size = small_copy(base)
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     head = ", ".join(f"{c} {kinds[c]}" for c in by)
     absorb = _absorb(design.cells)
+    if size is None:
+        size = base.count()
+    tasks = max(1, -(-size // ROWS_PER_TASK))
+
+    def keys(pdf: pd.DataFrame) -> dict:
+        return {c: pdf[c].iloc[0] for c in [*by, "task", "shift"]}
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        return absorb(pdf, {**{c: pdf[c].iloc[0] for c in by}, "task": pdf["task"].iloc[0], "shift": pdf["shift"].iloc[0]})
+    if tasks == 1:
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.assign(task=0, shift=np.average(pdf["mean"], weights=pdf["n"]))
+            return absorb(pdf, keys(pdf))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "task": pdf["task"].iloc[0],
-                              "shift": pdf["shift"].iloc[0], **_added(pdf)}])
+        return base.groupBy(*by).applyInPandas(whole, f"{head}, task bigint, shift double, {STATE}")
 
-    schema = f"{head}, task bigint, shift double, {STATE}"
-    state = rows.groupBy(*by, "task").applyInPandas(first, schema)
+    centre = checked_small(base.groupBy(*by).agg(F.avg("mean").alias("shift")))
+    rows = base.join(centre, by).withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("bigint"))
+    state = rows.groupBy(*by, "task").applyInPandas(
+        lambda pdf: absorb(pdf, keys(pdf)), f"{head}, task bigint, shift double, {STATE}")
     while tasks > 1:
         tasks = -(-tasks // MERGE_WIDTH)
-        state = state.withColumn("task", F.pmod(F.col("task"), F.lit(tasks))).groupBy(*by, "task").applyInPandas(merge, schema)
+        state = state.withColumn("task", F.pmod(F.col("task"), F.lit(tasks))).groupBy(*by, "task").applyInPandas(
+            lambda pdf: pd.DataFrame([{**keys(pdf), **_added(pdf)}]), f"{head}, task bigint, shift double, {STATE}")
     return state
 
 

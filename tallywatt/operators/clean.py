@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
-from tallywatt.plans.small import checked_small
+from tallywatt.plans.small import MAX_BROADCAST_ROWS, checked_small, small_copy
 from tallywatt.schema import CATEGORY_COLUMNS, NUMERIC_COLUMNS, PROTECTED_COLUMNS, TELEMETRY_COLUMNS
 
 log = logging.getLogger(__name__)
@@ -58,6 +58,30 @@ def dedup(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     return df.dropDuplicates(list(keys)) if keys else df.dropDuplicates()
 
 
+def dedup_stored(df: DataFrame, max_repeated: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Distinct rows of a stored table with few repeats, without shuffling
+    the rows.
+
+    One pass counts row hashes: eight bytes per row are shuffled instead of
+    all columns. A row whose hash occurs once has no copy and stays where it
+    is; only the rows behind a repeated hash are compared in full, so hash
+    collisions do no harm. With more than ``max_repeated`` repeated hashes
+    this is the plain distinct. The table is scanned up to three times, which
+    pays off when scanning is cheaper than shuffling it.
+    """
+    key = F.xxhash64(*df.columns)
+    counts = df.select(key.alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
+    repeated, size = small_copy(counts.filter("__n > 1").select("__hash"), max_repeated)
+    if size is None:
+        return df.dropDuplicates()
+    if size == 0:
+        return df
+    hashed, repeated = df.withColumn("__hash", key), F.broadcast(repeated)
+    alone = hashed.join(repeated, "__hash", "left_anti").drop("__hash")
+    copies = hashed.join(repeated, "__hash", "left_semi").drop("__hash")
+    return alone.select(*df.columns).unionByName(copies.select(*df.columns).dropDuplicates())
+
+
 def constant_report(df: DataFrame, protected: Iterable[str] = PROTECTED_COLUMNS) -> DataFrame:
     """(column, is_constant) of every unprotected column in one pass.
 
@@ -89,16 +113,16 @@ def constant_columns(df: DataFrame, protected: Iterable[str] = PROTECTED_COLUMNS
     cols = [c for c in df.columns if c not in set(protected)]
     if not cols:
         return []
-    left = _constant_names(df.select(*cols).limit(probe))
-    if not left:
-        return []
-    return _constant_names(df.select(*left))
+    seen = df.select(*cols).limit(probe).collect()
+    left = [c for i, c in enumerate(cols) if all(_same(r[i], seen[0][i]) for r in seen)]
+    if not left or len(seen) < probe:
+        return left
+    found = constant_report(df.select(*left), protected=()).filter("is_constant").collect()
+    return [r["column"] for r in found]
 
 
-def _constant_names(df: DataFrame) -> list[str]:
-    # one row per column: the size is the column count
-    found = constant_report(df, protected=()).filter("is_constant").collect()
-    return [r["column"] for r in found]
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)
 
 
 def drop_constant(df: DataFrame, protected: Iterable[str] = PROTECTED_COLUMNS) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywatt.operators.clean import select_configs
-from tallywatt.plans.ranks import value_ranks
+from tallywatt.plans.ranks import values_at
 from tallywatt.plans.segments import with_history
 from tallywatt.schema import FACTORS, PUBLISHED_LEVELS
 from tallywatt.session import shuffle_partitions
@@ -87,21 +87,20 @@ def latest_state(log: DataFrame, keys: Sequence[str] = ("block", "config_id"), o
 def _smallest(df: DataFrame, key: str, n: int, ties: Sequence[str]) -> DataFrame:
     """The n rows with the smallest key; ties fall by the ``ties`` columns.
 
-    A small n is a top-n. For a large n the n-th key is found by the
-    segmented ranking and the rows below it are a plain filter, so no task
-    sorts or holds n rows.
+    A small n is a top-n. For a large n the n-th key is looked up by counting
+    value ranges, and the rows below it are a plain filter: no task sorts or
+    holds n rows.
     """
     if n <= MAX_TOP_ROWS:
         return df.orderBy(key, *ties).limit(n)
-    ranks = value_ranks(df, key)
-    edge = ranks.filter((F.col("min_rank") <= n) & (F.col("min_rank") + F.col("n") > n)).first()
+    edge = values_at(df, [key], [], {"last": lambda total: F.lit(n - 1)}).first()
     if edge is None:
         return df
     number = F.col(key).cast("double")
     below = df.filter(number < edge["value"])
-    left = n - (edge["min_rank"] - 1)
+    left = n - edge["below"]
     at_edge = df.filter(number == edge["value"])
-    return below.unionByName(at_edge if left == edge["n"] else at_edge.orderBy(key, *ties).limit(left))
+    return below.unionByName(at_edge if left == edge["same"] else at_edge.orderBy(key, *ties).limit(left))
 
 
 def _check_rows(n: int) -> None:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywatt.operators.clean import constant_columns, dedup
+from tallywatt.operators.clean import constant_columns, dedup_stored
 from tallywatt.operators.features import derive
 from tallywatt.plans.small import checked_small
 from tallywatt.schema import DERIVED_COLUMNS, NUMERIC_COLUMNS, PROFILE_KEYS, PROTECTED_COLUMNS
@@ -40,10 +40,14 @@ def profile(df: DataFrame, keys: Sequence[str] = PROFILE_KEYS, cols: Sequence[st
 
 
 def telemetry_profile(telemetry: DataFrame, dtype: str = "double", keys: Sequence[str] = PROFILE_KEYS,
-                      distinct_rows: bool = True) -> DataFrame:
-    """The whole workload: distinct rows, drop constants, derive, profile."""
+                      distinct: Callable[[DataFrame], DataFrame] | None = dedup_stored) -> DataFrame:
+    """The whole workload: distinct rows, drop constants, derive, profile.
+
+    ``distinct`` removes repeated rows: ``dedup_stored`` for tables with few
+    repeats, ``dedup`` otherwise, None where rows are known to be unique.
+    """
     gone = constant_columns(telemetry, PROTECTED_COLUMNS)
-    rows = dedup(telemetry) if distinct_rows else telemetry
+    rows = distinct(telemetry) if distinct else telemetry
     return profile(derive(rows.drop(*gone), dtype), keys)
 
 

@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
-def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A broadcast-hinted local copy of ``df`` when it has at most
-    ``max_rows`` rows, else ``df`` itself (and the join shuffles).
+def small_copy(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
+    """A local copy of ``df`` and its row count when it has at most
+    ``max_rows`` rows, else ``df`` itself and None.
 
     The limit bounds what reaches the driver; an aggregate feeding a small
-    table is computed once here rather than once per join.
+    table is computed once here rather than once per use.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        return df, None
+    return df.sparkSession.createDataFrame(rows, df.schema), len(rows)
+
+
+def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast join side if its checked size allows it, else
+    unchanged (and the join shuffles)."""
+    copy, size = small_copy(df, max_rows)
+    return df if size is None else F.broadcast(copy)

@@ -31,7 +31,19 @@ def local_session(app: str = "tallywatt", cpus: int | str = 8, memory: str = "8g
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+# The profile's aggregation state is 122 columns wide; above this setting's
+# default of 100 Spark interprets such an aggregate instead of compiling it.
+CODEGEN_FIELDS = "spark.sql.codegen.maxFields"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Raise the compiled-width limit of a running session, never lower it."""
+    if int(spark.conf.get(CODEGEN_FIELDS, "100")) < 256:
+        spark.conf.set(CODEGEN_FIELDS, "256")
+    return spark
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
