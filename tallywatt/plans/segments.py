@@ -31,12 +31,12 @@ def order_number(df: DataFrame, col: str) -> Column:
 def cut_points(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Approximate quantiles of each column: one pruned scan, small sketches."""
     parts = parts or 4 * shuffle_partitions(df.sparkSession)
-    numbers = df.select(*[order_number(df, c).alias(c) for c in cols])
     probs = [i / parts for i in range(1, parts)]
     if not probs:
         return {c: [] for c in cols}
-    found = numbers.approxQuantile(list(cols), probs, 1.0 / (4 * parts))
-    return {c: sorted(set(points)) for c, points in zip(cols, found)}
+    numbers = [F.nanvl(order_number(df, c), F.lit(None)) for c in cols]
+    found = df.agg(*[F.percentile_approx(x, probs, 4 * parts) for x in numbers]).first()
+    return {c: sorted(set(points or [])) for c, points in zip(cols, found)}
 
 
 def add_segments(df: DataFrame, cuts: Mapping[str, Sequence[float]], names: Mapping[str, str]) -> DataFrame:

@@ -77,17 +77,39 @@ def test_ranks_spread_over_payloads(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
-def test_exact_quantiles(spark, n):
+@pytest.mark.parametrize("parts", [None, 8])
+def test_exact_quantiles(spark, n, parts):
     rng = np.random.default_rng(n)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, n), "a": rng.normal(size=n), "b": np.round(rng.exponential(size=n), 1)})
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = K.exact_quantiles(spark.createDataFrame(pdf), ["a", "b"], probs, ["g"], parts=8).collect()
+    got = K.exact_quantiles(spark.createDataFrame(pdf), ["a", "b"], probs, ["g"], parts=parts).collect()
     assert len(got) == pdf["g"].nunique() * 2 * len(probs)
     for r in got:
         want = np.quantile(pdf.loc[pdf["g"] == r["g"], r["column"]], r["prob"])
         assert abs(r["quantile"] - want) < 1e-12
 
 
-def test_quantiles_skip_null_and_nan(spark):
+@pytest.mark.parametrize("parts", [None, 4])
+def test_quantiles_skip_null_and_nan(spark, parts):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "a double")
-    assert K.exact_quantiles(df, ["a"], [0.5]).first()["quantile"] == 2.0
+    assert K.exact_quantiles(df, ["a"], [0.5], parts=parts).first()["quantile"] == 2.0
+    assert K.exact_quantiles(df.filter("a is null"), ["a"], [0.5], parts=parts).count() == 0
+
+
+def test_larger_tables_leave_the_builtin_percentile(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("a"))
+    want = sorted(map(tuple, K.medians(df, ["a"], ["g"]).collect()))
+    monkeypatch.setattr(K, "BUILTIN_ROWS", 100)
+    assert sorted(map(tuple, K.medians(df, ["a"], ["g"]).collect())) == want
+
+
+def test_distinct_by_hash(spark, monkeypatch):
+    from tallywatt.operators import clean
+
+    once = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    hot = once.unionByName(spark.range(500).select(F.lit(7).cast("bigint").alias("id"), F.lit(7).cast("bigint").alias("v")))
+    want = sorted(map(str, hot.distinct().collect()))
+    assert sorted(map(str, clean.dedup_stored(hot).collect())) == want
+    assert clean.dedup_stored(once) is once
+    many = once.unionByName(once)
+    assert sorted(map(str, clean.dedup_stored(many, max_repeated=10).collect())) == sorted(map(str, once.collect()))
