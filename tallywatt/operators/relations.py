@@ -12,7 +12,8 @@ from tallywatt.functions.dist_columns import t_two_sided
 from tallywatt.operators.summary import config_means
 from tallywatt.plans.ranks import null_safe, value_ranks
 from tallywatt.plans.segments import add_segments, cut_points
-from tallywatt.session import shuffle_partitions
+from tallywatt.plans.small import small_copy
+from tallywatt.session import checkpointed, shuffle_partitions
 
 
 def _paired(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -84,13 +85,14 @@ def _skyline(points: np.ndarray) -> np.ndarray:
 
 
 def _skyline_batches(cols: list[str]):
-    """Drop what a task's own rows already dominate, batch by batch."""
+    """The front of a task's own distinct points, batch by batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         front = None
         for batch in batches:
             pool = batch if front is None else pd.concat([front, batch], ignore_index=True)
+            pool = pool.drop_duplicates()
             front = pool[_skyline(pool[cols].to_numpy())]
-            if len(front) > 200_000:  # too many to pay off: pass them on
+            if len(front) > LOCAL_FRONT:  # too long to pay off: pass it on
                 yield front
                 front = None
         if front is not None:
@@ -98,6 +100,26 @@ def _skyline_batches(cols: list[str]):
     return run
 
 
+def _beaten_by_pivot(points: DataFrame, cols: Sequence[str]) -> Column | None:
+    """Condition of the rows dominated by one well-placed point of the table:
+    the one with the smallest sum of range-scaled objectives."""
+    ends = points.agg(*[f(c) for c in cols for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return None
+    scaled = F.lit(0.0)
+    for i, c in enumerate(cols):
+        lo, hi = ends[2 * i], ends[2 * i + 1]
+        if hi > lo:
+            scaled = scaled + (F.col(c) - lo) / (hi - lo)
+    pivot = points.agg(F.min_by(F.struct(*cols), scaled)).first()[0]
+    worse, strictly = F.lit(True), F.lit(False)
+    for c in cols:
+        worse = worse & (F.col(c) >= pivot[c])
+        strictly = strictly | (F.col(c) > pivot[c])
+    return worse & strictly
+
+
+LOCAL_FRONT = 200_000
 MAX_GRID = 256  # ranges per objective: the grid table has MAX_GRID^(d-1) rows
 
 
@@ -119,11 +141,16 @@ def pareto_front(df: DataFrame, cols: Sequence[str], parts: int | None = None) -
     for extra in clean[1:]:
         keep = keep & extra
     points = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).filter(keep)
-    # only the lowest last objective of equal leading values can survive
+    beaten = _beaten_by_pivot(points, cols)
+    if beaten is not None:
+        points = points.filter(~beaten)
     lead, last = cols[:-1], cols[-1]
-    points = points.groupBy(*lead).agg(F.min(last).alias(last))
     schema = ", ".join(f"{c} double" for c in cols)
-    points = points.mapInPandas(_skyline_batches(cols), schema)
+    points = points.mapInPandas(_skyline_batches(cols), schema).distinct()
+    # read several times below: kept as a checked local copy or a checkpoint
+    points, size = small_copy(points)
+    if size is None:
+        points = checkpointed(points)
 
     grid = parts or max(4, min(MAX_GRID, shuffle_partitions(df.sparkSession)))
     names = {c: f"__g{i}" for i, c in enumerate(lead)}

@@ -16,9 +16,8 @@ from tallywatt.plans.small import checked_small
 
 
 def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """From (keys, segment, value, n, ...): add ``__before`` (rows with a
-    smaller value), ``__tied`` (rows with this value) and ``__total`` (all
-    rows of the key). A value may be spread over several input rows.
+    """From (keys, segment, value, n), one row per value: add ``__before``
+    (rows with a smaller value) and ``__total`` (all rows of the key).
     """
     sizes = counts.groupBy(*keys, SEGMENT).agg(F.sum("n").alias("__size"))
     order = W.partitionBy(*keys).orderBy(SEGMENT)
@@ -31,50 +30,52 @@ def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     rows = counts.withColumn("__seed", F.lit(False))
     both = rows.unionByName(offsets, allowMissingColumns=True)
-    segment = W.partitionBy(*keys, SEGMENT)
-    upto = segment.orderBy(F.col("__seed").desc(), F.col("value")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    tied = F.sum("n").over(W.partitionBy(*keys, SEGMENT, "__seed", "value"))
+    upto = W.partitionBy(*keys, SEGMENT).orderBy(F.col("__seed").desc(), F.col("value")).rowsBetween(
+        W.unboundedPreceding, W.currentRow)
     return (
-        both.withColumn("__tied", tied)
-        .withColumns({"__before": F.sum("n").over(upto) - F.col("__tied"), "__total": F.max("__total").over(upto)})
+        both.withColumns({"__before": F.sum("n").over(upto) - F.col("n"), "__total": F.max("__total").over(upto)})
         .filter(~F.col("__seed"))
         .drop("__seed")
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), parts: int | None = None) -> DataFrame:
-    """Counts of (keys, value, payload) with the value's segment. The cut
-    points come from all values together: a (key, segment) group holds at most
-    one share of all rows.
-    """
-    clean = df.filter("value is not null and not isnan(value)")
-    cuts = cut_points(clean, ["value"], parts)
-    counts = clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n"))
-    return add_segments(counts, cuts, {"value": SEGMENT})
+def _numbers(df: DataFrame) -> DataFrame:
+    return df.filter("value is not null and not isnan(value)")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), parts: int | None = None) -> DataFrame:
-    """(keys, value, payload, n, avg_rank, total) from rows with ``value``."""
-    ranked = _ranked_counts(value_counts(df, keys, payload, parts), keys)
-    return ranked.select(*keys, "value", *payload, "n",
-                         (F.col("__before") + (F.col("__tied") + 1) / 2).alias("avg_rank"),
-                         F.col("__total").alias("total"))
+def _ranks(counts: DataFrame, keys: Sequence[str], cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    ranked = _ranked_counts(add_segments(counts, cuts, {"value": SEGMENT}), keys)
+    return ranked.select(
+        *keys, "value", "n",
+        (F.col("__before") + 1).alias("min_rank"),
+        (F.col("__before") + (F.col("n") + 1) / 2).alias("avg_rank"),
+        F.col("__total").alias("total"),
+    )
 
 
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """(keys, value, n, min_rank, avg_rank, total) of every distinct value.
 
     ``avg_rank`` is the mean of the positions the tied rows share. Null and
-    NaN values have no rank.
+    NaN values have no rank. The cut points come from all keys together, so a
+    (key, segment) group holds at most one share of all rows.
     """
-    values = df.select(*keys, F.col(col).cast("double").alias("value"))
-    ranked = _ranked_counts(value_counts(values, keys, parts=parts), keys)
-    return ranked.select(
-        *keys, "value", "n",
-        (F.col("__before") + 1).alias("min_rank"),
-        (F.col("__before") + (F.col("n") + 1) / 2).alias("avg_rank"),
-        F.col("__total").alias("total"),
-    )
+    clean = _numbers(df.select(*keys, F.col(col).cast("double").alias("value")))
+    counts = clean.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    return _ranks(counts, keys, cut_points(clean, ["value"], parts))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str], parts: int | None = None) -> DataFrame:
+    """(keys, value, payload, n, avg_rank, total) from rows with ``value``.
+
+    Ranks are found per value and looked up by the counted rows, so a value
+    shared by many payloads never fills one window; AQE splits its join.
+    """
+    clean = _numbers(df)
+    counts = clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n"))
+    values = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    ranks = _ranks(values, keys, cut_points(clean, ["value"], parts)).select(*keys, "value", "avg_rank", "total")
+    return counts.join(ranks, [*keys, "value"])
 
 
 def stacked(df: DataFrame, keys: Sequence[str], cols: Sequence[str], extra: Mapping[str, Sequence[str]] = {}) -> DataFrame:

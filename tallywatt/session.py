@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,6 +48,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stateful(spark: SparkSession) -> SparkSession:
+    """Stateful Python processors need the RocksDB state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -67,3 +74,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a reused intermediate through the shared folder, so
+    that a lost executor costs a re-read and not a recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
