@@ -93,8 +93,8 @@ SELECT (SELECT count(*) FROM telemetry) AS first_rows, (SELECT count(*) FROM rep
 def _json(cols: dict[str, bool]) -> str:
     parts = []
     for c in sorted(cols):
-        text = f"CAST(CAST(round({c}, 7) AS DECIMAL(38,7)) AS VARCHAR)" if cols[c] else f"CAST(\"{c}\" AS VARCHAR)"
-        parts.append(f"'\"{c}\":' || coalesce('\"' || {text} || '\"', 'null')")
+        text = f"CAST(round_even({c} * 1e7, 0) / 1e7 AS VARCHAR)" if cols[c] else f"'\"' || CAST(\"{c}\" AS VARCHAR) || '\"'"
+        parts.append(f"'\"{c}\":' || coalesce({text}, 'null')")
     return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 

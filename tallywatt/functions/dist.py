@@ -6,7 +6,6 @@ Used on result tables of a few rows, and for normal scores (vectorised).
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
@@ -59,7 +58,6 @@ def t_two_sided(t: float | None, df: float) -> float | None:
     return beta_regularized(df / 2.0, 0.5, df / (df + t * t))
 
 
-@lru_cache(maxsize=10_000)
 def t_quantile(p: float, df: float) -> float | None:
     """t with P(T <= t) = p, by bisection on the tail."""
     if df is None or not df > 0:

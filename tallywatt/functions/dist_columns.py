@@ -20,7 +20,8 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([dist.t_quantile(a, b) for a, b in zip(p, df)], dtype="float64")
+    known = {pair: dist.t_quantile(*pair) for pair in set(zip(p, df))}
+    return pd.Series([known[pair] for pair in zip(p, df)], dtype="float64")
 
 
 def t_quantile(p: float, df: Column) -> Column:

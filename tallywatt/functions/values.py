@@ -17,19 +17,21 @@ def finite(value: Column) -> Column:
     return F.when(~bad, value)
 
 
-def canonical_text(field: T.StructField) -> Column:
-    """One cell as text that does not depend on the engine's float printing."""
+def canonical(field: T.StructField) -> Column:
+    """One cell for hashing: floats rounded to the seventh decimal, NaN and
+    infinities null (x - x is NaN for both), other types as text."""
     value = F.col(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.round(finite(value.cast("double")), FLOAT_DIGITS).cast(f"decimal(38,{FLOAT_DIGITS})").cast("string")
+        x = value.cast("double")
+        unit = F.lit(10.0 ** FLOAT_DIGITS)
+        return F.nanvl(F.rint(x * unit) / unit + (x - x), F.lit(None))
     return value.cast("string")
 
 
 def row_json(df: DataFrame) -> Column:
     """Compact JSON of a row, columns in name order, nulls kept."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    return F.to_json(F.struct(*[canonical_text(f).alias(f.name) for f in fields]),
-                     {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[canonical(f).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
 
 
 def row_sha256(df: DataFrame) -> Column:

@@ -103,9 +103,14 @@ def build_telemetry(samples: DataFrame, keys: Sequence[str] = SESSION, order: st
     """Telemetry rows (keys first), all history from one segmented pass.
 
     The row index runs per session key here; ``offset`` continues a table.
+    Sensor maps and load arrays become scalars before the rows are shuffled.
     """
     before = {counter: f"__prev_{counter}" for _, counter, _ in COUNTERS}
-    rows = with_history(samples, keys, order, last=before, low={"cpu_freq_mhz": "__low"},
+    flat = samples.select(*dict.fromkeys([
+        *keys, order, "ts", "cpu_percent", "cpu_freq_mhz", "mem_used", "mem_percent", "swap_used",
+        *before, "process_count"]), S.cpu_temp(F.col("sensors")).alias("__temp"),
+        S.busiest_core(F.col("per_core")).alias("__core"))
+    rows = with_history(flat, keys, order, last=before, low={"cpu_freq_mhz": "__low"},
                         high={"cpu_freq_mhz": "__high"}, index="__index", parts=parts)
     deltas = {
         name: scaled_delta(F.col(counter), F.col(before[counter]), unit, on_reset)
@@ -113,7 +118,7 @@ def build_telemetry(samples: DataFrame, keys: Sequence[str] = SESSION, order: st
     }
     index = F.col("__index") + F.lit(offset)
     low, high = F.round("__low", 2), F.round("__high", 2)
-    return rows.select(*keys, *telemetry_columns(deltas, low, high, index))
+    return rows.select(*keys, *telemetry_columns(deltas, low, high, index, F.col("__temp"), F.col("__core")))
 
 
 def session_log(samples: DataFrame, keys: Sequence[str] = SESSION, stored_rows: int = 0) -> DataFrame:
