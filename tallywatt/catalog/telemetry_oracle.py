@@ -230,3 +230,4 @@ SQL["distinct_counts"] = f"""WITH {TELEMETRY}, changed AS (SELECT *, CASE WHEN s
 SQL["profile_csv_copy"] = SQL["profile_float64"]
 SQL["stream_build_telemetry"] = SQL["build_telemetry"]
 SQL["stream_dedup_features"] = SQL["derive_features"]
+SQL["stream_hot_sessions"] = SQL["build_telemetry"]

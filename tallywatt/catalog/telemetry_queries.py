@@ -15,7 +15,7 @@ from tallywatt.schema import DERIVED_COLUMNS, PROFILE_KEYS
 from tallywatt.session import checkpoint_dir, stateful
 from tallywatt.sources import adapters as A, sinks
 from tallywatt.sources.tables import events, read_telemetry
-from tallywatt.streaming import telemetry_stream as streams
+from tallywatt.streaming import hot_sessions, telemetry_stream as streams
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -214,3 +214,14 @@ def stream_dedup_features(spark, sf_dir):
     once = streams.stream_dedup(A.with_repeats(A.telemetry_from_events(stream)), ["sample_index"], "timestamp", "60 days")
     streams.append_stream(streams.stream_features(once), f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").select("sample_index", *DERIVED_COLUMNS))
+
+
+@query
+def stream_hot_sessions(spark, sf_dir):
+    """The micro-batch form of ``build_telemetry`` for dominant sessions."""
+    folder = run_folder(spark)
+    source = events(spark, sf_dir)
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    hot_sessions.build_stream(A.raw_samples_from_events(stream), f"{folder}/out", f"{folder}/state",
+                              f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").drop("late", "batch"))

@@ -58,7 +58,8 @@ def segmented(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
 
 def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[str, str] = {},
                  low: Mapping[str, str] = {}, high: Mapping[str, str] = {}, index: str | None = None,
-                 parts: int | None = None, segment: Column | None = None, ties: Sequence[str] = ()) -> DataFrame:
+                 parts: int | None = None, segment: Column | None = None, ties: Sequence[str] = (),
+                 initial: DataFrame | None = None) -> DataFrame:
     """Add per-key history columns of the rows ordered by ``order``, then by
     the columns in ``ties``.
 
@@ -70,6 +71,8 @@ def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[s
     ``segment`` replaces the measured cut points where the caller knows an
     even cut of the order column (a uniform hash).
 
+    ``initial`` is the state of earlier rows (see ``history_state``).
+
     Every segment starts from a seed row that carries the state of the earlier
     segments; the seeds are unioned in, so the rows shuffle once and null keys
     need no join.
@@ -82,7 +85,10 @@ def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[s
         *[F.max(c).alias(f"__high_{c}") for c in high],
         F.count(F.lit(1)).alias("__n"),
     )
-    # one row per key and segment: at most `parts` + 1 rows per key
+    if initial is not None:
+        before_all = initial.select(*[c for c in state.columns if c != SEGMENT]).withColumn(SEGMENT, F.lit(-1.0))
+        state = state.unionByName(before_all)
+    # one row per key and segment: at most `parts` + 2 rows per key
     earlier = W.partitionBy(*keys).orderBy(SEGMENT)
     before = earlier.rowsBetween(W.unboundedPreceding, -1)
     seeds = state.select(
@@ -112,3 +118,24 @@ def with_history(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[s
         added[index] = F.sum("__n").over(upto) - 1
     out = both.withColumns(added).filter(~F.col("__seed"))
     return out.select(*df.columns, *added)
+
+
+def history_state(df: DataFrame, keys: Sequence[str], order: str, last: Sequence[str] = (), low: Sequence[str] = (),
+                  high: Sequence[str] = (), initial: DataFrame | None = None, late: bool = False) -> DataFrame:
+    """One row per key: what rows after these need from them and from the
+    earlier ``initial`` state. ``late`` rows count for ranges and numbers but
+    leave the last readings alone.
+    """
+    at = F.lit(None).cast("double") if late else order_number(df, order)
+    now = df.withColumn("__at", at).groupBy(*keys).agg(
+        *[F.max_by(c, "__at").alias(f"__last_{c}") for c in last],
+        *[F.min(c).alias(f"__low_{c}") for c in low],
+        *[F.max(c).alias(f"__high_{c}") for c in high],
+        F.count(F.lit(1)).alias("__n"), F.max("__at").alias("__at"))
+    if initial is None:
+        return now
+    return now.unionByName(initial).groupBy(*keys).agg(
+        *[F.max_by(f"__last_{c}", "__at").alias(f"__last_{c}") for c in last],
+        *[F.min(f"__low_{c}").alias(f"__low_{c}") for c in low],
+        *[F.max(f"__high_{c}").alias(f"__high_{c}") for c in high],
+        F.sum("__n").alias("__n"), F.max("__at").alias("__at"))

@@ -63,3 +63,35 @@ def test_stream_dedup_and_features(spark, folder, sf_dir):
     got = spark.read.parquet(f"{folder}/out")
     assert got.count() == telemetry.count() == got.select("sample_index").distinct().count()
     assert "disk_rw_balance" in got.columns
+
+
+def test_hot_sessions_equal_batch_in_order(spark, folder, sf_dir):
+    from tallywatt.streaming.hot_sessions import build_stream
+
+    samples = A.raw_samples_from_events(events(spark, sf_dir)).withColumn(
+        "host", F.when(F.col("event_id") % 3 > 0, F.lit("hot")).when(F.col("event_id") % 5 > 0, F.col("host")))
+    store_in_order(samples, f"{folder}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for _ in range(2):  # a second start finds nothing new
+        build_stream(stream, f"{folder}/out", f"{folder}/state", f"{folder}/cp", available_now=True).awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.filter("late").count() == 0
+    cols = ["host", "session_id", *TELEMETRY_COLUMNS]
+    assert as_rows(got, cols) == as_rows(build_telemetry(samples), cols)
+
+
+def test_hot_sessions_late_rows(spark, sf_dir):
+    from tallywatt.streaming.hot_sessions import build_batch
+
+    samples = A.raw_samples_from_events(events(spark, sf_dir)).withColumn("host", F.lit("one"))
+    first, state = build_batch(samples.filter("event_id between 300 and 600"), None)
+    assert first.count() == 301
+    second, after = build_batch(samples.filter("event_id < 300 or event_id > 600"), state)
+    late = second.filter("late")
+    assert late.count() == 300 and late.agg(F.max("disk_read_mb")).first()[0] == 0.0
+    both = first.unionByName(second)
+    assert both.count() == samples.count() == after.first()["__n"]
+    assert sorted(r[0] for r in both.select("sample_index").collect()) == list(range(samples.count()))
+    whole = build_telemetry(samples.filter("event_id >= 300"))
+    cols = [c for c in TELEMETRY_COLUMNS]
+    assert as_rows(both.filter("not late"), cols) == as_rows(whole, cols)
