@@ -6,7 +6,7 @@ from itertools import combinations
 
 from tallywatt.catalog.rounding import rounded_sql
 from tallywatt.catalog.telemetry_oracle import ALL, TELEMETRY, derived
-from tallywatt.schema import FACTORS, OUTCOMES, PROFILE_KEYS, TELEMETRY_COLUMNS
+from tallywatt.schema import FACTORS, NUMERIC_COLUMNS, OUTCOMES, PROFILE_KEYS, TELEMETRY_COLUMNS
 
 SQL: dict[str, str] = {}
 
@@ -118,6 +118,8 @@ def _wide(source: str, name: str) -> str:
     return f"{name} AS (SELECT {', '.join(PROFILE_KEYS)}, {cols} FROM {source} GROUP BY ALL)"
 
 
+_float = [c for c in TELEMETRY_COLUMNS if c in NUMERIC_COLUMNS and c != "process_count"]
+SQL["fingerprint_groups"] = _fingerprint({c: c in _float for c in TELEMETRY_COLUMNS}, "core_id")
 SQL["equal_within"] = f"""WITH {TELEMETRY}, {derived('DOUBLE', 'telemetry', 'd64')}, {derived('FLOAT', 'telemetry', 'd32')},
 {_wide('d64', 'p64')}, {_wide('d32', 'p32')},
 both_sides AS (SELECT {', '.join(f'a.{c}_{s} AS a_{c}_{s}, b.{c}_{s} AS b_{c}_{s}' for c in ALL for s, _ in _stats)}
@@ -294,20 +296,40 @@ terms AS (
     sum(d * d / v) - pow(sum(d / v), 2) / sum(1e0 / v) AS ss FROM signed GROUP BY {lead}sub)"""
 
 
+# a run table whose energy_j is another outcome
+def _as_energy(outcome: str) -> str:
+    return DESIGN.replace("design AS (", "design0 AS (").rstrip() + (
+        f", design AS (SELECT * REPLACE ({outcome} AS energy_j) FROM design0)")
+
+
 CELLS = f"cells AS (SELECT {F5}, count(*) AS n, avg(energy_j) AS m, var_pop(energy_j) * count(*) AS ss FROM {{source}} GROUP BY ALL)"
 RES = """fitted_rows AS (SELECT *, avg(energy_j) OVER (PARTITION BY config_id) + avg(energy_j) OVER (PARTITION BY block)
     - avg(energy_j) OVER () AS fit FROM design),
 rss AS (SELECT sum(pow(energy_j - fit, 2)) AS rss, count(*) - 47 - count(DISTINCT block) AS rdf, var_pop(energy_j) * count(*) AS tss FROM fitted_rows),
 blocks AS (SELECT 'block' AS term, CAST(count(*) - 1 AS DOUBLE) AS df, sum(48 * pow(bm - g, 2)) AS ss FROM
   (SELECT block, avg(energy_j) AS bm, (SELECT avg(energy_j) FROM design) AS g FROM design GROUP BY block))"""
-_balanced = f"WITH {DESIGN}, {CELLS.format(source='design')}, {_terms('cells')}, {RES}, every AS (SELECT * FROM terms UNION ALL SELECT * FROM blocks)"
+def _type3(design: str = DESIGN) -> str:
+    return f"WITH {design}, {CELLS.format(source='design')}, {_terms('cells')}, {RES}, every AS (SELECT * FROM terms UNION ALL SELECT * FROM blocks)"
+
+
+_balanced = _type3()
 _effect = f"term, df, {r('(ss / df) / (rss / rdf)')} AS f, {r('ss / (ss + rss)')} AS partial_eta2"
 SQL["type3_anova"] = f"{_balanced} SELECT {_effect} FROM every, rss"
+SQL["type3_anova_outcomes"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_type3(_as_energy(c))} SELECT '{c}' AS outcome, {_effect} FROM every, rss)" for c in OUTCOMES)
 SQL["partial_eta2_ranked"] = f"""{_balanced}, eta AS (SELECT term, ss / (ss + rss) AS e FROM every, rss)
 SELECT term, {r('e')} AS partial_eta2, CASE WHEN e >= 0.14 THEN 'large' WHEN e >= 0.06 THEN 'medium' WHEN e >= 0.01 THEN 'small'
   ELSE 'very small' END AS eta2_interpretation FROM eta"""
 SQL["model_fit"] = f"""WITH {DESIGN}, {RES} SELECT 480e0 AS n, CAST(rdf AS DOUBLE) AS df_resid, {r('1 - rss / tss')} AS r_squared,
   {r('sqrt(rss / rdf)')} AS rmse FROM rss"""
+SQL["interpretation"] = f"""{_balanced}, g AS (SELECT config_id, avg(energy_j) AS e, {T9} * stddev_samp(energy_j) / sqrt(count(*)) AS h,
+  avg(runtime_s) AS t, avg(peak_rss_mb) AS m FROM design GROUP BY ALL), best AS (SELECT * FROM g ORDER BY e, config_id LIMIT 1),
+eta AS (SELECT term, ss / (ss + rss) AS e FROM every, rss), top AS (SELECT * FROM eta ORDER BY e DESC, term LIMIT 10)
+""" + " UNION ALL ".join(
+    f"SELECT 'best configuration' AS kind, '{n}' AS name, {r(x)} AS \"value\", config_id AS label FROM best" for n, x in (
+        ("mean energy (J)", "e"), ("95% low", "e - h"), ("95% high", "e + h"), ("mean runtime (s)", "t"), ("mean peak memory (MB)", "m"))) + f"""
+UNION ALL SELECT 'effect', term, {r('e')}, CASE WHEN e >= 0.14 THEN 'large' WHEN e >= 0.06 THEN 'medium' WHEN e >= 0.01 THEN 'small'
+  ELSE 'very small' END FROM top"""
 SQL["type3_unbalanced"] = f"""WITH {LOG}, {CELLS.format(source='ok')}, {_terms('cells')},
 rss AS (SELECT sum(ss) AS rss, sum(n) - 48 AS rdf FROM cells)
 SELECT {_effect} FROM terms, rss"""
@@ -337,7 +359,7 @@ def _marginal(subset: tuple[str, ...]) -> str:
     return f"avg(energy_j) OVER ({part})"
 
 
-def _art() -> str:
+def _art(design: str = DESIGN, digits: int = 5) -> str:
     terms = [t for k in range(1, 6) for t in combinations(FACTORS, k)]
     subs = [s for k in range(6) for s in combinations(FACTORS, k)]
     name = {s: "m_" + "_".join(str(FACTORS.index(f)) for f in s) for s in subs}
@@ -346,8 +368,8 @@ def _art() -> str:
     for t in terms:
         effect = " ".join(
             f"{'+' if (len(t) - len(s)) % 2 == 0 else '-'} {name[s]}" for k in range(len(t) + 1) for s in combinations(t, k))
-        rows.append(f"SELECT '{':'.join(t)}' AS target, block, {F5}, round(energy_j - {name[tuple(FACTORS)]} {effect}, 5) AS y FROM margins")
-    return f"""WITH {DESIGN}, margins AS (SELECT *, {margins} FROM design),
+        rows.append(f"SELECT '{':'.join(t)}' AS target, block, {F5}, round(energy_j - {name[tuple(FACTORS)]} {effect}, {digits}) AS y FROM margins")
+    return f"""WITH {design}, margins AS (SELECT *, {margins} FROM design),
 aligned AS ({' UNION ALL '.join(rows)}),
 ranked AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY y) + (count(*) OVER (PARTITION BY target, y) - 1) / 2e0 AS m0 FROM aligned),
 cells AS (SELECT target, {F5}, count(*) AS n, avg(m0) AS m FROM ranked GROUP BY ALL),
@@ -359,6 +381,8 @@ SELECT {_effect} FROM terms JOIN rss ON rss.target = terms.target AND terms.term
 
 
 SQL["art_anova"] = _art()
+SQL["art_anova_secondary"] = " UNION ALL ".join(
+    f"SELECT *, '{c}' AS outcome FROM ({_art(_as_energy(c), 8)})" for c in OUTCOMES[1:])
 SQL["art_alignment_check"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{':'.join(t)}', true)" for k in range(1, 6) for t in combinations(FACTORS, k)) + ") AS t(target, ok)"
 SQL["artc_engine_pairwise"] = f"""WITH {DESIGN}, aligned AS (SELECT *, round(energy_j - avg(energy_j) OVER (PARTITION BY config_id)
@@ -370,6 +394,21 @@ lv AS (SELECT engine, avg(r) AS m, count(*) AS n FROM ranked GROUP BY ALL)
 SELECT a.engine || ' - ' || b.engine AS contrast, {r('a.m - b.m')} AS estimate, {r('sqrt(mse * (1e0 / a.n + 1e0 / b.n))')} AS se,
   423e0 AS df, {r('(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))')} AS t_ratio
 FROM lv a JOIN lv b ON a.engine < b.engine, rss"""
+
+
+def _within(f: str) -> str:
+    return f"""SELECT * FROM (WITH {DESIGN}, aligned AS (SELECT *, round(energy_j - avg(energy_j) OVER (PARTITION BY config_id)
+    + avg(energy_j) OVER (PARTITION BY engine, {f}), 5) AS y FROM design),
+ranked AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS r FROM aligned),
+rss AS (SELECT sum(pow(r - c - b + g, 2)) / 423 AS mse FROM (SELECT r, avg(r) OVER (PARTITION BY config_id) AS c,
+  avg(r) OVER (PARTITION BY block) AS b, avg(r) OVER () AS g FROM ranked)),
+lv AS (SELECT engine, {f} AS lev, avg(r) AS m, count(*) AS n FROM ranked GROUP BY ALL)
+SELECT '{f}' AS factor, a.engine, a.engine || ',' || a.lev || ' - ' || b.engine || ',' || b.lev AS contrast, {r('a.m - b.m')} AS estimate,
+  {r('sqrt(mse * (1e0 / a.n + 1e0 / b.n))')} AS se, 423e0 AS df, {r('(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))')} AS t_ratio
+FROM lv a JOIN lv b ON a.engine = b.engine AND a.lev = '{LEVELS[f][0]}' AND b.lev = '{LEVELS[f][1]}', rss)"""
+
+
+SQL["artc_within_engine"] = " UNION ALL ".join(_within(f) for f in FACTORS[1:])
 SQL["holm_adjust"] = f"""WITH {LOG}, p AS (SELECT engine, config_id, CAST(CAST(sum(runtime_s) AS BIGINT) % 997 AS DOUBLE) / 2e4 AS p_value FROM ok GROUP BY ALL),
 s AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY engine) - row_number() OVER (PARTITION BY engine ORDER BY p_value) + 1) * p_value) AS q FROM p)
 SELECT engine, config_id, {r('p_value')} AS p_value, {r('max(q) OVER (PARTITION BY engine ORDER BY p_value ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM s"""
@@ -384,6 +423,15 @@ def _avg_rank(x: str) -> str:
 
 SQL["corr_spearman"] = f"""WITH {LOG}, k AS (SELECT {_avg_rank('energy_j')} AS a, {_avg_rank('runtime_s')} AS b FROM ok)
 SELECT count(*) AS n, {r('corr(a, b)')} AS statistic FROM k"""
+_corr = " UNION ALL ".join(
+    f"SELECT '{level}' AS level, '{method}' AS method, count(*) AS n, {r('corr(a, b)')} AS statistic FROM {table}"
+    for level, method, table in (
+        ("run-level", "Pearson", "(SELECT energy_j AS a, runtime_s AS b FROM ok)"),
+        ("run-level", "Spearman", f"(SELECT {_avg_rank('energy_j')} AS a, {_avg_rank('runtime_s')} AS b FROM ok)"),
+        ("configuration-mean", "Pearson", "(SELECT energy_mean AS a, runtime_mean AS b FROM means)"),
+        ("configuration-mean", "Spearman",
+         f"(SELECT {_avg_rank('energy_mean')} AS a, {_avg_rank('runtime_mean')} AS b FROM means)")))
+SQL["correlations"] = f"WITH {LOG}, {MEANS.format(source='ok')} {_corr}"
 SQL["average_ranks"] = f"""WITH {LOG}, k AS (SELECT engine, runtime_s AS "value", rank() OVER (PARTITION BY engine ORDER BY runtime_s) AS m,
   count(*) OVER (PARTITION BY engine) AS total FROM ok)
 SELECT engine, "value", count(*) AS n, m AS min_rank, m + (count(*) - 1) / 2e0 AS avg_rank, total FROM k GROUP BY engine, "value", m, total"""

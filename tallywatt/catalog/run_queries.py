@@ -295,7 +295,14 @@ def type3_anova(spark, sf_dir):
 
 @query
 def type3_anova_outcomes(spark, sf_dir):
-    """All outcomes with p values, Intercept and Residual rows."""
+    """All outcomes in one job."""
+    table = anova.effect_rows(anova.type3_anova(design(spark, sf_dir), OUTCOMES, LEVELS))
+    return rounded(table.select("outcome", "term", "df", F.col("F").alias("f"), "partial_eta2"))
+
+
+@query
+def type3_anova_p(spark, sf_dir):
+    """With p values, Intercept and Residual rows."""
     return anova.type3_anova(design(spark, sf_dir), OUTCOMES, LEVELS)
 
 
@@ -330,7 +337,7 @@ def residuals(spark, sf_dir):
 @query
 def interpretation(spark, sf_dir):
     runs = design(spark, sf_dir)
-    return anova.interpretation(runs, anova.type3_anova(runs, ["energy_j"], LEVELS))
+    return rounded(anova.interpretation(runs, anova.type3_anova(runs, ["energy_j"], LEVELS)))
 
 
 # --- diagnostics -------------------------------------------------------------
@@ -383,15 +390,20 @@ def art_anova(spark, sf_dir):
 
 
 @query
-def art_anova_outcomes(spark, sf_dir):
-    """Secondary outcomes with p values."""
+def art_anova_secondary(spark, sf_dir):
     out = None
     for c in OUTCOMES[1:]:
-        table = art.art_anova(design(spark, sf_dir), c, LEVELS).withColumn("outcome", F.lit(c))
+        table = _no_p(art.art_anova(design(spark, sf_dir), c, LEVELS)).withColumn("outcome", F.lit(c))
         out = table if out is None else out.unionByName(table)
     return out
 
 
+@query
+def art_anova_p(spark, sf_dir):
+    """With p values."""
+    return art.art_anova(design(spark, sf_dir), "energy_j", LEVELS)
+
+
 @query
 def art_alignment_check(spark, sf_dir):
     return art.art_alignment_check(design(spark, sf_dir), "energy_j", LEVELS).select("target", "ok")
@@ -408,15 +420,26 @@ def artc_engine_pairwise_holm(spark, sf_dir):
     return art.artc_pairwise(design(spark, sf_dir), ["engine"], "energy_j", LEVELS)
 
 
-@query
-def artc_within_engine(spark, sf_dir):
+def _within(spark, sf_dir) -> DataFrame:
+    runs = design(spark, sf_dir)
     out = None
     for f in BINARY:
-        table = art.artc_within(design(spark, sf_dir), f, "engine", "energy_j", LEVELS).withColumn("factor", F.lit(f))
+        table = art.artc_within(runs, f, "engine", "energy_j", LEVELS).withColumn("factor", F.lit(f))
         out = table if out is None else out.unionByName(table)
     return out
 
 
+@query
+def artc_within_engine(spark, sf_dir):
+    return rounded(_within(spark, sf_dir).select("factor", "engine", "contrast", "estimate", "se", "df", "t_ratio"))
+
+
+@query
+def artc_within_engine_holm(spark, sf_dir):
+    """With p values, raw and adjusted."""
+    return _within(spark, sf_dir)
+
+
 @query
 def holm_adjust(spark, sf_dir):
     """Adjusts one stand-in p value per (engine, configuration)."""
@@ -439,6 +462,11 @@ def corr_spearman(spark, sf_dir):
 
 @query
 def correlations(spark, sf_dir):
+    return rounded(R.correlations(ok(spark, sf_dir)).drop("p_value"))
+
+
+@query
+def correlations_p(spark, sf_dir):
     return R.correlations(ok(spark, sf_dir))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from tallywatt.functions import dist
 from tallywatt.operators.anova import TABLE, Design, Fit, _row, _solved, moments, observed_levels, term_name
 from tallywatt.plans.ranks import average_ranks
+from tallywatt.plans.small import small_copy
 
 
 SIGNIFICANT = 9  # aligned values are rounded to this many digits of the range
@@ -40,6 +41,7 @@ def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
     estimate. The cell table is solved on its own and broadcast; the rows are
     expanded once per target and never joined again.
     """
+    runs, _ = small_copy(runs.select(*design.factors, block, outcome))
     means = runs.withColumn("cell", design.cell()).filter("cell is not null").groupBy("cell").agg(
         F.avg(outcome).alias("mean"), F.count(outcome).alias("n"))
     table = {r["cell"]: r for r in means.limit(design.cells).collect()}

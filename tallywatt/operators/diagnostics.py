@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
 from tallywatt.functions import dist
 from tallywatt.functions.dist_columns import f_tail
-from tallywatt.operators.anova import residuals
+from tallywatt.operators.anova import observed_levels, residuals
 from tallywatt.plans.ranks import medians, null_safe, value_ranks
-from tallywatt.plans.small import checked_small
+from tallywatt.plans.small import checked_small, small_copy
 from tallywatt.schema import OUTCOMES
 
 POSITIONS_PER_CHUNK = 100_000
@@ -184,6 +184,8 @@ def assumption_summary(runs: DataFrame, outcomes: Sequence[str] = OUTCOMES, leve
     of residuals and equality of spread, and the method the rule picks: aligned
     ranks if Shapiro-Wilk or Brown-Forsythe rejects.
     """
+    levels = levels or observed_levels(runs)
+    runs, _ = small_copy(runs.select("config_id", *levels, *([block] if block else []), *outcomes))
     out = None
     for c in outcomes:
         named = [
