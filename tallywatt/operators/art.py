@@ -61,8 +61,9 @@ def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
         .join(cells, "cell")
         .select("cell", "block", "y", F.posexplode("shifts").alias("i", "shift"))
     )
+    unit = F.lit(10.0 ** digits)
     return rows.select(F.get(names, F.col("i")).alias("term"), "cell", "block",
-                       F.round(F.col("y") + F.col("shift"), digits).alias("value"))
+                       (F.rint((F.col("y") + F.col("shift")) * unit) / unit).alias("value"))
 
 
 def _rank_moments(aligned: DataFrame) -> DataFrame:

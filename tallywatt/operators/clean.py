@@ -61,6 +61,8 @@ def dedup(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
 def _repeated_hashes(df: DataFrame, max_repeated: int) -> tuple[Column, DataFrame | None, int | None]:
     """The row hash, the hashes that occur more than once and their number
     (None if above the limit)."""
+    if any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
+        raise TypeError("rows with map columns cannot be compared")
     key = F.xxhash64(*df.columns)
     counts = df.select(key.alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
     repeated, size = small_copy(counts.filter("__n > 1").select("__hash"), max_repeated)

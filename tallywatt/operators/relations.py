@@ -40,15 +40,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     value; a value shared by many pairs is split by AQE's skew join. Weighted
     sums about the known mean rank replace the expanded rows.
     """
-    pairs = _paired(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rank = lambda c: value_ranks(_paired(df, x, y), c).select(
+    pairs = _paired(df, x, y)
+    rank = lambda c: value_ranks(pairs, c).select(
         F.col("value").alias(c), (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(f"r{c}"))
-    ranked = pairs.join(rank("x"), "x").join(rank("y"), "y")
-    sums = ranked.agg(
+    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    sums = counted.join(rank("x"), "x").join(rank("y"), "y").agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("xy"),
         F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("xx"),
         F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("yy"))
-    return sums.select("n", F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("statistic"))
+    return sums.select(F.coalesce("n", F.lit(0)).alias("n"),
+                       F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("statistic"))
 
 
 def correlations(runs: DataFrame, x: str = "energy_j", y: str = "runtime_s") -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from tallywatt.plans.segments import SEGMENT, add_segments, cut_points
-from tallywatt.plans.small import checked_small
+from tallywatt.plans.segments import SEGMENT, add_segments, cut_points, tied_cut_points
+from tallywatt.plans.small import checked_small, small_copy
 
 
 def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,14 +68,35 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), parts: int |
 def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str], parts: int | None = None) -> DataFrame:
     """(keys, value, payload, n, avg_rank, total) from rows with ``value``.
 
-    Ranks are found per value and looked up by the counted rows, so a value
-    shared by many payloads never fills one window; AQE splits its join.
+    Equal rows are counted first. A value that fills a whole share of the rows
+    has a range of its own, where order does not matter: its payloads are
+    spread over several window groups, each with its own copy of the seed row.
     """
     clean = _numbers(df)
-    counts = clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n"))
-    values = counts.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    ranks = _ranks(values, keys, cut_points(clean, ["value"], parts)).select(*keys, "value", "avg_rank", "total")
-    return counts.join(ranks, [*keys, "value"])
+    cuts, tasks = tied_cut_points(clean, "value", parts)
+    counts = add_segments(
+        clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n")), {"value": cuts}, {"value": SEGMENT})
+    sizes = counts.groupBy(*keys, SEGMENT).agg(F.sum("n").alias("__size"))
+    order = W.partitionBy(*keys).orderBy(SEGMENT)
+    width = F.get(F.array(*[F.lit(t) for t in tasks]), F.col(SEGMENT).cast("int"))
+    # one row per key and segment
+    placed = sizes.withColumns({
+        "__from": F.coalesce(F.sum("__size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "total": F.sum("__size").over(W.partitionBy(*keys)),
+        "__kind": F.lit(0), "n": F.lit(0).cast("bigint")})
+    # only now repeated: the sums above must see each segment once
+    seeds = placed.withColumn("__group", F.explode(F.sequence(F.lit(0), width - 1)))
+    rows = counts.withColumns({
+        "__kind": F.lit(1), "__group": F.pmod(F.xxhash64(*payload), width).cast("int")})
+    both = rows.unionByName(seeds, allowMissingColumns=True)
+    group = [*keys, SEGMENT, "__group"]
+    upto = W.partitionBy(*group).orderBy("__kind", "value").rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = F.sum("n").over(W.partitionBy(*group, "__kind", "value"))
+    ranked = both.withColumn("__tied", tied).withColumns({
+        c: F.max(c).over(upto) for c in ("__from", "__size", "total")} | {"__upto": F.sum("n").over(upto)}).filter("__kind = 1")
+    spread = F.col("__from") + (F.col("__size") + 1) / 2
+    inside = F.col("__from") + F.col("__upto") - F.col("__tied") + (F.col("__tied") + 1) / 2
+    return ranked.select(*keys, "value", *payload, "n", F.when(width > 1, spread).otherwise(inside).alias("avg_rank"), "total")
 
 
 def stacked(df: DataFrame, keys: Sequence[str], cols: Sequence[str], extra: Mapping[str, Sequence[str]] = {}) -> DataFrame:
@@ -99,8 +120,16 @@ def values_at(df: DataFrame, cols: Sequence[str], keys: Sequence[str], wanted: M
     Counting rows per value range comes first and shuffles no values. It tells
     which ranges hold the wanted positions; only the rows of those ranges,
     about one share per position, are then counted by value and ordered. Null
-    and NaN are skipped.
+    and NaN are skipped. Several key columns are replaced by one number while
+    this runs, as long as there are few groups.
     """
+    if len(keys) > 2:
+        groups, size = small_copy(df.select(*keys).distinct())
+        if size is not None:
+            named = checked_small(groups.withColumn("__key", F.row_number().over(W.orderBy(F.lit(0)))))
+            numbered = null_safe(df.select(*keys, *cols), named, keys, "inner")
+            found = values_at(numbered.select("__key", *cols), cols, ["__key"], wanted, parts)
+            return found.join(named, "__key").select(*keys, *[c for c in found.columns if c != "__key"])
     cuts = cut_points(df, cols, parts)
     names = {c: f"__seg_{c}" for c in cols}
     long = stacked(add_segments(df, cuts, names), keys, cols, {SEGMENT: [names[c] for c in cols]}).filter(

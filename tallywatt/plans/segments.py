@@ -11,6 +11,8 @@ The cut points only decide how work is spread; results do not depend on them.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -28,15 +30,36 @@ def order_number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantiles of each column: one pruned scan, small sketches."""
-    parts = parts or 4 * shuffle_partitions(df.sparkSession)
+def _quantile_points(df: DataFrame, cols: Sequence[str], parts: int) -> list[list[float]]:
     probs = [i / parts for i in range(1, parts)]
     if not probs:
-        return {c: [] for c in cols}
+        return [[] for _ in cols]
     numbers = [F.nanvl(order_number(df, c), F.lit(None)) for c in cols]
     found = df.agg(*[F.percentile_approx(x, probs, 4 * parts) for x in numbers]).first()
-    return {c: sorted(set(points or [])) for c, points in zip(cols, found)}
+    return [sorted(points or []) for points in found]
+
+
+def segment_count(df: DataFrame, parts: int | None) -> int:
+    return parts or 4 * shuffle_partitions(df.sparkSession)
+
+
+def cut_points(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
+    """Approximate quantiles of each column: one pruned scan, small sketches."""
+    found = _quantile_points(df, cols, segment_count(df, parts))
+    return {c: sorted(set(points)) for c, points in zip(cols, found)}
+
+
+def tied_cut_points(df: DataFrame, col: str, parts: int | None = None) -> tuple[list[float], list[int]]:
+    """Cut points that give every value repeated among the quantiles a range
+    of its own, and per range the number of tasks its rows deserve (1, or more
+    for such a single-value range).
+    """
+    points = _quantile_points(df, [col], segment_count(df, parts))[0]
+    repeats = Counter(points)
+    heavy = {v for v, m in repeats.items() if m > 1}
+    cuts = sorted(set(points) | {math.nextafter(v, math.inf) for v in heavy})
+    # range i + 1 starts at cut i
+    return cuts, [1, *[repeats[c] + 1 if c in heavy else 1 for c in cuts], 1]
 
 
 def add_segments(df: DataFrame, cuts: Mapping[str, Sequence[float]], names: Mapping[str, str]) -> DataFrame:

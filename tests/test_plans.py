@@ -113,3 +113,23 @@ def test_distinct_by_hash(spark, monkeypatch):
     assert clean.dedup_stored(once) is once
     many = once.unionByName(once)
     assert sorted(map(str, clean.dedup_stored(many, max_repeated=10).collect())) == sorted(map(str, once.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 60])
+def test_average_ranks_of_heavy_values(spark, parts):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(3000) < 0.4, 2.0, rng.integers(0, 6, 3000) + (rng.random(3000) < 0.3) * rng.random(3000))
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 3000), "value": x, "p": rng.integers(0, 40, 3000)})
+    got = K.average_ranks(spark.createDataFrame(pdf), ["k"], ["p"], parts).toPandas()
+    assert got["n"].sum() == 3000
+    pdf["want"] = pdf.groupby("k")["value"].rank()
+    both = pdf.drop_duplicates(["k", "value", "p"]).merge(got, on=["k", "value", "p"])
+    assert len(both) == len(got) and (both["want"] == both["avg_rank"]).all()
+    assert (both["total"] == both["k"].map(pdf["k"].value_counts())).all()
+
+
+def test_heavy_values_get_their_own_range(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0] + [5.0] * 30 + [7.0, 8.0, 9.0]], "value double")
+    cuts, tasks = G.tied_cut_points(df, "value", 8)
+    assert 5.0 in cuts and tasks[cuts.index(5.0) + 1] > 2 and len(tasks) == len(cuts) + 2
+    assert cuts[cuts.index(5.0) + 1] == np.nextafter(5.0, 9)
