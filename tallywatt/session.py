@@ -66,14 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     in local mode; a cluster without the setting is an error, because a
     machine-local folder would be lost with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
