@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallywatt.llm import bpe, jaccard, packing, quality, secret_scan, sharding, substring, token_files, topk
 from tallywatt.llm.common import documents, run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,9 +24,51 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 @query
-def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallywatt.llm import token_files as T
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER, with_ids=False)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeated_windows(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(documents(spark, sf_dir), BYTE_TOKENIZER)
 
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = quality.ledger(documents(spark, sf_dir))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       quality.rejects(("base", 1)).alias("base_failed"), (~quality.rejects(("clean", 2))).alias("kept"),
+                       "failed")
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "tokens")
-    T.write_token_files(documents(spark, sf_dir), folder, WORD_TOKENIZER)
-    return T.checksums(T.read_token_files(spark, folder))
+    token_files.write_token_files(documents(spark, sf_dir), folder, WORD_TOKENIZER)
+    return token_files.checksums(token_files.read_token_files(spark, folder))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("row")
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(documents(spark, sf_dir))
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(documents(spark, sf_dir), 8)
