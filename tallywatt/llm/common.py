@@ -37,6 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def carried(columns):
+    """The named columns as one struct, so that no name can clash with others."""
+    return F.struct(F.lit(0).alias("none"), *[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]).alias("carried")
+
+
 def row_key(id_col: str, text_col: str):
     """Names a row by its id and its content, so that rows which repeat an id
     stay apart and rows that are equal in both get the same answer."""

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywatt.llm.common import slices, text_bytes, words_of
+from tallywatt.llm.common import carried, slices, text_bytes, words_of
 
 REPEAT_WINDOW = 3
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word", "n_exclaims")
 
 
 class Rule(NamedTuple):
@@ -32,18 +32,19 @@ class Rule(NamedTuple):
 RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule("many_symbols", "100 * n_symbols > 10 * word_chars"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("many_symbols", "100 * n_symbols > 5 * word_chars"),
+    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("endless_word", "longest_word > 1000"),
+    Rule("shouting", "n_exclaims > n_words"),
 )
 #: Policies by name and version: the rules that reject a document.
 POLICIES = {
     ("base", 1): ("few_words", "repeated_words"),
     ("clean", 1): ("few_words", "repeated_words", "many_symbols", "repeated_lines"),
     ("clean", 2): ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_words",
-                   "endless_word"),
+                   "endless_word", "shouting"),
 }
 
 
@@ -66,7 +67,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     table gives none.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                         F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("carried"))
+                         carried(carry))
     zeros = [F.lit(0).cast("long").alias(m) for m in MEASURES]
     result = narrow.select("doc_id", "carried", *zeros).schema
     schema = to_arrow_schema(result)
@@ -116,6 +117,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_words": np.diff(words.offsets),
         "word_chars": _sums(length, words.offsets),
         "n_symbols": _sums(_SYMBOL[data], bounds),
+        "n_exclaims": _sums(data == 33, bounds),
         "n_dup_lines": n_dup_lines,
         "n_repeat_words": _repeated(words.codes.astype(np.int64), words.offsets, len(sizes)),
         "n_lines": n_lines,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywatt.llm.common import batch_of, joined, row_key, slices, stored, words_of
+from tallywatt.llm.common import batch_of, carried, joined, row_key, slices, stored, words_of
 from tallywatt.llm.sketch import Sketch, cell_bits, repeated_cells
 
 WINDOW = 35
@@ -74,7 +74,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                          row_key(id_col, text_col).alias("row"),
-                         F.struct(F.lit(0).alias("none"), *[F.col(c) for c in carry]).alias("carried"))
+                         carried(carry))
     scan = narrow.select("doc_id", "text", "row")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = cell_bits(int(size * WINDOWS_PER_BYTE))
