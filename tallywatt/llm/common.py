@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallywatt.session import checkpoint_dir
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -55,6 +55,23 @@ def of_process(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^64; a worker keeps those of usual lengths."""
+    kept = of_process("powers")
+    known = kept.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 18), np.uint64(base))
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 21:
+            kept[base] = known
+    return known[:n]
+
+
+def inverse_powers(base: int, n: int) -> np.ndarray:
+    return powers(pow(base, -1, 1 << 64), n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` holds about ``limit`` bytes at most
     or is one row."""

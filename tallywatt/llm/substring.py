@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywatt.llm.common import batch_of, carried, joined, row_key, slices, stored, words_of
-from tallywatt.llm.sketch import Sketch, cell_bits, repeated_cells
+from tallywatt.llm.common import batch_of, carried, inverse_powers, joined, powers, row_key, slices, stored, words_of
+from tallywatt.llm.sketch import LEAST_BITS, Sketch, cell_bits, repeated_cells
 
 WINDOW = 35
 #: Windows per byte of text, for the size of the sketches.
@@ -26,7 +26,7 @@ WINDOWS_PER_BYTE = 0.15
 #: Estimated but single windows are joined by broadcast up to so many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Candidates that a task combines before it sends them on.
-COMBINED = 2_000_000
+COMBINED = 500_000
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
@@ -46,20 +46,12 @@ def window_hashes(codes: np.ndarray, offsets: np.ndarray, vocabulary: list[str],
     words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint64).reshape(-1, 2)
     out = []
     for k, base in enumerate(_BASES):
-        powers = _powers(base, len(codes) + 1)
-        inverse = _powers(pow(base, -1, 1 << 64), len(codes) + 1)
         sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(words[codes, k] * powers[:-1], out=sums[1:])
-        out.append((sums[start + window] - sums[start]) * inverse[start])
+        np.cumsum(words[codes, k] * powers(base, len(codes)), out=sums[1:])
+        out.append((sums[start + window] - sums[start]) * inverse_powers(base, len(codes) + 1)[start])
     return Windows(out[0], out[1], start, text[start])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                             carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a window covers whose word sequence starts anywhere
@@ -73,9 +65,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                         row_key(id_col, text_col).alias("row"),
-                         carried(carry))
-    scan = narrow.select("doc_id", "text", "row")
+                         row_key(id_col, text_col).alias("row"), carried(carry))
+    scan = narrow.select("text", "row")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = cell_bits(int(size * WINDOWS_PER_BYTE))
 
@@ -96,23 +87,20 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             left = Sketch(*first.value).repeated(w.h1, w.h2)
             yield w.h1[left], w.h2[left]
 
-    second = spark.sparkContext.broadcast(tuple(repeated_cells(scan, left_keys, bits, rows=4, salt=1)))
+    second = spark.sparkContext.broadcast(tuple(repeated_cells(scan, left_keys, max(LEAST_BITS, bits - 1), rows=4, salt=1)))
 
     def estimated(w: Windows) -> np.ndarray:
         left = Sketch(*first.value).repeated(w.h1, w.h2)
         return left[Sketch(*second.value).repeated(w.h1[left], w.h2[left])]
 
-    candidate = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "n", "doc_id", "row", "start")])
+    candidate = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "n", "row")])
 
     def candidates(batches):
         held, count = [], 0
         for batch in slices(batches, "text"):
-            words, w = windows(batch)
+            _, w = windows(batch)
             left = estimated(w)
-            text = w.text[left]
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            rows = batch.column("row").to_numpy()
-            held.append((w.h1[left], w.h2[left], ids[text], rows[text], w.start[left] - words.offsets[text]))
+            held.append((w.h1[left], w.h2[left], batch.column("row").to_numpy()[w.text[left]]))
             count += len(left)
             if count >= COMBINED:
                 yield _combined(held, candidate)
@@ -120,16 +108,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
         if count:
             yield _combined(held, candidate)
 
-    single = (scan.mapInArrow(candidates, "h1 long, h2 long, n long, doc_id long, row long, start long")
-              .groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "row", "start")])
-              .where("n = 1"))
-    spared = stored(single.groupBy(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"))
-                    .agg(F.collect_list("start").alias("spared")), "single-windows")
+    # combined in the tasks already: a second partial aggregation would find nothing
+    single = (scan.mapInArrow(candidates, "h1 long, h2 long, n long, row long").repartition("h1", "h2")
+              .groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("row").alias("row")).where("n = 1"))
+    spared = stored(single.groupBy(F.col("row").alias("of_row")).agg(F.collect_list("h1").alias("spared")), "single-windows")
     told = spared.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spared")), F.lit(0)).alias("n")).first()
     if 64 * told["rows"] + 8 * told["n"] <= BROADCAST_BYTES:
         spared = F.broadcast(spared)
-    matched = narrow.join(spared, (F.col("row") == F.col("of_row"))
-                          & (F.coalesce("doc_id", F.lit(0)) == F.col("of_doc")), "left").drop("of_doc", "of_row")
+    matched = narrow.join(spared, F.col("row") == F.col("of_row"), "left")
 
     result = narrow.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                            F.lit("").cast("string").alias("kept"), "carried").schema
@@ -143,10 +129,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
             found = np.zeros(len(words.codes) + 1, bool)
             found[w.start[left]] = True
             lists = batch.column("spared")
-            if lists.null_count < len(lists):
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                places = lists.flatten().to_numpy(zero_copy_only=False)
-                found[places + np.repeat(words.offsets[:-1], counts)] = False
+            of = w.text[left]
+            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                own = left[np.searchsorted(of, i):np.searchsorted(of, i, "right")]
+                single = lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                found[w.start[own[np.isin(w.h1[own], single)]]] = False
             start = np.flatnonzero(found)
             np.add.at(hit, start, 1)
             np.add.at(hit, start + window, -1)
@@ -160,14 +147,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
 
 
 def _combined(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """One row per distinct window of a task's share: how often, and where first."""
-    h1, h2, ids, rows, start = (np.concatenate(c) for c in zip(*held))
+    """One row per distinct window of a task's share: how often, and one of its rows."""
+    h1, h2, rows = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((h2, h1))
     h1, h2 = h1[order], h2[order]
     new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(h1) else order
-    at = order[new]
-    return batch_of(schema, h1[new].view(np.int64), h2[new].view(np.int64), np.diff(np.append(new, len(h1))),
-                    ids[at], rows[at], start[at])
+    return batch_of(schema, h1[new].view(np.int64), h2[new].view(np.int64), np.diff(np.append(new, len(h1))), rows[order[new]])
 
 
 def _texts(vocabulary: pa.Array, codes: np.ndarray, ends: np.ndarray) -> pa.Array:
