@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, joined, of_process, slices
+from tallywatt.llm.common import batch_of, bounded, joined, of_process, slices
 
 #: Pieces that a worker remembers; at the limit it starts anew.
 REMEMBERED = 500_000
@@ -42,7 +42,7 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
     size = 1
     while size < n:
         size *= 2
-    none = (len(pairs) + 1) * n
+    none = 1 << 62  # above every rank * n + place
     tree = [none] * (2 * size)
     get = pairs.get
     for i in range(n - 1):
@@ -233,7 +233,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def _little_endian(ids: list[int]) -> bytes:

@@ -18,6 +18,8 @@ from tallywatt.session import checkpoint_dir
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker, however long its texts are.
+BATCH_BYTES = 8 << 20
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -33,6 +35,13 @@ def stored(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python workers in batches of BATCH_BYTES, or of
+    one row, from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, row_key, slices, stored, words_of
+from tallywatt.llm.common import batch_of, bounded, row_key, slices, stored, words_of
 from tallywatt.llm.components import components
 from tallywatt.llm.sketch import Sketch, cell_bits, repeated_cells
 from tallywatt.llm.substring import window_hashes
@@ -135,7 +135,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
             yield batch_of(schema, batch.column("doc_id"), batch.column("row"), names, signatures,
                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())))
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"),
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"),
                          F.col(text_col).alias("text"))
     return narrow.mapInArrow(rows, "doc_id long, row long, class binary, signature binary, keys array<long>")
 
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     parts = parts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     parts = stored(parts.join(classes.select("class", F.col("first.row").alias("row")), "class"), "tied")
 
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = bounded(docs).select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     if 96 * parts.count() <= BROADCAST_BYTES:
         parts = F.broadcast(parts)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

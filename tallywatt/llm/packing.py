@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, slices
+from tallywatt.llm.common import batch_of, bounded, slices
 from tallywatt.llm.tokens import Encoded, encode
 
 WINDOW = 2048
 END_ID = 1
 #: Text of one shard: the reach of a seed's retrieval.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Terms of a seed's query, the heaviest by BM25 weight.
 QUERY_TERMS = 32
 # The usual parameters of BM25.
@@ -176,5 +176,5 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, id_col: str
             yield batch_of(schema, *columns)
 
     told = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(rows, told + ", ids array<int>" * with_ids)

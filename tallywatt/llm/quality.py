@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywatt.llm.common import carried, slices, text_bytes, words_of
+from tallywatt.llm.common import bounded, carried, slices, text_bytes, words_of
 
 REPEAT_WINDOW = 3
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word", "n_exclaims")
@@ -66,7 +66,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     0 everywhere and fail ``few_words``. Equal rows give equal rows; an empty
     table gives none.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                          carried(carry))
     zeros = [F.lit(0).cast("long").alias(m) for m in MEASURES]
     result = narrow.select("doc_id", "carried", *zeros).schema

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, of_process, slices
+from tallywatt.llm.common import batch_of, bounded, of_process, slices
 
 
 class Span(NamedTuple):
@@ -155,7 +155,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = np.array(counts, np.int64)
             yield batch_of(schema, batch.column("doc_id"), *counts.T, digests, told)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(
         rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -178,4 +178,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
 
         return texts.map(one, na_action="ignore")
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return bounded(docs).withColumn(text_col, masked(F.col(text_col)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywatt.llm.common import batch_of, carried, inverse_powers, joined, powers, row_key, slices, stored, words_of
+from tallywatt.llm.common import batch_of, bounded, carried, inverse_powers, joined, powers, row_key, slices, stored, words_of
 from tallywatt.llm.sketch import LEAST_BITS, Sketch, cell_bits, repeated_cells
 
 WINDOW = 35
@@ -64,7 +64,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str =
     gives no rows; columns that are not named are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                          row_key(id_col, text_col).alias("row"), carried(carry))
     scan = narrow.select("text", "row")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, slices
+from tallywatt.llm.common import batch_of, bounded, slices
 from tallywatt.llm.tokens import encode
 
 END_ID = 1
@@ -34,7 +34,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
     that share an id stand in the order of their texts' hashes. Other columns are
     ignored. An empty table gives files without rows.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()),

@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, stored
+from tallywatt.llm.common import batch_of, bounded, stored
 
 #: Dimensions that are accumulated between two bounds.
 DIMENSIONS = 8
 #: Candidates and queries of a block on average.
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 4096, 256
 
 _PACKED = "dims int, ids binary, vectors binary"
 
@@ -131,7 +131,7 @@ def _packed(base: DataFrame, blocks: int) -> DataFrame:
             yield out()
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    return (base.select(block, "dims", "id", "v").repartition("block").sortWithinPartitions("block", "dims", "id")
+    return (bounded(base).select(block, "dims", "id", "v").repartition("block").sortWithinPartitions("block", "dims", "id")
             .mapInArrow(rows, "block int, " + _PACKED))
 
 
