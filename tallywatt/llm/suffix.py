@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, slices, text_bytes
+from tallywatt.llm.common import batch_of, bounded, inverse_powers, powers, slices, text_bytes
 from tallywatt.llm.sketch import Sketch, cell_bits, repeated_cells
 
 LENGTH, GRAM = 50, 20
@@ -33,12 +33,12 @@ LENGTH, GRAM = 50, 20
 PLACE_BITS = 21
 CAPACITY = (1 << PLACE_BITS) - 2
 #: Text that a task works on at once, and text after which it sends segments on.
-PIECE_BYTES, FLUSH_BYTES = 2 << 20, 32 << 20
+PIECE_BYTES, FLUSH_BYTES = 1 << 20, 16 << 20
 #: Text per shard and per bucket of documents, on average; least number of each.
 SHARD_TEXT, BUCKET_TEXT, LEAST_PARTS = 1 << 20, 8 << 20, 64
 #: A gram is hot if it leads more distinct segments than this, or than a 2^-16 of
 #: the text's bytes / 64; its strings are routed one by one, by their own hash.
-HOT_SEGMENTS, HOT_SHARE, HOT_IN_FLUSH = 4096, 1 << 22, 128
+HOT_SEGMENTS, HOT_SHARE, HOT_IN_FLUSH = 4096, 1 << 22, 64
 
 #: Strings of one segment; longer runs (one gram again and again) are cut.
 LONGEST = 1 << 16
@@ -56,12 +56,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Rolling(NamedTuple):
     sums: np.ndarray
     inverse: np.ndarray
@@ -74,8 +68,20 @@ class Rolling(NamedTuple):
 
 def rolling(data: np.ndarray, base: int = _BASE) -> Rolling:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * _powers(base, len(data)) if len(data) else data, out=sums[1:], dtype=np.uint64)
-    return Rolling(sums, _powers(pow(base, -1, 1 << 64), len(data) + 1))
+    np.cumsum(data * powers(base, len(data)), out=sums[1:])
+    return Rolling(sums, inverse_powers(base, len(data) + 1))
+
+
+def hashes_of(parts: pa.Array, base: int = _BASE) -> np.ndarray:
+    """Hash of each byte string, PIECE_BYTES of them at a time."""
+    data, ends = _flat(parts)
+    out, at = np.zeros(len(parts), np.uint64), 0
+    while at < len(parts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE_BYTES, "right")) - 1)
+        own = ends[at:to + 1] - ends[at]
+        out[at:to] = rolling(data[ends[at]:ends[to]], base).of(own[:-1], own[1:])
+        at = to
+    return out
 
 
 class Segments(NamedTuple):
@@ -150,9 +156,7 @@ class Held(NamedTuple):
 
 
 def distinct(route: np.ndarray, doc: np.ndarray, parts: pa.Array) -> Held:
-    data, ends = _flat(parts)
-    h1 = rolling(data).of(ends[:-1], ends[1:])
-    h2 = rolling(data, _BASE2).of(ends[:-1], ends[1:])
+    h1, h2 = hashes_of(parts), hashes_of(parts, _BASE2)
     order = np.lexsort((h2, h1, route))
     if not len(order):
         return Held(route, doc, parts)
@@ -333,7 +337,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(LEAST_PARTS, -(-size // SHARD_TEXT))
     n_buckets = max(LEAST_PARTS, -(-size // BUCKET_TEXT))
@@ -469,8 +473,7 @@ def _answers(held: Held, n_buckets: int, schema: pa.Schema) -> pa.RecordBatch:
     in their smallest document: key, whether they lose nothing, and else the
     number and the bits of their strings."""
     gone = removed_strings(held)
-    data, ends = _flat(held.bytes)
-    key = _answer_key(held.doc, rolling(data).of(ends[:-1], ends[1:]))
+    key = _answer_key(held.doc, hashes_of(held.bytes))
     lost = np.array([g.all() for g in gone], bool)
     whole = np.array([not g.any() for g in gone], bool)
     bucket = held.doc % n_buckets
