@@ -10,13 +10,16 @@ import math
 import numpy as np
 
 
+STEPS = 1_000_000
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, STEPS):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                      -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + step * d
@@ -25,19 +28,54 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta function at a={a}, b={b}, x={x} did not converge")
+
+
+#: Beyond this the fraction's first terms cancel; the integral's do not.
+LARGE = 1e5
+_NODES, _WEIGHTS = np.polynomial.laguerre.laggauss(120)
+
+
+def _beta_tail(a: float, b: float, x: float, rest: float) -> float:
+    """a times the integral of t^(a-1) (1-t)^(b-1) up to x over x^a (1-x)^b: with
+    t = x exp(-s / a) an integral of exp(-s) times a smooth function."""
+    y = (rest - x * np.expm1(-_NODES / a)) / rest
+    return float(_WEIGHTS @ y ** (b - 1.0)) / rest
 
 
-def beta_regularized(a: float, b: float, x: float) -> float:
+def _stirling(z: float) -> float:
+    """lgamma(z) less (z - 1/2) log z - z + log(2 pi) / 2, for z of 10 or more."""
+    w = 1.0 / (z * z)
+    return (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w * (1 / 1188 - w * 691 / 360360))))) / z
+
+
+def log_beta(a: float, b: float) -> float:
+    """log B(a, b) without the difference of large log-gammas."""
+    a, b = max(a, b), min(a, b)
+    if a < 10:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    # log of gamma(a) / gamma(a + b)
+    ratio = b - (a - 0.5) * math.log1p(b / a) - b * math.log(a + b) + _stirling(a) - _stirling(a + b)
+    if b < 10:
+        return math.lgamma(b) + ratio
+    return (b - 0.5) * math.log(b) - b + 0.5 * math.log(2 * math.pi) + _stirling(b) + ratio
+
+
+def beta_regularized(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """I_x(a, b); ``rest`` is 1 - x where the caller knows it more exactly."""
+    rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    log_x = math.log1p(-rest) if rest < 0.5 else math.log(x)
+    log_rest = math.log1p(-x) if x < 0.5 else math.log(rest)
+    front = math.exp(a * log_x + b * log_rest - log_beta(a, b))
+    if rest > (b + 1.0) / (a + b + 2.0):
+        tail = _beta_tail(a, b, x, rest) if a > LARGE else _beta_fraction(a, b, x)
+        return front * tail / a
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
 
 
 def f_tail(f: float | None, df1: float, df2: float) -> float | None:
@@ -46,7 +84,9 @@ def f_tail(f: float | None, df1: float, df2: float) -> float | None:
         return None
     if f <= 0:
         return 1.0
-    return beta_regularized(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    if math.isinf(f):
+        return 0.0
+    return beta_regularized(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f), df1 * f / (df2 + df1 * f))
 
 
 def t_two_sided(t: float | None, df: float) -> float | None:
@@ -55,7 +95,7 @@ def t_two_sided(t: float | None, df: float) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
-    return beta_regularized(df / 2.0, 0.5, df / (df + t * t))
+    return beta_regularized(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def t_quantile(p: float, df: float) -> float | None:
