@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from tallywatt.catalog.rounding import rounded_sql
+from tallywatt.catalog.tail_oracle import f_tail, normal_quantile, normal_tail
 from tallywatt.catalog.telemetry_oracle import ALL, TELEMETRY, derived
 from tallywatt.schema import FACTORS, NUMERIC_COLUMNS, OUTCOMES, PROFILE_KEYS, TELEMETRY_COLUMNS
 
@@ -55,6 +56,23 @@ SQL["sample_first"] = f"WITH {TELEMETRY} SELECT sample_index, cpu_percent, core_
 SQL["sample_random"] = f"""WITH {TELEMETRY} SELECT sample_index, cpu_percent, core_id FROM telemetry
   ORDER BY {hash_key('7', 'sample_index')}, sample_index LIMIT 500"""
 
+SQL["sample_first_large"] = """WITH t AS (SELECT CASE WHEN l_linenumber <> 1 THEN l_quantity END AS k, l_orderkey, l_linenumber, l_partkey FROM lineitem)
+SELECT * FROM t ORDER BY k NULLS FIRST, l_orderkey, l_linenumber, l_partkey LIMIT 25000"""
+SQL["sample_random_large"] = f"""WITH t AS (SELECT l_orderkey * 8 + l_linenumber AS line, l_extendedprice FROM lineitem)
+SELECT * FROM t ORDER BY {hash_key('3', 'line')}, line, l_extendedprice LIMIT 12000"""
+
+SQL["stored_subset"] = """SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS sample_index, l_partkey, l_quantity FROM lineitem
+  ORDER BY ALL LIMIT 3000"""
+SQL["run_log_read_back"] = f"""WITH {LOG} SELECT engine, execution_mode, count(*) AS runs,
+  CAST(sum(CAST(round(energy_j * 100) AS BIGINT)) AS BIGINT) AS cents FROM ok GROUP BY ALL"""
+SQL["run_metadata"] = f"""WITH {DESIGN} SELECT count(DISTINCT config_id) AS configuration_count, count(DISTINCT block) AS runs_per_configuration,
+  count(*) AS measured_run_count, 42::BIGINT AS seed FROM design"""
+SQL["write_result"] = f"WITH {LOG} SELECT config_id, count(*) AS runs FROM ok GROUP BY ALL"
+SQL["level_order"] = f"WITH {LOG} SELECT factor, level, CAST(row_number() OVER (PARTITION BY factor ORDER BY level) - 1 AS INTEGER) AS position FROM (" + (
+    " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS factor, {f} AS level FROM log" for f in FACTORS)) + ")"
+SQL["optional_tables"] = """SELECT 'orders' AS name, count(*) AS "rows" FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier
+  UNION ALL SELECT 'absent', NULL"""
+
 # --- data quality ------------------------------------------------------------
 CHANGED = """changed AS (SELECT * REPLACE (0.0::DOUBLE AS swap_used_mb, 'none' AS swap_state),
     CASE WHEN sample_index % 2 = 0 THEN 'x' END AS half_null, CAST(NULL AS DOUBLE) AS all_null FROM {source})"""
@@ -165,7 +183,7 @@ FROM want w FULL JOIN have h ON w.block = h.block AND w.config_id = h.config_id"
 
 
 _wrong = {**LEVELS, "engine": ["A", "N", "X"]}
-SQL["check_design"] = f"WITH {DESIGN}, part AS (SELECT * FROM design WHERE NOT (block = 3 AND engine = 'N')), {_check('part', LEVELS)}"
+SQL["check_design"] = f"WITH {DESIGN}, part AS (SELECT * REPLACE (CASE WHEN block = 3 AND engine = 'N' THEN 13 ELSE block END AS block) FROM design), {_check('part', LEVELS)}"
 SQL["check_design_log"] = f"WITH {LOG}, {_check('log', _wrong)}"
 SQL["design_summary"] = f"""WITH {DESIGN} SELECT count(DISTINCT config_id) AS configs, count(DISTINCT block) AS blocks,
   count(*) AS "rows", count(*) = 480 AND count(DISTINCT config_id || '/' || block) = 480 AS passed, 48 AS expected_configs,
@@ -315,6 +333,14 @@ def _type3(design: str = DESIGN) -> str:
 _balanced = _type3()
 _effect = f"term, df, {r('(ss / df) / (rss / rdf)')} AS f, {r('ss / (ss + rss)')} AS partial_eta2"
 SQL["type3_anova"] = f"{_balanced} SELECT {_effect} FROM every, rss"
+def _p_of(query: str, keep: str) -> str:
+    """keep and p_value of a query that gives them with f, d1 and d2."""
+    return f"SELECT {keep}, {r('p')} AS p_value FROM ({f_tail(query, keep)})"
+
+
+SQL["type3_anova_p"] = _p_of(" UNION ALL ".join(
+    f"SELECT * FROM ({_type3(_as_energy(c))} SELECT '{c}' AS outcome, term, df, (ss / df) / (rss / rdf) AS f, df AS d1, rdf AS d2 FROM every, rss)"
+    for c in OUTCOMES), "outcome, term, df")
 SQL["type3_anova_outcomes"] = " UNION ALL ".join(
     f"SELECT * FROM ({_type3(_as_energy(c))} SELECT '{c}' AS outcome, {_effect} FROM every, rss)" for c in OUTCOMES)
 SQL["partial_eta2_ranked"] = f"""{_balanced}, eta AS (SELECT term, ss / (ss + rss) AS e FROM every, rss)
@@ -342,12 +368,65 @@ def _levene(center: str) -> str:
 z AS (SELECT config_id, abs(energy_j - c) AS z FROM ok JOIN c USING (config_id)),
 g AS (SELECT config_id, count(*) AS n, avg(z) AS m, var_pop(z) * count(*) AS ss FROM z GROUP BY ALL),
 t AS (SELECT avg(z) AS gm FROM z)
-SELECT {r('(sum(n * pow(m - gm, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*)))')} AS statistic,
-  CAST(count(*) - 1 AS DOUBLE) AS df1, CAST(sum(n) - count(*) AS DOUBLE) AS df2 FROM g, t"""
-
-
-SQL["levene"] = _levene("avg")
-SQL["brown_forsythe"] = _levene("median")
+SELECT (sum(n * pow(m - gm, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f,
+  CAST(count(*) - 1 AS DOUBLE) AS d1, CAST(sum(n) - count(*) AS DOUBLE) AS d2 FROM g, t"""
+
+
+def _levene_row(query: str) -> str:
+    return f"""SELECT {r('statistic')} AS statistic, df1, df2, {r('p')} AS p_value FROM (
+  {f_tail(f"SELECT f AS statistic, d1 AS df1, d2 AS df2, f, d1, d2 FROM ({query})", "statistic, df1, df2")})"""
+
+
+SQL["levene"] = _levene_row(_levene("avg"))
+SQL["brown_forsythe"] = _levene_row(_levene("median"))
+
+
+def _shapiro(lead: str, value: str, source: str) -> str:
+    """W and p by Royston's approximation (n above 11); fixed values: its
+    published polynomial coefficients."""
+    def poly(x: str, *c: float) -> str:
+        return " + ".join(f"({v!r}::DOUBLE) * pow({x}, {k})" for k, v in enumerate(c))
+
+    outer = poly("u", 0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+    second = poly("u", 0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+    mean = poly("ln(n)", -1.5861, -0.31082, -0.083751, 0.0038915)
+    sd = poly("ln(n)", -0.4803, -0.082676, 0.0030302)
+    return f"""{lead}, s1 AS (SELECT x - avg(x) OVER () AS x, row_number() OVER (ORDER BY x) AS i, CAST(count(*) OVER () AS DOUBLE) AS n
+  FROM (SELECT {value} AS x FROM {source})),
+s2 AS (SELECT *, {normal_quantile('(i - 0.375e0) / (n + 0.25e0)')} AS m FROM s1),
+s3 AS (SELECT any_value(n) AS n, sum(m * m) AS mm, sum(x * m) AS sxm, sum(x * x) AS ss, max(m) AS mn, max(m) FILTER (i = n - 1) AS mn1,
+  max(x) - min(x) AS ends, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS nexts FROM s2),
+s4 AS (SELECT *, 1 / sqrt(n) AS u FROM s3),
+s5 AS (SELECT *, mn / sqrt(mm) + {outer} AS an, mn1 / sqrt(mm) + {second} AS an1 FROM s4),
+s6 AS (SELECT n, pow(an * ends + an1 * nexts + (sxm - mn * ends - mn1 * nexts)
+  / sqrt((mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)), 2) / ss AS w FROM s5)
+SELECT CAST(n AS BIGINT) AS n, w AS statistic, {normal_tail(f'(ln(1 - w) - ({mean})) / exp({sd})')} AS p, n > 5000 AS beyond_range FROM s6"""
+
+
+_shapiro_row = f"SELECT {r('statistic')} AS statistic, {r('p')} AS p_value, n, beyond_range FROM "
+SQL["shapiro_wilk"] = f"{_shapiro_row}({_shapiro(f'WITH {DESIGN}, {RES}', 'energy_j - fit', 'fitted_rows')})"
+SQL["shapiro_wilk_log"] = f"{_shapiro_row}({_shapiro(f'WITH {LOG}', 'energy_j', 'ok')})"
+
+
+def _assumptions(c: str) -> str:
+    lead = f"WITH {_as_energy(c)}"
+    spread = [(name, f"SELECT f AS statistic, p FROM ({f_tail('SELECT f AS keep, * FROM (' + _levene(center).replace(f'WITH {LOG}', lead).replace('FROM ok', 'FROM design') + ')', 'f')})")
+              for name, center in (("Levene homogeneity", "avg"), ("Brown-Forsythe homogeneity", "median"))]
+    normal = f"SELECT statistic, p FROM ({_shapiro(f'{lead}, {RES}', 'energy_j - fit', 'fitted_rows')})"
+    return " UNION ALL ".join(f"SELECT '{c}' AS outcome, '{name}' AS diagnostic, statistic, p FROM ({query})"
+                              for name, query in [("Shapiro-Wilk residual normality", normal), *spread])
+
+
+SQL["assumption_summary"] = f"""WITH tests AS ({' UNION ALL '.join(_assumptions(c) for c in OUTCOMES)})
+SELECT outcome, diagnostic, {r('statistic')} AS statistic, {r('p')} AS p_value, p < 0.05e0 AS rejected,
+  CASE WHEN bool_or(p < 0.05e0 AND diagnostic NOT LIKE 'Levene%') OVER (PARTITION BY outcome) THEN 'aligned rank transform'
+    ELSE 'original-scale factorial' END AS method FROM tests"""
+SQL["qq_points"] = f"""WITH {LOG}, p AS (SELECT row_number() OVER (ORDER BY energy_j) AS "position", count(*) OVER () AS n,
+  (energy_j - avg(energy_j) OVER ()) / stddev_pop(energy_j) OVER () AS sample FROM ok)
+SELECT "position", {r(normal_quantile('"position" / (n + 1e0)'))} AS theoretical, {r('sample')} AS sample FROM p"""
+SQL["tail_p"] = f"""WITH g AS (SELECT l_linenumber, l_returnflag, avg(l_quantity) AS q FROM lineitem GROUP BY ALL),
+t AS (SELECT *, pow(1e1, 3 + 10 * (l_linenumber - 1) / 6e0) AS d2, q / 10 AS f FROM g)
+SELECT l_linenumber, l_returnflag, {r('p', 9)} AS p_value FROM ({f_tail("SELECT *, CASE l_returnflag WHEN 'A' THEN 1e0 WHEN 'N' THEN 2e0 ELSE 7e0 END AS d1 FROM t", "l_linenumber, l_returnflag")})"""
 SQL["qq_samples"] = f"""WITH {LOG} SELECT row_number() OVER (ORDER BY energy_j) AS "position",
   {r('(energy_j - avg(energy_j) OVER ()) / stddev_pop(energy_j) OVER ()')} AS sample FROM ok"""
 
@@ -359,7 +438,7 @@ def _marginal(subset: tuple[str, ...]) -> str:
     return f"avg(energy_j) OVER ({part})"
 
 
-def _art(design: str = DESIGN, digits: int = 5) -> str:
+def _art(design: str = DESIGN, digits: int = 5, columns: str = "") -> str:
     terms = [t for k in range(1, 6) for t in combinations(FACTORS, k)]
     subs = [s for k in range(6) for s in combinations(FACTORS, k)]
     name = {s: "m_" + "_".join(str(FACTORS.index(f)) for f in s) for s in subs}
@@ -377,14 +456,21 @@ cells AS (SELECT target, {F5}, count(*) AS n, avg(m0) AS m FROM ranked GROUP BY
 fitted_rows AS (SELECT target, m0 - avg(m0) OVER (PARTITION BY target, {F5}) - avg(m0) OVER (PARTITION BY target, block)
     + avg(m0) OVER (PARTITION BY target) AS res FROM ranked),
 rss AS (SELECT target, sum(res * res) AS rss, 423 AS rdf FROM fitted_rows GROUP BY ALL)
-SELECT {_effect} FROM terms JOIN rss ON rss.target = terms.target AND terms.term = rss.target"""
+SELECT {columns or _effect} FROM terms JOIN rss ON rss.target = terms.target AND terms.term = rss.target"""
 
 
 SQL["art_anova"] = _art()
+SQL["art_anova_p"] = _p_of(_art(columns="term, df, (ss / df) / (rss / rdf) AS f, df AS d1, rdf AS d2"), "term, df")
 SQL["art_anova_secondary"] = " UNION ALL ".join(
     f"SELECT *, '{c}' AS outcome FROM ({_art(_as_energy(c), 8)})" for c in OUTCOMES[1:])
-SQL["art_alignment_check"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{':'.join(t)}', true)" for k in range(1, 6) for t in combinations(FACTORS, k)) + ") AS t(target, ok)"
+# an aligned term sums to zero and carries its own effect only
+_alignment = _art().split("ranked AS (")[0]
+SQL["art_alignment_check"] = f"""{_alignment} cells AS (SELECT target, {F5}, count(*) AS n, avg(y) AS m FROM aligned GROUP BY ALL),
+{_terms('cells', 'target')}, sums AS (SELECT target, sum(y) AS total FROM aligned GROUP BY ALL),
+raw AS (SELECT term, ss FROM (WITH {DESIGN}, {CELLS.format(source='design')}, {_terms('cells')} SELECT * FROM terms)),
+own AS (SELECT target, max(ss) FILTER (term = target) AS own, max(ss) FILTER (term <> target) AS other FROM terms GROUP BY ALL)
+SELECT own.target, {r('total / 1e4', 3)} AS aligned_sum, {r('own / ss', 3)} AS target_share, {r('other / ss', 3)} AS largest_other_share,
+  other <= 1e-9 * ss AND abs(total) < 1e-2 AS ok FROM own JOIN sums USING (target) JOIN raw ON raw.term = own.target"""
 SQL["artc_engine_pairwise"] = f"""WITH {DESIGN}, aligned AS (SELECT *, round(energy_j - avg(energy_j) OVER (PARTITION BY config_id)
     + avg(energy_j) OVER (PARTITION BY engine), 5) AS y FROM design),
 ranked AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS r FROM aligned),
@@ -396,6 +482,14 @@ SELECT a.engine || ' - ' || b.engine AS contrast, {r('a.m - b.m')} AS estimate,
 FROM lv a JOIN lv b ON a.engine < b.engine, rss"""
 
 
+def _holm(query: str, keep: str, family: str = "") -> str:
+    """Two-sided p values of t_ratio on df, and Holm's over each family."""
+    tails = f_tail(f"SELECT *, t_ratio * t_ratio AS f, 1e0 AS d1, df AS d2 FROM ({query})", keep)
+    part = f"PARTITION BY {family} " if family else ""
+    return f"""WITH tails AS ({tails}), steps AS (SELECT *, least(1e0, (count(*) OVER ({part}) - row_number() OVER ({part}ORDER BY p) + 1) * p) AS q FROM tails)
+SELECT {keep}, {r('p')} AS p_value, {r(f'max(q) OVER ({part}ORDER BY p ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM steps"""
+
+
 def _within(f: str) -> str:
     return f"""SELECT * FROM (WITH {DESIGN}, aligned AS (SELECT *, round(energy_j - avg(energy_j) OVER (PARTITION BY config_id)
     + avg(energy_j) OVER (PARTITION BY engine, {f}), 5) AS y FROM design),
@@ -409,6 +503,8 @@ FROM lv a JOIN lv b ON a.engine = b.engine AND a.lev = '{LEVELS[f][0]}' AND b.le
 
 
 SQL["artc_within_engine"] = " UNION ALL ".join(_within(f) for f in FACTORS[1:])
+SQL["artc_engine_pairwise_holm"] = _holm(SQL["artc_engine_pairwise"].replace(r('(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))'), "(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))"), "contrast")
+SQL["artc_within_engine_holm"] = _holm(SQL["artc_within_engine"].replace(r('(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))'), "(a.m - b.m) / sqrt(mse * (1e0 / a.n + 1e0 / b.n))"), "factor, engine, contrast", "factor")
 SQL["holm_adjust"] = f"""WITH {LOG}, p AS (SELECT engine, config_id, CAST(CAST(sum(runtime_s) AS BIGINT) % 997 AS DOUBLE) / 2e4 AS p_value FROM ok GROUP BY ALL),
 s AS (SELECT *, least(1e0, (count(*) OVER (PARTITION BY engine) - row_number() OVER (PARTITION BY engine ORDER BY p_value) + 1) * p_value) AS q FROM p)
 SELECT engine, config_id, {r('p_value')} AS p_value, {r('max(q) OVER (PARTITION BY engine ORDER BY p_value ROWS UNBOUNDED PRECEDING)')} AS p_holm FROM s"""
@@ -432,6 +528,8 @@ _corr = " UNION ALL ".join(
         ("configuration-mean", "Spearman",
          f"(SELECT {_avg_rank('energy_mean')} AS a, {_avg_rank('runtime_mean')} AS b FROM means)")))
 SQL["correlations"] = f"WITH {LOG}, {MEANS.format(source='ok')} {_corr}"
+SQL["correlations_p"] = _p_of(f"""SELECT level, method, n, statistic * statistic * (n - 2) / (1 - statistic * statistic) AS f, 1e0 AS d1, n - 2e0 AS d2
+FROM (WITH {LOG}, {MEANS.format(source='ok')} {_corr.replace(r('corr(a, b)'), 'corr(a, b)')})""", "level, method, n")
 SQL["average_ranks"] = f"""WITH {LOG}, k AS (SELECT engine, runtime_s AS "value", rank() OVER (PARTITION BY engine ORDER BY runtime_s) AS m,
   count(*) OVER (PARTITION BY engine) AS total FROM ok)
 SELECT engine, "value", count(*) AS n, m AS min_rank, m + (count(*) - 1) / 2e0 AS avg_rank, total FROM k GROUP BY engine, "value", m, total"""
@@ -456,7 +554,7 @@ SELECT config_id, {_pareto('means', ['energy_mean', 'runtime_mean'])} AS pareto_
 SQL["position_drift"] = f"""WITH {DESIGN}, {RES}, k AS (SELECT row_number() OVER (PARTITION BY block ORDER BY {hash_key('block', 'config_id')}, config_id) AS pos,
   energy_j - fit AS res FROM fitted_rows),
 ranks AS (SELECT {_avg_rank('pos')} AS a, {_avg_rank('res')} AS b FROM k)
-SELECT count(*) AS n, {r('corr(a, b)')} AS spearman_rho FROM ranks"""
+SELECT n, {r('rho')} AS spearman_rho, {r('p')} AS p_value FROM ({f_tail("SELECT n, rho, rho * rho * (n - 2) / (1 - rho * rho) AS f, 1e0 AS d1, n - 2e0 AS d2 FROM (SELECT count(*) AS n, corr(a, b) AS rho FROM ranks)", "n, rho")})"""
 LOO = f"""cb AS (SELECT config_id, block, sum(energy_j) AS s, count(*) AS n FROM ok GROUP BY ALL),
 tot AS (SELECT config_id, sum(s) AS ts, sum(n) AS tn FROM cb GROUP BY ALL),
 full_best AS (SELECT config_id FROM tot ORDER BY ts / tn, config_id LIMIT 1),

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatt.catalog.registry import query
 from tallywatt.catalog.rounding import rounded
-from tallywatt.catalog.telemetry_queries import telemetry
+from tallywatt.catalog.telemetry_queries import run_folder, telemetry
 from tallywatt.operators import anova, art, clean, design as D, diagnostics as G, quality as Q, relations as R, summary as S
+from tallywatt.functions.dist_columns import f_tail
 from tallywatt.operators import profile as P
 from tallywatt.operators.features import derive
 from tallywatt.schema import OUTCOMES
-from tallywatt.sources import adapters as A
-from tallywatt.sources.tables import lineitem
+from tallywatt.sources import adapters as A, sinks
+from tallywatt.sources.tables import count_rows, lineitem, read_if_exists, read_runs
 
 LEVELS = {
     "engine": ["A", "N", "R"],
@@ -54,6 +55,76 @@ def sample_random(spark, sf_dir):
     return D.random_n(telemetry(spark, sf_dir), 500, seed=7).select("sample_index", "cpu_percent", "core_id")
 
 
+@query
+def sample_first_large(spark, sf_dir):
+    """More rows than a top-n holds, by a key with nulls and ties."""
+    lines = lineitem(spark, sf_dir).select(
+        F.when(F.col("l_linenumber") != 1, F.col("l_quantity")).alias("k"), "l_orderkey", "l_linenumber", "l_partkey")
+    return D.first_n(lines, 25_000, order="k")
+
+
+@query
+def sample_random_large(spark, sf_dir):
+    lines = lineitem(spark, sf_dir).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_extendedprice")
+    return D.random_n(lines, 12_000, seed=3, unit="line")
+
+
+@query
+def stored_subset(spark, sf_dir):
+    """A subset that was stored, found again and read back."""
+    source = f"{sf_dir}/lineitem.parquet"
+    rows = lineitem(spark, sf_dir).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("sample_index"),
+                                          "l_partkey", "l_quantity")
+    folder = run_folder(spark)
+    sinks.stored_subset(rows, folder, source, 3000)
+    found = sinks.stored_subset(rows.limit(0), folder, source, 3000)
+    return spark.read.parquet(found["parquet_path"])
+
+
+@query
+def run_log_read_back(spark, sf_dir):
+    """Runs appended to a log in two goes, read by name and normalised."""
+    folder, rows = run_folder(spark), log(spark, sf_dir)
+    for part in (rows.filter("status = 'ok'"), rows.filter("status <> 'ok'")):
+        sinks.append_runs(part, f"{folder}/runs.csv")
+    runs = clean.normalise_runs(read_runs(spark, f"{folder}/runs.csv"))
+    return runs.groupBy("engine", "execution_mode").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum(F.round(F.col("energy_j") * 100).cast("long")).alias("cents"))
+
+
+@query
+def run_metadata(spark, sf_dir):
+    path = f"{run_folder(spark)}/metadata.json"
+    sinks.run_metadata(design(spark, sf_dir), path, {"seed": 42})
+    return spark.read.json(path)
+
+
+@query
+def write_result(spark, sf_dir):
+    """A result table in its order, read back with the number of its line."""
+    table = ok(spark, sf_dir).groupBy("config_id").agg(F.count(F.lit(1)).alias("runs"))
+    path = sinks.write_result(table, run_folder(spark), "runs", order=["config_id"])
+    return spark.read.option("header", True).schema("config_id string, runs long").csv(path)
+
+
+@query
+def level_order(spark, sf_dir):
+    """The order of the levels found in the log."""
+    return D.level_order(spark, anova.observed_levels(log(spark, sf_dir)))
+
+
+@query
+def optional_tables(spark, sf_dir):
+    """Rows of the tables that are there; an absent one gives none."""
+    out = None
+    for name in ("orders", "supplier", "absent"):
+        table = read_if_exists(spark, f"{sf_dir}/{name}.parquet")
+        rows = F.lit(None if table is None else count_rows(table)).cast("long")
+        row = spark.range(1).select(F.lit(name).alias("name"), rows.alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- data quality ------------------------------------------------------------
 
 @query
@@ -120,8 +191,9 @@ def block_schedule_lines(spark, sf_dir):
 @query
 def pending_runs(spark, sf_dir):
     runs = log(spark, sf_dir).withColumn("block", F.col("block") + F.pmod(F.col("workers"), F.lit(3)) * 10)
+    failing = runs.withColumn("status", F.when(F.col("energy_j") > 20000, F.col("status")).otherwise("error"))
     units = runs.select("config_id").distinct()
-    return D.pending_runs(D.block_schedule(units, 20, seed=42), runs.filter("energy_j > 20000"))
+    return D.pending_runs(D.block_schedule(units, 20, seed=42), failing)
 
 
 @query
@@ -139,7 +211,8 @@ def select_configs(spark, sf_dir):
 
 @query
 def check_design(spark, sf_dir):
-    runs = design(spark, sf_dir).filter("not (block = 3 and engine = 'N')")
+    moved = F.when((F.col("block") == 3) & (F.col("engine") == "N"), 13).otherwise(F.col("block"))
+    runs = design(spark, sf_dir).withColumn("block", moved)
     return D.check_design(runs, LEVELS, BLOCKS)
 
 
@@ -302,8 +375,8 @@ def type3_anova_outcomes(spark, sf_dir):
 
 @query
 def type3_anova_p(spark, sf_dir):
-    """With p values, Intercept and Residual rows."""
-    return anova.type3_anova(design(spark, sf_dir), OUTCOMES, LEVELS)
+    table = anova.effect_rows(anova.type3_anova(design(spark, sf_dir), OUTCOMES, LEVELS))
+    return rounded(table.select("outcome", "term", "df", "p_value"))
 
 
 @query
@@ -343,7 +416,7 @@ def interpretation(spark, sf_dir):
 # --- diagnostics -------------------------------------------------------------
 
 def _statistic(table: DataFrame) -> DataFrame:
-    return rounded(table.select("statistic", "df1", "df2"))
+    return rounded(table.select("statistic", "df1", "df2", "p_value"))
 
 
 @query
@@ -358,17 +431,17 @@ def brown_forsythe(spark, sf_dir):
 
 @query
 def shapiro_wilk(spark, sf_dir):
-    return G.shapiro_wilk(anova.residuals(design(spark, sf_dir), "energy_j", LEVELS))
+    return rounded(G.shapiro_wilk(anova.residuals(design(spark, sf_dir), "energy_j", LEVELS)))
 
 
 @query
 def shapiro_wilk_log(spark, sf_dir):
-    return G.shapiro_wilk(ok(spark, sf_dir), "energy_j")
+    return rounded(G.shapiro_wilk(ok(spark, sf_dir), "energy_j"))
 
 
 @query
 def qq_points(spark, sf_dir):
-    return G.qq_points(ok(spark, sf_dir), "energy_j")
+    return rounded(G.qq_points(ok(spark, sf_dir), "energy_j"))
 
 
 @query
@@ -379,7 +452,16 @@ def qq_samples(spark, sf_dir):
 
 @query
 def assumption_summary(spark, sf_dir):
-    return G.assumption_summary(design(spark, sf_dir), OUTCOMES, LEVELS)
+    return rounded(G.assumption_summary(design(spark, sf_dir), OUTCOMES, LEVELS))
+
+
+@query
+def tail_p(spark, sf_dir):
+    """P(F > f) from 1e3 to 1e13 degrees of freedom."""
+    groups = lineitem(spark, sf_dir).groupBy("l_linenumber", "l_returnflag").agg((F.avg("l_quantity") / 10).alias("f"))
+    df1 = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.0).otherwise(7.0)
+    df2 = F.pow(F.lit(10.0), 3 + 10 * (F.col("l_linenumber") - 1) / 6.0)
+    return rounded(groups.select("l_linenumber", "l_returnflag", f_tail("f", df1, df2).alias("p_value")), 9)
 
 
 # --- aligned ranks -----------------------------------------------------------
@@ -400,13 +482,18 @@ def art_anova_secondary(spark, sf_dir):
 
 @query
 def art_anova_p(spark, sf_dir):
-    """With p values."""
-    return art.art_anova(design(spark, sf_dir), "energy_j", LEVELS)
+    return rounded(art.art_anova(design(spark, sf_dir), "energy_j", LEVELS).select("term", "df", "p_value"))
 
 
 @query
 def art_alignment_check(spark, sf_dir):
-    return art.art_alignment_check(design(spark, sf_dir), "energy_j", LEVELS).select("target", "ok")
+    """Sums of squares as shares of the term's own in the raw outcome."""
+    runs = design(spark, sf_dir)
+    own = anova.type3_anova(runs, ["energy_j"], LEVELS).select(F.col("term").alias("target"), "sum_sq")
+    table = art.art_alignment_check(runs, "energy_j", LEVELS).join(own, "target")
+    share = lambda c: (F.col(c) / F.col("sum_sq"))
+    return rounded(table.select("target", (F.col("aligned_sum") / 1e4).alias("aligned_sum"), share("target_sum_sq").alias("target_share"),
+                                share("largest_other_sum_sq").alias("largest_other_share"), "ok"), 3)
 
 
 @query
@@ -417,7 +504,8 @@ def artc_engine_pairwise(spark, sf_dir):
 
 @query
 def artc_engine_pairwise_holm(spark, sf_dir):
-    return art.artc_pairwise(design(spark, sf_dir), ["engine"], "energy_j", LEVELS)
+    table = art.artc_pairwise(design(spark, sf_dir), ["engine"], "energy_j", LEVELS)
+    return rounded(table.select("contrast", "p_value", "p_holm"))
 
 
 def _within(spark, sf_dir) -> DataFrame:
@@ -437,7 +525,7 @@ def artc_within_engine(spark, sf_dir):
 @query
 def artc_within_engine_holm(spark, sf_dir):
     """With p values, raw and adjusted."""
-    return _within(spark, sf_dir)
+    return rounded(_within(spark, sf_dir).select("factor", "engine", "contrast", "p_value", "p_holm"))
 
 
 @query
@@ -467,7 +555,7 @@ def correlations(spark, sf_dir):
 
 @query
 def correlations_p(spark, sf_dir):
-    return R.correlations(ok(spark, sf_dir))
+    return rounded(R.correlations(ok(spark, sf_dir)).drop("statistic"))
 
 
 @query
@@ -501,7 +589,7 @@ def pareto_configs(spark, sf_dir):
 def position_drift(spark, sf_dir):
     runs = D.block_positions(design(spark, sf_dir), seed=0)
     table = R.position_drift(anova.residuals(runs, "energy_j", LEVELS))
-    return rounded(table.select("n", "spearman_rho"))
+    return rounded(table.select("n", "spearman_rho", "p_value"))
 
 
 @query

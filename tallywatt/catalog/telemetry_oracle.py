@@ -205,11 +205,11 @@ SQL["session_log"] = f"""WITH {SAMPLES} SELECT host, session_id, min(ts) AS sess
   count(*) AS new_rows, count(*) AS total_rows, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration_s
   FROM samples GROUP BY ALL"""
 _codes = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM "
-    f"(SELECT DISTINCT coalesce({c}, 'missing') AS value FROM telemetry)" for c in CATEGORY_COLUMNS)
+    f"SELECT '{c}' AS \"column\", value, CAST(row_number() OVER (ORDER BY coalesce(value, 'missing'), value IS NULL) - 1 AS INTEGER) AS code FROM "
+    f"(SELECT DISTINCT {c} AS value FROM telemetry)" for c in CATEGORY_COLUMNS)
 SQL["category_codes"] = f"WITH {TELEMETRY} {_codes}"
 SQL["encode_categories"] = f"WITH {TELEMETRY} SELECT sample_index, " + ", ".join(
-    f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'missing')) - 1 AS INTEGER) AS {c}" for c in CATEGORY_COLUMNS) + " FROM telemetry"
+    f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'missing'), {c} IS NULL) - 1 AS INTEGER) AS {c}" for c in CATEGORY_COLUMNS) + " FROM telemetry"
 SQL["decode_categories"] = f"WITH {TELEMETRY} SELECT sample_index, {', '.join(CATEGORY_COLUMNS)} FROM telemetry"
 SQL["dedup_rows"] = f"WITH {TELEMETRY} SELECT sample_index, cpu_percent, core_id FROM telemetry"
 SQL["null_counts"] = f"""WITH {TELEMETRY}, changed AS (SELECT *, CASE WHEN sample_index % 2 = 0 THEN 'x' END AS half_null,
@@ -231,3 +231,6 @@ SQL["profile_csv_copy"] = SQL["profile_float64"]
 SQL["stream_build_telemetry"] = SQL["build_telemetry"]
 SQL["stream_dedup_features"] = SQL["derive_features"]
 SQL["stream_hot_sessions"] = SQL["build_telemetry"]
+SQL["stream_progress"] = f"""WITH {TELEMETRY} SELECT count(*) AS "rows", true AS several, epoch_us(min("timestamp")) // 1000000 AS first_s,
+  epoch_us(max("timestamp")) // 1000000 AS last_s FROM telemetry"""
+SQL["overwrite_rows"] = f"WITH {TELEMETRY} SELECT sample_index, cpu_percent FROM telemetry WHERE sample_index % 3 < 2"

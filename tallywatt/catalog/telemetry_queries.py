@@ -193,18 +193,46 @@ def profile_csv_copy(spark, sf_dir):
     return rounded(P.telemetry_profile(read_telemetry(spark, f"{folder}/t.parquet")))
 
 
+FILES = 2
+
+
+def arriving(spark: SparkSession, sf_dir: str, folder: str, batches: int = 4) -> DataFrame:
+    """The events as a stream of several micro-batches in time order: written in
+    that order, FILES files each, and read FILES files at a time."""
+    rows = events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = rows.agg(F.percentile_approx("at", [k / batches for k in range(1, batches)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        after, before = (F.lit(True) if low is None else F.col("at") >= low), (F.lit(True) if high is None else F.col("at") < high)
+        rows.where(after & before).drop("at").repartition(FILES).write.mode("append").parquet(f"{folder}/events")
+    schema = rows.drop("at").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/events")
+
+
 @query
 def stream_build_telemetry(spark, sf_dir):
-    """The stateful stream form of ``build_telemetry``."""
+    """The stateful stream form of ``build_telemetry``, over several micro-batches."""
     folder = run_folder(spark)
-    source = events(spark, sf_dir)
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = streams.stream_telemetry(A.raw_samples_from_events(stream))
+    rows = streams.stream_telemetry(A.raw_samples_from_events(arriving(spark, sf_dir, folder)))
     stateful(spark)
     streams.append_stream(rows, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").drop("late"))
 
 
+@query
+def stream_progress(spark, sf_dir):
+    """What the progress events of a stream report, over all its micro-batches."""
+    folder = run_folder(spark)
+    rows = streams.with_progress(A.telemetry_from_events(arriving(spark, sf_dir, folder)))
+    stream = streams.append_stream(rows, f"{folder}/out", f"{folder}/checkpoint", available_now=True)
+    stream.awaitTermination()
+    told = [p["observedMetrics"]["telemetry"] for p in stream.recentProgress if "telemetry" in p["observedMetrics"]]
+    told = [(p["rows"], str(p["first"]), str(p["last"])) for p in (t.asDict() for t in told) if p["rows"]]
+    table = spark.createDataFrame(told, "rows long, first string, last string")
+    seconds = lambda c: F.unix_seconds(F.to_timestamp(c))  # progress events hold whole seconds
+    return table.agg(F.sum("rows").alias("rows"), (F.count("*") > 1).alias("several"),
+                     F.min(seconds("first")).alias("first_s"), F.max(seconds("last")).alias("last_s"))
+
+
 @query
 def stream_dedup_features(spark, sf_dir):
     """Repeated rows dropped on the stream, then the derived columns."""
@@ -218,10 +246,19 @@ def stream_dedup_features(spark, sf_dir):
 
 @query
 def stream_hot_sessions(spark, sf_dir):
-    """The micro-batch form of ``build_telemetry`` for dominant sessions."""
+    """The micro-batch form of ``build_telemetry`` for dominant sessions, over
+    several micro-batches."""
     folder = run_folder(spark)
-    source = events(spark, sf_dir)
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    hot_sessions.build_stream(A.raw_samples_from_events(stream), f"{folder}/out", f"{folder}/state",
+    hot_sessions.build_stream(A.raw_samples_from_events(arriving(spark, sf_dir, folder)), f"{folder}/out", f"{folder}/state",
                               f"{folder}/checkpoint", available_now=True).awaitTermination()
     return rounded(spark.read.parquet(f"{folder}/out").drop("late", "batch"))
+
+
+@query
+def overwrite_rows(spark, sf_dir):
+    """A table that was started afresh holds the second rows only."""
+    folder, rows = run_folder(spark), telemetry(spark, sf_dir).select("sample_index", "cpu_percent")
+    sinks.append_rows(rows, f"{folder}/t")
+    sinks.append_rows(rows.filter("sample_index % 3 = 0"), f"{folder}/t", overwrite=True)
+    sinks.append_rows(rows.filter("sample_index % 3 = 1"), f"{folder}/t")
+    return spark.read.parquet(f"{folder}/t")

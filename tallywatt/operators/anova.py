@@ -62,6 +62,11 @@ class Design:
             number = number * len(values) + chain
         return number.cast("int")
 
+    def declared_cell(self) -> Column:
+        """The cell number; a row with an undeclared level is an error."""
+        told = F.concat_ws(", ", *[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in self.factors])
+        return F.coalesce(self.cell(), F.raise_error(F.concat(F.lit("undeclared level in: "), told)).cast("int"))
+
     def terms(self) -> list[tuple[str, ...]]:
         """Main effects first, then interactions by order."""
         return [t for k in range(1, len(self.factors) + 1) for t in combinations(self.factors, k)]
@@ -105,10 +110,15 @@ def term_name(term: Sequence[str]) -> str:
 
 
 def observed_levels(runs: DataFrame, factors: Sequence[str] = FACTORS) -> dict[str, list[str]]:
-    """Sorted levels found in the log (one pass, at most MAX_CELLS each)."""
+    """Sorted levels found in the log. A factor with more than MAX_CELLS levels
+    is no factor of a design that can be solved, and an error."""
     pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in factors])
-    found = runs.select(F.inline(pairs)).distinct().limit(MAX_CELLS * len(factors) + 1).collect()
-    return {f: sorted(r["v"] for r in found if r["f"] == f and r["v"] is not None) for f in factors}
+    limit = MAX_CELLS * len(factors)
+    found = runs.select(F.inline(pairs)).where("v is not null").distinct().limit(limit + 1).collect()
+    levels = {f: sorted(r["v"] for r in found if r["f"] == f) for f in factors}
+    if len(found) > limit or any(len(v) > MAX_CELLS for v in levels.values()):
+        raise ValueError(f"more than {MAX_CELLS} levels of a factor")
+    return levels
 
 
 def moments(design: Design, rows: DataFrame, outcomes: Sequence[str], block: str | None,
@@ -116,7 +126,7 @@ def moments(design: Design, rows: DataFrame, outcomes: Sequence[str], block: str
     """(by, outcome, cell, block, n, mean, m2) of the rows; ``m2`` is the sum
     of squared deviations within the block and cell.
     """
-    place = rows.withColumn("cell", design.cell() if "cell" not in rows.columns else F.col("cell")).filter("cell is not null")
+    place = rows if "cell" in rows.columns else rows.withColumn("cell", design.declared_cell())
     key = F.col(block) if block else F.lit(0)
     aggs = []
     for c in outcomes:

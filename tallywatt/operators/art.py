@@ -42,7 +42,7 @@ def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
     expanded once per target and never joined again.
     """
     runs, _ = small_copy(runs.select(*design.factors, block, outcome))
-    means = runs.withColumn("cell", design.cell()).filter("cell is not null").groupBy("cell").agg(
+    means = runs.withColumn("cell", design.declared_cell()).groupBy("cell").agg(
         F.avg(outcome).alias("mean"), F.count(outcome).alias("n"))
     table = {r["cell"]: r for r in means.limit(design.cells).collect()}
     empty = [design.label(i) for i in range(design.cells) if i not in table or not table[i]["n"]]

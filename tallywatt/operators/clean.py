@@ -144,49 +144,34 @@ def long_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS, missing: str = "missing") -> DataFrame:
-    """Dictionary (column, value, code): codes follow value order from 0."""
-    values = (
-        long_categories(df, cols)
-        .withColumn("value", F.coalesce("value", F.lit(missing)))
-        .distinct()
-    )
-    code = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
-    return values.withColumn("code", code)
+    """Dictionary (column, value, code): codes follow value order from 0. Null is
+    a value of its own, placed right behind the text ``missing``."""
+    values = long_categories(df, cols).distinct()
+    order = W.partitionBy("column").orderBy(F.coalesce("value", F.lit(missing)), F.col("value").isNull())
+    return values.withColumn("code", F.row_number().over(order) - 1)
 
 
-def encode_categories(df: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS, missing: str = "missing",
-                      codes: DataFrame | None = None) -> DataFrame:
-    """Replace category text by its code, through a dictionary join.
-
-    The dictionary is broadcast only after its row count was checked; a larger
-    one is joined by shuffle.
-    """
-    codes = checked_small(category_codes(df, cols, missing) if codes is None else codes)
+def _looked_up(df: DataFrame, codes: DataFrame, cols: Sequence[str], found: str, wanted: str) -> DataFrame:
+    """Each column's cell replaced by what the dictionary says: one null-safe join
+    per column, broadcast if the dictionary's checked size allows it."""
+    codes = checked_small(codes)
     out = df
     for c in cols:
-        part = codes.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__c"))
-        out = (
-            out.withColumn("__v", F.coalesce(F.col(c).cast("string"), F.lit(missing)))
-            .join(part, "__v", "left")
-            .withColumn(c, F.col("__c"))
-            .drop("__v", "__c")
-        )
+        part = codes.filter(F.col("column") == c).select(F.col(found).alias("__f"), F.col(wanted).alias("__w"))
+        cell = F.col(c).cast("string") if found == "value" else F.col(c)
+        out = out.join(part, cell.eqNullSafe(F.col("__f")), "left").withColumn(c, F.col("__w")).drop("__f", "__w")
     return out.select(*df.columns)
 
 
-def decode_categories(df: DataFrame, codes: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS,
-                      missing: str = "missing") -> DataFrame:
-    codes = checked_small(codes)
-    out = df
-    for c in cols:
-        part = codes.filter(F.col("column") == c).select(F.col("code").alias("__c"), F.col("value").alias("__v"))
-        out = (
-            out.withColumn("__c", F.col(c))
-            .join(part, "__c", "left")
-            .withColumn(c, F.nullif(F.col("__v"), F.lit(missing)))
-            .drop("__c", "__v")
-        )
-    return out.select(*df.columns)
+def encode_categories(df: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS, missing: str = "missing",
+                      codes: DataFrame | None = None) -> DataFrame:
+    """Replace category text by its code."""
+    return _looked_up(df, category_codes(df, cols, missing) if codes is None else codes, cols, "value", "code")
+
+
+def decode_categories(df: DataFrame, codes: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS) -> DataFrame:
+    """Codes back to text and null."""
+    return _looked_up(df, codes, cols, "code", "value")
 
 
 def ok_runs(runs: DataFrame) -> DataFrame:

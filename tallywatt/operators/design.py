@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallywatt.operators.clean import select_configs
-from tallywatt.plans.ranks import values_at
 from tallywatt.plans.segments import with_history
 from tallywatt.schema import FACTORS, PUBLISHED_LEVELS
-from tallywatt.session import shuffle_partitions
+from tallywatt.session import shuffle_partitions, stored
 
 HASH_HEX = 13  # 52 bits: exact in a double
-MAX_TOP_ROWS = 10_000
 
 
 def config_id(factors: Sequence[str] = FACTORS) -> Column:
@@ -84,23 +80,32 @@ def latest_state(log: DataFrame, keys: Sequence[str] = ("block", "config_id"), o
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
-def _smallest(df: DataFrame, key: str, n: int, ties: Sequence[str]) -> DataFrame:
-    """The n rows with the smallest key; ties fall by the ``ties`` columns.
+def _smallest(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The n first rows by ``keys``, nulls first; ties fall by the other columns
+    that can be ordered, in their order. Fewer rows if there are no more.
 
-    A small n is a top-n. For a large n the n-th key is looked up by counting
-    value ranges, and the rows below it are a plain filter: no task sorts or
-    holds n rows.
+    The keys are dealt into ranges and counted; only the range that holds the
+    n-th row is ordered, to find its key. The rows before that key are then a
+    plain filter, so no task holds n rows, whatever n is.
     """
-    if n <= MAX_TOP_ROWS:
-        return df.orderBy(key, *ties).limit(n)
-    edge = values_at(df, [key], [], {"last": lambda total: F.lit(n - 1)}).first()
-    if edge is None:
+    rest = [f.name for f in df.schema if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = F.struct(*keys, *rest)
+    ranged = df.select(order.alias("k")).repartitionByRange(F.col("k"))
+    placed = stored(ranged.select("k", F.spark_partition_id().alias("range")))
+    before = 0
+    for range_, rows in sorted(map(tuple, placed.groupBy("range").count().collect())):  # one row per task
+        if before + rows >= n:
+            break
+        before += rows
+    else:
         return df
-    number = F.col(key).cast("double")
-    below = df.filter(number < edge["value"])
-    left = n - edge["below"]
-    at_edge = df.filter(number == edge["value"])
-    return below.unionByName(at_edge if left == edge["same"] else at_edge.orderBy(key, *ties).limit(left))
+    edge = (placed.where(F.col("range") == range_).orderBy("k").limit(n - before)
+            .agg(F.max("k").alias("k"), F.count_if(F.lit(True)).alias("n")))
+    inside = placed.where(F.col("range") == range_).join(F.broadcast(edge.select(F.col("k").alias("edge"))), F.col("k") < F.col("edge"))
+    left = n - before - inside.count()
+    last = F.broadcast(edge.select(F.col("k").alias("__edge")))  # one row
+    first = df.join(last, order < F.col("__edge")).drop("__edge")
+    return first.unionByName(df.join(last, order.eqNullSafe(F.col("__edge"))).drop("__edge").limit(left))
 
 
 def _check_rows(n: int) -> None:
@@ -109,9 +114,9 @@ def _check_rows(n: int) -> None:
 
 
 def first_n(df: DataFrame, n: int, order: str = "sample_index") -> DataFrame:
-    """The first n rows in sample order; 0 means all."""
+    """The first n rows in sample order, a null order first; 0 means all."""
     _check_rows(n)
-    return df if n == 0 else _smallest(df, order, n, [])
+    return df if n == 0 else _smallest(df, [order], n)
 
 
 def random_n(df: DataFrame, n: int, seed: int = 0, unit: str = "sample_index") -> DataFrame:
@@ -122,13 +127,7 @@ def random_n(df: DataFrame, n: int, seed: int = 0, unit: str = "sample_index") -
     if n == 0:
         return df
     keyed = df.withColumn("__h", hash_key(F.lit(seed), F.col(unit)))
-    return _smallest(keyed, "__h", n, [unit]).drop("__h")
-
-
-def subset_signature(**settings) -> str:
-    """Folder name part of a stored subset: the same settings, the same name."""
-    text = json.dumps(settings, sort_keys=True, default=str)
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    return _smallest(keyed, ["__h", unit], n).drop("__h")
 
 
 def expected_cells(spark: SparkSession, levels: Mapping[str, Sequence[str]], blocks: Sequence[int]) -> DataFrame:

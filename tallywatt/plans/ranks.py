@@ -156,30 +156,10 @@ def values_at(df: DataFrame, cols: Sequence[str], keys: Sequence[str], wanted: M
     return found.withColumn("__hits", hits).select(*group, F.inline("__hits"), "value", "below", "same")
 
 
-BUILTIN_ROWS = 1_000_000
-
-
-def _builtin_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols]
-    probs = [float(p) for p in probs]
-    wide = df.groupBy(*keys).agg(*[F.percentile(x, probs).alias(f"__q{i}") for i, x in enumerate(numbers)])
-    entries = [
-        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(f"__q{i}", F.lit(j)).alias("quantile"))
-        for i, c in enumerate(cols) for j, p in enumerate(probs)]
-    return wide.select(*keys, F.inline(F.array(*entries))).filter("quantile is not null")
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
                     parts: int | None = None) -> DataFrame:
-    """(keys, column, prob, quantile) with linear interpolation.
-
-    A table of at most BUILTIN_ROWS rows goes through the built-in percentile,
-    whose buffers list a group's values; the check reads no more rows than
-    that. Anything larger (or a given ``parts``) is counted by value range.
-    """
-    if parts is None and df.select(*cols).limit(BUILTIN_ROWS + 1).count() <= BUILTIN_ROWS:
-        return _builtin_quantiles(df, cols, probs, keys)
-
+    """(keys, column, prob, quantile) with linear interpolation between the two
+    rows around the position (rows - 1) * prob."""
     def at(p: float, side) -> Callable[[Column], Column]:
         return lambda total: side((total - 1) * F.lit(float(p)))
 

@@ -30,12 +30,25 @@ def order_number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
+#: Groups of tasks whose sketches are merged before the last merge, and the
+#: sketch's size parameter (a rank error of about 0.5 %).
+SKETCH_GROUPS, SKETCH_K = 64, 400
+
+
 def _quantile_points(df: DataFrame, cols: Sequence[str], parts: int) -> list[list[float]]:
-    probs = [i / parts for i in range(1, parts)]
-    if not probs:
+    """Quantiles that cut each column into ``parts`` shares, from sketches of a
+    fixed size: those of a group of tasks meet in one task, and so do the
+    groups'. What the last task reads does not grow with the table."""
+    if parts < 2:
         return [[] for _ in cols]
     numbers = [F.nanvl(order_number(df, c), F.lit(None)) for c in cols]
-    found = df.agg(*[F.percentile_approx(x, probs, 4 * parts) for x in numbers]).first()
+    sketches = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(
+        *[F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias(f"s{i}") for i, x in enumerate(numbers)],
+        *[F.count(x).alias(f"n{i}") for i, x in enumerate(numbers)])
+    merged = sketches.agg(*[F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}"))).alias(f"s{i}") for i in range(len(cols))],
+                          *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(cols))])
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = merged.select(*[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", probs)) for i in range(len(cols))]).first()
     return [sorted(points or []) for points in found]
 
 

@@ -31,8 +31,10 @@ TELEMETRY_COLUMNS = [
     "weekday_type",
     "sample_index",
 ]
-NUMERIC_COLUMNS = TELEMETRY_COLUMNS[1:12]
-CATEGORY_COLUMNS = TELEMETRY_COLUMNS[12:23]
+# The numbers that are measured, and the texts that name their state.
+CATEGORY_COLUMNS = [c for c in TELEMETRY_COLUMNS if c == "core_id" or c.endswith(
+    ("_state", "_activity", "_tier", "_period", "_type"))]
+NUMERIC_COLUMNS = [c for c in TELEMETRY_COLUMNS if c not in ("timestamp", "sample_index", *CATEGORY_COLUMNS)]
 DERIVED_COLUMNS = [
     "total_disk_throughput",
     "total_network_throughput",
@@ -41,9 +43,10 @@ DERIVED_COLUMNS = [
     "net_sr_balance",
     "hour",
 ]
+# The profile's keys and statistics.
 PROFILE_KEYS = ["weekday_type", "time_period", "cpu_state"]
 PROFILE_STATS = ["count", "mean", "std", "min", "max"]
-# Columns that later steps need, so they survive even when constant.
+# Columns that later steps need, so they survive even when constant.
 PROTECTED_COLUMNS = frozenset(
     ["sample_index", "timestamp", "cpu_percent", "disk_read_mb", "disk_write_mb",
      "net_sent_kb", "net_recv_kb", *PROFILE_KEYS]
@@ -85,6 +88,7 @@ RAW_SAMPLE_SCHEMA = T.StructType([
     T.StructField("per_core", T.ArrayType(T.DoubleType())),
 ])
 
+# Factors and outcomes of an experiment.
 FACTORS = ["engine", "data_format", "numeric_dtype", "categorical_dtype", "execution_mode"]
 OUTCOMES = ["energy_j", "runtime_s", "peak_rss_mb"]
 
@@ -110,6 +114,7 @@ RUN_COLUMNS = [
     ("timestamp", "string"),
 ]
 RUN_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in RUN_COLUMNS)
+# Run-log columns that an analysis needs.
 REQUIRED_RUN_COLUMNS = [
     "block", "position_in_block", *FACTORS, "config_id", *OUTCOMES,
     "rows_in", "rows_out", "result_hash", "workers", "status",

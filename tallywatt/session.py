@@ -7,6 +7,7 @@ operators rely on (UTC clock fields, AQE, Arrow transfer, RocksDB state).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, read by all."""
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a reused intermediate through the shared folder, so
     that a lost executor costs a re-read and not a recomputation."""

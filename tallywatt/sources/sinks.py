@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywatt.operators import design as D
 from tallywatt.schema import RUN_COLUMNS
-from tallywatt.sources.tables import read_telemetry
+from tallywatt.sources.tables import read_if_exists, read_telemetry
 
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str) -> None:
@@ -67,23 +66,32 @@ def write_pair(df: DataFrame, folder: str, facts: Mapping[str, object] = {}) ->
     return meta
 
 
+def files_digest(spark: SparkSession, path: str) -> str:
+    """Names the state of a table's files: it changes with any file's path,
+    length or time of modification. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path", "length", F.unix_micros("modificationTime").alias("at"))
+    told = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.bit_xor(F.xxhash64("path", "length", "at")).alias("mix"))
+    return told.select(F.format_string("%d-%x-%016x", "n", "bytes", "mix")).first()[0]
+
+
 def stored_subset(df: DataFrame, folder: str, source: str, rows: int, selection: str = "first", seed: int = 42) -> dict:
-    """Select a subset and store it once; a later call with the same settings
-    finds it by its signature and reuses it."""
-    if selection not in ("first", "random"):
-        raise ValueError(f"unsupported row selection {selection!r}")
-    settings = {"source": source, "rows": rows, "row_selection": selection, "row_seed": seed}
-    target = f"{folder}/rows_{rows}_{selection}_{D.subset_signature(**settings)}"
+    """Rows of ``df``, which was read from the files at ``source``, kept under a
+    name made of the wanted rows and the state of those files: asking again
+    returns what is there, and a changed source gives another name."""
+    choose = {"first": lambda: D.first_n(df, rows), "random": lambda: D.random_n(df, rows, seed)}
+    if selection not in choose:
+        raise ValueError(f"selection is 'first' or 'random', not {selection!r}")
     spark = df.sparkSession
-    try:
-        return spark.read.json(f"{target}/metadata.json").first().asDict()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    picked = D.first_n(df, rows) if selection == "first" else D.random_n(df, rows, seed)
-    if picked.isEmpty():
-        raise ValueError("the selected dataset contains no rows")
-    return write_pair(picked, target, settings)
+    wanted = f"{selection}-{rows}" + (f"-{seed}" if selection == "random" else "")
+    place = f"{folder}/{wanted}@{files_digest(spark, source)}"
+    kept = read_if_exists(spark, f"{place}/metadata.json", "json")
+    if kept is not None:
+        return kept.first().asDict()
+    subset = choose[selection]()
+    if subset.isEmpty():
+        raise ValueError(f"{source} gives no rows")
+    return write_pair(subset, place, {"source": source, "selection": selection, "rows_wanted": rows, "seed": seed})
 
 
 def run_metadata(runs: DataFrame, path: str, facts: Mapping[str, object] = {}) -> dict[str, object]:

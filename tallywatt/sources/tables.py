@@ -5,9 +5,9 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatt.schema import RUN_COLUMNS, RUN_SCHEMA, telemetry_schema
+from tallywatt.schema import RUN_COLUMNS, telemetry_schema
 
 log = logging.getLogger(__name__)
 
@@ -24,15 +24,14 @@ def read_telemetry(spark: SparkSession, path: str, fmt: str = "parquet", dirty:
 
 
 def read_runs(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    if fmt == "csv":
-        # the header may hold the columns in any order: match by name
-        raw = spark.read.option("header", True).csv(path)
-        return raw.selectExpr(*[
-            (f"cast({name} as {kind}) as {name}" if kind == "string"
-             else f"try_cast({name} as {kind}) as {name}")
-            for name, kind in RUN_COLUMNS if name in raw.columns
-        ])
-    return spark.read.format(fmt).schema(RUN_SCHEMA).load(path)
+    """A run log: the known columns typed, whatever else it holds as it is. The
+    mode column goes by ``execution_mode`` under either of its names."""
+    raw = spark.read.format(fmt).option("header", True).load(path)
+    if "execution_mode" not in raw.columns:
+        raw = raw.withColumnRenamed("threading_mode", "execution_mode")
+    kinds = dict(RUN_COLUMNS)
+    # the file may hold the columns in any order: matched by name
+    return raw.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in raw.columns])
 
 
 def read_if_exists(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:

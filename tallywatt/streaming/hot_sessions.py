@@ -20,7 +20,6 @@ from tallywatt.operators.telemetry import COUNTERS, SESSION, scaled_delta, telem
 from tallywatt.plans.ranks import null_safe
 from tallywatt.plans.segments import history_state, with_history
 from tallywatt.plans.small import checked_small
-from tallywatt.sources.tables import read_if_exists
 
 READINGS = [counter for _, counter, _ in COUNTERS]
 FREQ = "cpu_freq_mhz"
@@ -64,7 +63,8 @@ def build_stream(samples: DataFrame, out: str, state: str, checkpoint: str, keys
     """Append telemetry to ``out`` (one folder per batch), state to ``state``."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = read_if_exists(spark, f"{state}/version={batch_id - 1}") if batch_id else None
+        # only the first batch starts without state; a missing folder is an error
+        stored = spark.read.parquet(f"{state}/version={batch_id - 1}") if batch_id else None
         batch = batch.persist()
         rows, after = build_batch(batch, stored, keys, on_reset)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -97,11 +97,12 @@ def test_dedup_treats_nulls_as_equal(spark):
 
 
 def test_category_codes_round_trip(spark):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", None, "a", "b"])], "i int, v string")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", None, "a", "b", "missing", "z"])], "i int, v string")
     codes = C.category_codes(df, ["v"])
-    assert sorted(map(tuple, codes.collect())) == [("v", "a", 0), ("v", "b", 1), ("v", "missing", 2)]
+    assert sorted(codes.collect(), key=lambda r: r["code"]) == [
+        ("v", "a", 0), ("v", "b", 1), ("v", "missing", 2), ("v", None, 3), ("v", "z", 4)]
     coded = C.encode_categories(df, ["v"])
-    assert [r["v"] for r in coded.orderBy("i").collect()] == [1, 2, 0, 1]
+    assert [r["v"] for r in coded.orderBy("i").collect()] == [1, 3, 0, 1, 2, 4]
     assert sorted(map(str, C.decode_categories(coded, codes, ["v"]).collect())) == sorted(map(str, df.collect()))
 
 

@@ -57,9 +57,7 @@ def test_check_workers(spark):
     assert {r["execution_mode"]: r["passed"] for r in D.check_workers(df).collect()} == {"single": False, "parallel": True}
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
-def test_samples(spark, monkeypatch, limit):
-    monkeypatch.setattr(D, "MAX_TOP_ROWS", limit)
+def test_samples(spark):
     df = spark.range(100).select(F.col("id").alias("sample_index"), (F.col("id") * 2).alias("v")).repartition(4)
     assert sorted(r["sample_index"] for r in D.first_n(df, 10).collect()) == list(range(10))
     assert D.first_n(df, 0).count() == 100 and D.first_n(df, 1000).count() == 100
@@ -72,11 +70,13 @@ def test_samples(spark, monkeypatch, limit):
         D.first_n(df, -1)
 
 
-def test_large_sample_with_ties_at_the_edge(spark, monkeypatch):
-    monkeypatch.setattr(D, "MAX_TOP_ROWS", 0)
-    df = spark.createDataFrame([(i, i // 10) for i in range(100)], "sample_index int, k int")
-    got = D._smallest(df, "k", 25, ["sample_index"])
-    assert sorted(r["sample_index"] for r in got.collect()) == list(range(25))
+@pytest.mark.parametrize("n", [1, 25, 60, 99, 100, 101])
+def test_first_rows_with_nulls_and_ties(spark, n):
+    rows = [(i, None if i % 3 == 0 else f"k{i % 7}", float(i % 5)) for i in range(100)] + [(7, "k0", 2.0)] * 3
+    df = spark.createDataFrame(rows, "sample_index int, k string, v double").repartition(5)
+    key = lambda r: (r[1] is not None, r[1] or "", r[0], r[2])
+    got = sorted((tuple(r) for r in D.first_n(df, n, order="k").collect()), key=key)
+    assert got == sorted(rows, key=key)[:n]
 
 
 def test_append_overwrite_and_convert(spark, folder):
@@ -102,9 +102,17 @@ def test_run_log_round_trip(spark, folder):
     for _ in range(2):
         sinks.append_runs(runs, f"{folder}/runs.csv")
     got = tables.read_runs(spark, f"{folder}/runs.csv")
-    assert got.columns == [name for name, _ in RUN_COLUMNS] and got.count() == 2
+    names = ["execution_mode" if name == "threading_mode" else name for name, _ in RUN_COLUMNS]
+    assert got.columns == names and got.count() == 2 and C.normalise_runs(got).count() == 2
     row = got.first()
-    assert (row["energy_j"], row["threading_mode"], row["runtime_s"]) == (2.5, "single", None)
+    assert (row["energy_j"], row["execution_mode"], row["runtime_s"]) == (2.5, "single", None)
+
+
+def test_run_log_keeps_other_columns(spark, folder):
+    runs = spark.createDataFrame([("x", 1.5, "single", "ok", "more")], "engine string, energy_j double, execution_mode string, status string, note string")
+    runs.write.option("header", True).csv(f"{folder}/own.csv")
+    row = tables.read_runs(spark, f"{folder}/own.csv").first()
+    assert (row["note"], row["execution_mode"], row["energy_j"]) == ("more", "single", 1.5)
 
 
 def test_optional_table(spark, folder):
@@ -113,17 +121,21 @@ def test_optional_table(spark, folder):
     assert tables.read_if_exists(spark, f"{folder}/some").count() == 3
 
 
-def test_stored_subset_is_reused(spark, folder):
-    df = spark.range(50).select(F.col("id").alias("sample_index"))
-    first = sinks.stored_subset(df, folder, "source", 5, "random", 1)
-    again = sinks.stored_subset(df.limit(0), folder, "source", 5, "random", 1)
+def test_stored_subset_follows_its_source(spark, folder):
+    source = f"{folder}/source"
+    spark.range(50).select(F.col("id").alias("sample_index")).write.parquet(source)
+    read = lambda: spark.read.parquet(source)
+    first = sinks.stored_subset(read(), folder, source, 5, "random", 1)
+    again = sinks.stored_subset(read().limit(0), folder, source, 5, "random", 1)
     assert first["rows_used"] == again["rows_used"] == 5 and first["parquet_path"] == again["parquet_path"]
     assert spark.read.option("header", True).csv(first["csv_path"]).count() == 5
-    assert sinks.stored_subset(df, folder, "source", 6, "random", 1)["rows_used"] == 6
+    assert sinks.stored_subset(read(), folder, source, 6, "random", 1)["rows_used"] == 6
+    spark.range(50, 60).select(F.col("id").alias("sample_index")).write.mode("append").parquet(source)
+    assert sinks.stored_subset(read(), folder, source, 5, "random", 1)["parquet_path"] != first["parquet_path"]
     with pytest.raises(ValueError, match="no rows"):
-        sinks.stored_subset(df.limit(0), folder, "empty", 5)
-    with pytest.raises(ValueError, match="unsupported"):
-        sinks.stored_subset(df, folder, "source", 5, "best")
+        sinks.stored_subset(read().limit(0), folder, source, 7)
+    with pytest.raises(ValueError, match="selection"):
+        sinks.stored_subset(read(), folder, source, 5, "best")
 
 
 def test_metadata_and_results(spark, folder):

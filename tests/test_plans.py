@@ -96,13 +96,6 @@ def test_quantiles_skip_null_and_nan(spark, parts):
     assert K.exact_quantiles(df.filter("a is null"), ["a"], [0.5], parts=parts).count() == 0
 
 
-def test_larger_tables_leave_the_builtin_percentile(spark, monkeypatch):
-    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("a"))
-    want = sorted(map(tuple, K.medians(df, ["a"], ["g"]).collect()))
-    monkeypatch.setattr(K, "BUILTIN_ROWS", 100)
-    assert sorted(map(tuple, K.medians(df, ["a"], ["g"]).collect())) == want
-
-
 def test_distinct_by_hash(spark, monkeypatch):
     from tallywatt.operators import clean
 
