@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from tallywatt.functions import dist
 from tallywatt.operators.anova import TABLE, Design, Fit, _row, _solved, moments, observed_levels, term_name
 from tallywatt.plans.ranks import average_ranks
-from tallywatt.plans.small import small_copy
+from tallywatt.session import stored
 
 
 SIGNIFICANT = 9  # aligned values are rounded to this many digits of the range
@@ -35,19 +35,24 @@ def holm(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), name: st
 def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
              targets: Mapping[str, np.ndarray]) -> DataFrame:
     """(term, cell, block, value): for every target, the deviation from the
-    cell mean plus the target's estimate for the cell.
+    cell mean plus the target's estimate for the cell. Every cell must have the
+    same number of runs in every block.
 
     ``targets`` maps a name to the matrix that turns cell means into the
     estimate. The cell table is solved on its own and broadcast; the rows are
     expanded once per target and never joined again.
     """
-    runs, _ = small_copy(runs.select(*design.factors, block, outcome))
-    means = runs.withColumn("cell", design.declared_cell()).groupBy("cell").agg(
-        F.avg(outcome).alias("mean"), F.count(outcome).alias("n"))
-    table = {r["cell"]: r for r in means.limit(design.cells).collect()}
-    empty = [design.label(i) for i in range(design.cells) if i not in table or not table[i]["n"]]
+    # read by two jobs: computed once
+    runs = stored(runs.select(design.declared_cell().alias("cell"), F.col(block).alias("block"), F.col(outcome).cast("double").alias("y")))
+    within = runs.groupBy("cell", "block").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    cells = within.groupBy("cell").agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"),
+                                       F.count("*").alias("blocks"))
+    table = {r["cell"]: r for r in cells.collect()}  # one row per cell
+    empty = [design.label(i) for i in range(design.cells) if i not in table or not table[i]["high"]]
     if empty:
         raise ValueError(f"empty cells: {empty}")
+    if len({(n, r["blocks"]) for r in table.values() for n in (r["low"], r["high"])}) > 1:
+        raise ValueError("aligned ranks need as many runs of each configuration in each block")
     mu = np.array([table[i]["mean"] for i in range(design.cells)])
     span = max(float(mu.max() - mu.min()), float(np.abs(mu).max()) * 1e-6, 1e-300)
     digits = SIGNIFICANT - math.ceil(math.log10(span))
@@ -55,12 +60,7 @@ def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
     local = [(i, [float(shifts[t][i]) for t in targets]) for i in range(design.cells)]
     cells = F.broadcast(runs.sparkSession.createDataFrame(local, "cell int, shifts array<double>"))
     names = F.array(*[F.lit(t) for t in targets])
-    rows = (
-        runs.withColumn("cell", design.cell()).filter(F.col(outcome).isNotNull())
-        .select("cell", F.col(block).alias("block"), F.col(outcome).cast("double").alias("y"))
-        .join(cells, "cell")
-        .select("cell", "block", "y", F.posexplode("shifts").alias("i", "shift"))
-    )
+    rows = runs.where("y is not null").join(cells, "cell").select("cell", "block", "y", F.posexplode("shifts").alias("i", "shift"))
     unit = F.lit(10.0 ** digits)
     return rows.select(F.get(names, F.col("i")).alias("term"), "cell", "block",
                        (F.rint((F.col("y") + F.col("shift")) * unit) / unit).alias("value"))

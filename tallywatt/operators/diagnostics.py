@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,46 +14,62 @@ from tallywatt.functions import dist
 from tallywatt.functions.dist_columns import f_tail
 from tallywatt.operators.anova import observed_levels, residuals
 from tallywatt.plans.ranks import medians, null_safe, value_ranks
-from tallywatt.plans.small import checked_small, small_copy
+from tallywatt.plans.small import checked_small
 from tallywatt.schema import OUTCOMES
+from tallywatt.session import stored
 
 POSITIONS_PER_CHUNK = 100_000
 ROYSTON_LIMIT = 5000
 
 
-def levene(runs: DataFrame, outcome: str = "energy_j", by: str = "config_id", center: str = "mean") -> DataFrame:
-    """One row (test, statistic, df1, df2, p_value): equality of spread over
-    the groups, by distance from the group mean or median (Brown-Forsythe).
-    """
-    y = runs.filter(F.col(outcome).isNotNull()).select(by, F.col(outcome).cast("double").alias("y"))
-    if center == "mean":
-        middle = y.groupBy(by).agg(F.avg("y").alias("__c"))
-    elif center == "median":
-        middle = medians(y, ["y"], [by]).withColumnRenamed("y_median", "__c")
-    else:
-        raise ValueError(f"center must be 'mean' or 'median', not {center!r}")
-    z = null_safe(y, checked_small(middle), [by]).withColumn("z", F.abs(F.col("y") - F.col("__c")))
-    groups = z.groupBy(by).agg(
+# The names of the tests in result tables.
+CENTERS = {"mean": "Levene (mean-centered)", "median": "Brown-Forsythe (median-centered)"}
+
+
+def spread_tests(runs: DataFrame, outcomes: Sequence[str], by: str = "config_id", centers: Sequence[str] = tuple(CENTERS)) -> DataFrame:
+    """(outcome, test, statistic, df1, df2, p_value): equality of spread over the
+    groups, by distance from the group's mean or median; one job for all."""
+    unknown = set(centers) - set(CENTERS)
+    if unknown:
+        raise ValueError(f"center must be 'mean' or 'median', not {unknown.pop()!r}")
+    y = runs.select(by, *[F.col(c).cast("double").alias(c) for c in outcomes])
+    middle = None
+    if "mean" in centers:
+        middle = y.groupBy(by).agg(*[F.avg(c).alias(f"{c}__mean") for c in outcomes])
+    if "median" in centers:
+        found = medians(y, outcomes, [by], "__median")
+        middle = found if middle is None else null_safe(middle, found, [by])
+    wide = null_safe(y, checked_small(middle), [by])
+    entries = [F.struct(F.lit(c).alias("outcome"), F.lit(k).alias("center"), F.abs(F.col(c) - F.col(f"{c}__{k}")).alias("z"))
+               for c in outcomes for k in centers]
+    z = wide.select(by, F.inline(F.array(*entries))).where("z is not null")
+    groups = z.groupBy("outcome", "center", by).agg(
         F.count("z").alias("n"), F.avg("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("ss"))
-    # one row per group from here on
-    total = groups.withColumn("grand", F.sum(F.col("n") * F.col("m")).over(W.partitionBy()) / F.sum("n").over(W.partitionBy()))
-    parts = total.agg(
+    groups = stored(groups)
+    # one row per outcome and centre
+    grand = groups.groupBy("outcome", "center").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    parts = groups.join(F.broadcast(grand), ["outcome", "center"]).groupBy("outcome", "center").agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("ss").alias("inside"),
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("between"))
     df1, df2 = (F.col("k") - 1).cast("double"), (F.col("N") - F.col("k")).cast("double")
-    name = "Levene (mean-centered)" if center == "mean" else "Brown-Forsythe (median-centered)"
-    out = parts.select(F.lit(name).alias("test"), F.try_divide(F.col("between") * df2, F.col("inside") * df1).alias("statistic"),
+    name = F.create_map(*[F.lit(v) for kv in CENTERS.items() for v in kv])[F.col("center")]
+    out = parts.select("outcome", name.alias("test"), F.try_divide(F.col("between") * df2, F.col("inside") * df1).alias("statistic"),
                        df1.alias("df1"), df2.alias("df2"))
     return out.withColumn("p_value", f_tail("statistic", "df1", "df2"))
 
 
-def _position_chunks(df: DataFrame, col: str) -> DataFrame:
-    """(value, first, last, total): the sorted positions of every distinct
+def levene(runs: DataFrame, outcome: str = "energy_j", by: str = "config_id", center: str = "mean") -> DataFrame:
+    """One row (test, statistic, df1, df2, p_value) of ``spread_tests``."""
+    return spread_tests(runs, [outcome], by, [center]).drop("outcome")
+
+
+def _position_chunks(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, first, last, total): the sorted positions of every distinct
     value, long runs of ties cut into chunks that spread over the tasks."""
-    ranks = value_ranks(df, col)
+    ranks = value_ranks(df, col, keys)
     start = F.explode(F.sequence(F.col("min_rank"), F.col("min_rank") + F.col("n") - 1, F.lit(POSITIONS_PER_CHUNK)))
-    chunks = ranks.select("value", "total", (F.col("min_rank") + F.col("n") - 1).alias("end"), start.alias("first"))
-    return chunks.select("value", "total", "first",
+    chunks = ranks.select(*keys, "value", "total", (F.col("min_rank") + F.col("n") - 1).alias("end"), start.alias("first"))
+    return chunks.select(*keys, "value", "total", "first",
                          F.least(F.col("end"), F.col("first") + POSITIONS_PER_CHUNK - 1).alias("last"))
 
 
@@ -122,22 +139,29 @@ def _royston(n: int, sxm: float, mm: float, ss: float, ends: dict[str, float]) -
 SHAPIRO = "statistic double, p_value double, n bigint, beyond_range boolean"
 
 
-def shapiro_wilk(df: DataFrame, col: str = "residual") -> DataFrame:
-    """One row (statistic, p_value, n, beyond_range).
+def shapiro_wilk(df: DataFrame, col: str = "residual", by: Sequence[str] = ()) -> DataFrame:
+    """One row (by, statistic, p_value, n, beyond_range) per group.
 
     Positions come from the segmented ranking and the normal scores are
     summed per chunk; only a handful of sums reach the last step. The p value
     is an approximation for n <= 5000; ``beyond_range`` flags larger tables.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    shift = values.agg(F.avg("v")).first()[0] or 0.0
-    chunks = _position_chunks(values.select((F.col("v") - shift).alias("v")), "v")
+    by = list(by)
+    values = df.select(*by, F.col(col).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    # sums about the mean keep their digits; one row per group
+    centre = values.groupBy(*by).agg(F.avg("v").alias("shift"))
+    shift = {tuple(r)[:-1]: r["shift"] or 0.0 for r in centre.collect()}
+    middle = F.lit(shift.get((), 0.0))
+    for group, value in shift.items():
+        if by:
+            middle = F.when(F.array(*[F.col(k).cast("string") for k in by]) == F.array(*[F.lit(str(g)) for g in group]), value).otherwise(middle)
+    chunks = _position_chunks(values.select(*by, (F.col("v") - middle).alias("v")), "v", by)
     x, n = F.col("value"), F.col("total")
     holds = lambda at: (F.col("first") <= at) & (F.col("last") >= at)
     pick = lambda at: F.max(F.when(holds(at), x))
     scored = chunks.withColumn("s", _score_sums("first", "last", "total"))
     rows = F.col("last") - F.col("first") + 1
-    sums = scored.agg(
+    sums = scored.groupBy(*by).agg(
         F.sum(x * F.col("s.s1")).alias("sxm"), F.sum("s.s2").alias("mm"), F.sum(rows * x * x).alias("sxx"),
         F.sum(rows * x).alias("sx"), F.max("total").alias("n"),
         pick(F.lit(1)).alias("x_1"), pick(F.lit(2)).alias("x_2"), pick(n - 1).alias("x_n1"), pick(n).alias("x_n"))
@@ -146,16 +170,18 @@ def shapiro_wilk(df: DataFrame, col: str = "residual") -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
+                head = tuple(r[k] for k in by)
                 if pd.isna(r["n"]) or r["n"] < 3 or r["x_n"] == r["x_1"]:
-                    out.append((None, None, 0 if pd.isna(r["n"]) else int(r["n"]), False))
+                    out.append((*head, None, None, 0 if pd.isna(r["n"]) else int(r["n"]), False))
                     continue
                 n = int(r["n"])
                 ss = r["sxx"] - r["sx"] ** 2 / n
                 w, p = _royston(n, r["sxm"], r["mm"], ss, r)
-                out.append((w, p, n, n > ROYSTON_LIMIT))
-            yield pd.DataFrame(out, columns=["statistic", "p_value", "n", "beyond_range"])
+                out.append((*head, w, p, n, n > ROYSTON_LIMIT))
+            yield pd.DataFrame(out, columns=[*by, "statistic", "p_value", "n", "beyond_range"])
 
-    return sums.mapInPandas(finish, SHAPIRO)
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
+    return sums.mapInPandas(finish, ", ".join([*[f"{k} {kinds[k]}" for k in by], SHAPIRO]))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -185,17 +211,14 @@ def assumption_summary(runs: DataFrame, outcomes: Sequence[str] = OUTCOMES, leve
     ranks if Shapiro-Wilk or Brown-Forsythe rejects.
     """
     levels = levels or observed_levels(runs)
-    runs, _ = small_copy(runs.select("config_id", *levels, *([block] if block else []), *outcomes))
-    out = None
-    for c in outcomes:
-        named = [
-            ("Shapiro-Wilk residual normality", shapiro_wilk(residuals(runs, c, levels, block))),
-            ("Levene homogeneity", levene(runs, c, center="mean")),
-            ("Brown-Forsythe homogeneity", levene(runs, c, center="median")),
-        ]
-        for name, table in named:
-            row = table.select(F.lit(c).alias("outcome"), F.lit(name).alias("diagnostic"), "statistic", "p_value")
-            out = row if out is None else out.unionByName(row)
+    # read by several jobs: computed once
+    runs = stored(runs.select("config_id", *levels, *([block] if block else []), *outcomes))
+    left = [residuals(runs, c, levels, block).select(F.lit(c).alias("outcome"), "residual") for c in outcomes]
+    normal = shapiro_wilk(stored(reduce(DataFrame.unionByName, left)), "residual", ["outcome"])
+    spread = spread_tests(runs, outcomes)
+    label = F.when(F.col("test") == CENTERS["mean"], "Levene homogeneity").otherwise("Brown-Forsythe homogeneity")
+    out = normal.select("outcome", F.lit("Shapiro-Wilk residual normality").alias("diagnostic"), "statistic", "p_value").unionByName(
+        spread.select("outcome", label.alias("diagnostic"), "statistic", "p_value"))
     out = out.withColumn("rejected", F.col("p_value") < alpha)
     decides = F.col("rejected") & ~F.col("diagnostic").startswith("Levene")
     anywhere = F.coalesce(F.bool_or(decides).over(W.partitionBy("outcome")), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywatt.functions.dist_columns import t_two_sided
 from tallywatt.operators.summary import config_means
-from tallywatt.plans.ranks import null_safe, value_ranks
+from tallywatt.plans.ranks import average_ranks, null_safe
 from tallywatt.plans.segments import add_segments, cut_points
 from tallywatt.plans.small import small_copy
 from tallywatt.session import checkpointed, shuffle_partitions
@@ -36,18 +36,17 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, statistic): the correlation of average ranks.
 
-    Equal pairs are counted first and the ranks are looked up per distinct
-    value; a value shared by many pairs is split by AQE's skew join. Weighted
-    sums about the known mean rank replace the expanded rows.
+    Equal pairs are counted first; the ranking of one side carries the other
+    along, so nothing is looked up by a join. Weighted sums about the known mean
+    rank replace the expanded rows.
     """
-    pairs = _paired(df, x, y)
-    rank = lambda c: value_ranks(pairs, c).select(
-        F.col("value").alias(c), (F.col("avg_rank") - (F.col("total") + 1) / 2).alias(f"r{c}"))
-    counted = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    sums = counted.join(rank("x"), "x").join(rank("y"), "y").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("xy"),
-        F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("xx"),
-        F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("yy"))
+    pairs = _paired(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    centred = F.col("avg_rank") - (F.col("total") + 1) / 2
+    first = average_ranks(pairs.select(F.col("x").alias("value"), F.col("y").alias("other"), "w"), [], ["other"], weight="w")
+    second = average_ranks(first.select(F.col("other").alias("value"), centred.alias("rx"), F.col("n").alias("w")), [], ["rx"], weight="w")
+    ry = second.select("rx", "n", centred.alias("ry"))
+    sums = ry.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("xy"),
+                  F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("xx"), F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("yy"))
     return sums.select(F.coalesce("n", F.lit(0)).alias("n"),
                        F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")).alias("statistic"))
 

@@ -65,8 +65,10 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), parts: int |
     return _ranks(counts, keys, cut_points(clean, ["value"], parts))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str], parts: int | None = None) -> DataFrame:
-    """(keys, value, payload, n, avg_rank, total) from rows with ``value``.
+def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str], parts: int | None = None,
+                  weight: str | None = None) -> DataFrame:
+    """(keys, value, payload, n, avg_rank, total) from rows with ``value``, each
+    standing for ``weight`` rows.
 
     Equal rows are counted first. A value that fills a whole share of the rows
     has a range of its own, where order does not matter: its payloads are
@@ -75,7 +77,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], payload: Sequence[str], pa
     clean = _numbers(df)
     cuts, tasks = tied_cut_points(clean, "value", parts)
     counts = add_segments(
-        clean.groupBy(*keys, "value", *payload).agg(F.count(F.lit(1)).alias("n")), {"value": cuts}, {"value": SEGMENT})
+        clean.groupBy(*keys, "value", *payload).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")), {"value": cuts}, {"value": SEGMENT})
     sizes = counts.groupBy(*keys, SEGMENT).agg(F.sum("n").alias("__size"))
     order = W.partitionBy(*keys).orderBy(SEGMENT)
     width = F.get(F.array(*[F.lit(t) for t in tasks]), F.col(SEGMENT).cast("int"))
