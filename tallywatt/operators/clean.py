@@ -151,10 +151,24 @@ def category_codes(df: DataFrame, cols: Sequence[str] = CATEGORY_COLUMNS, missin
     return values.withColumn("code", F.row_number().over(order) - 1)
 
 
+#: Entries of a dictionary that is looked up in a literal map, without a join.
+LITERAL_ENTRIES = 2000
+
+
 def _looked_up(df: DataFrame, codes: DataFrame, cols: Sequence[str], found: str, wanted: str) -> DataFrame:
-    """Each column's cell replaced by what the dictionary says: one null-safe join
-    per column, broadcast if the dictionary's checked size allows it."""
-    codes = checked_small(codes)
+    """Each column's cell replaced by what the dictionary says, null-safe: from a
+    literal map if the dictionary is small, else by one join per column."""
+    codes, size = small_copy(codes)
+    if size is not None and size <= LITERAL_ENTRIES:
+        rows, out = codes.collect(), {}
+        for c in cols:
+            known = {r[found]: r[wanted] for r in rows if r["column"] == c}
+            kind = codes.schema[wanted].dataType
+            of_null = F.lit(known.pop(None, None)).cast(kind)
+            cell = F.col(c).cast(codes.schema[found].dataType)
+            entries = F.create_map(*[F.lit(v) for kv in known.items() for v in kv]) if known else None
+            out[c] = F.when(cell.isNull(), of_null).otherwise(F.lit(None).cast(kind) if entries is None else F.try_element_at(entries, cell))
+        return df.withColumns(out)
     out = df
     for c in cols:
         part = codes.filter(F.col("column") == c).select(F.col(found).alias("__f"), F.col(wanted).alias("__w"))

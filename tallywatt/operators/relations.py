@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywatt.functions.dist_columns import t_two_sided
-from tallywatt.operators.summary import config_means
-from tallywatt.plans.ranks import average_ranks, null_safe
+from tallywatt.operators.summary import config_means, numbered
+from tallywatt.plans.ranks import average_ranks, null_safe, ranked_counts
 from tallywatt.plans.segments import add_segments, cut_points
-from tallywatt.plans.small import small_copy
-from tallywatt.session import checkpointed, shuffle_partitions
+from tallywatt.plans.small import checked_small, small_copy
+from tallywatt.session import checkpointed, shuffle_partitions, stored
 
 
 def _paired(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -181,7 +181,7 @@ def pareto(df: DataFrame, cols: Sequence[str], name: str = "pareto", parts: int
     """All rows with a flag. A row with a missing objective is compared to
     nothing, so nothing dominates it."""
     front = pareto_front(df, cols, parts).withColumn("__front", F.lit(True))
-    marked = null_safe(df, front, list(cols))
+    marked = null_safe(df, checked_small(front), list(cols))
     missing = F.lit(False)
     for c in cols:
         missing = missing | F.col(c).isNull() | F.isnan(F.col(c))
@@ -195,37 +195,47 @@ def pareto_table(runs: DataFrame, keys: Sequence[str] = ("config_id",)) -> DataF
     return pareto(two, ["energy_mean", "runtime_mean", "memory_mean"], "pareto_energy_runtime_memory")
 
 
-MAX_BLOCKS = 100_000
-
-
 def leave_one_block_out(runs: DataFrame, outcome: str = "energy_j") -> DataFrame:
     """Per excluded block: the best configuration of the rest, its mean, and
     the (minimum) rank of the full-sample best.
 
-    One grouping to (configuration, block) sums; every exclusion is the total
-    minus the own sum.
+    Excluding a block changes only the means of the configurations that ran in
+    it. All means are ranked once; each block then compares its changed means
+    with the first place that it leaves as it is, and counts who is lower from
+    the full ranking and the changes. Blocks x configurations is never formed.
     """
-    cells = runs.groupBy("config_id", "block").agg(F.sum(outcome).alias("s"), F.count(outcome).alias("n"))
-    blocks = [r["block"] for r in cells.select("block").distinct().limit(MAX_BLOCKS + 1).collect()]
-    if len(blocks) > MAX_BLOCKS:
-        raise ValueError(f"more than {MAX_BLOCKS} blocks")
-    kind = cells.schema["block"].dataType
+    cells = runs.groupBy("config_id", "block").agg(F.coalesce(F.sum(outcome), F.lit(0.0)).alias("s"), F.count(outcome).alias("n"))
     totals = cells.groupBy("config_id").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    every = totals.select("*", F.explode(F.array(*[F.lit(b).cast(kind) for b in blocks])).alias("block"))
-    rest = every.join(cells, ["config_id", "block"], "left").select(
-        "config_id", "block",
-        F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))).alias("mean"),
-        F.try_divide("ts", "tn").alias("full_mean"))
-    # one row per configuration inside a block: bounded by the design
-    ranked = rest.withColumn("rank", F.rank().over(W.partitionBy("block").orderBy(F.col("mean").asc_nulls_last())))
-    best = F.struct(F.col("mean").isNull(), "mean", "config_id")
-    full = F.struct("full_mean", "config_id")
-    return ranked.groupBy("block").agg(
-        F.min_by("config_id", best).alias("best_config_after_exclusion"),
-        F.min_by("mean", best).alias("best_mean_energy_after_exclusion"),
-        F.min_by("config_id", full).alias("full_sample_best_config"),
-        F.min_by("rank", full).alias("rank_of_full_sample_best"),
-    ).withColumnRenamed("block", "excluded_block")
+    totals = totals.withColumn("full_mean", F.try_divide("ts", "tn"))
+    full = stored(numbered(totals, [F.col("full_mean").asc_nulls_last(), F.col("config_id")], "place"))
+    mean = F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))
+    changed = stored(cells.join(full, "config_id").select("block", "config_id", "place", "full_mean", mean.alias("mean")))
+
+    # places are 1, 2, ... without a gap: the first one missing among the
+    # changed is the best that stays as it is
+    step = W.partitionBy("block").orderBy("place")
+    top = full.where("place = 1").first()
+    low = F.lit(None if top is None else top["full_mean"]).cast("double")
+    whole = W.partitionBy("block")
+    height = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
+    own = changed.withColumns({
+        "i": F.row_number().over(step),
+        "at": F.coalesce(F.max(F.when(F.col("place") == 1, height("mean"))).over(whole), low, F.lit(float("inf")))})
+    blocks = own.groupBy("block", "at").agg(
+        F.coalesce(F.min(F.when(F.col("place") > F.col("i"), F.col("i"))), F.count("*") + 1).alias("free"),
+        F.min(F.struct(height("mean").alias("h"), "config_id", "mean")).alias("best"),
+        (F.count_if(height("mean") < F.col("at")) - F.count_if(height("full_mean") < F.col("at"))).alias("gained"))
+    stays = full.select(F.col("place").alias("free"), F.struct(height("full_mean").alias("h"), "config_id", F.col("full_mean").alias("mean")).alias("stay"))
+    blocks = stored(blocks.join(stays, "free", "left").withColumn("best", F.least("best", "stay")))
+
+    # how many full means lie below each block's mark
+    marks = blocks.select(F.col("at").alias("value"), F.lit(0).cast("bigint").alias("n"))
+    below = ranked_counts(full.select(height("full_mean").alias("value"), F.lit(1).cast("bigint").alias("n")).unionByName(marks))
+    lower = below.select(F.col("value").alias("at"), (F.col("min_rank") - 1).alias("lower"))
+    return blocks.join(lower, "at").select(
+        F.col("block").alias("excluded_block"), F.col("best.config_id").alias("best_config_after_exclusion"),
+        F.col("best.mean").alias("best_mean_energy_after_exclusion"), F.lit(None if top is None else top["config_id"]).cast("string").alias("full_sample_best_config"),
+        (1 + F.col("lower") + F.col("gained")).cast("int").alias("rank_of_full_sample_best"))
 
 
 def best_stability(loo: DataFrame) -> DataFrame:

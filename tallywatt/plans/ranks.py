@@ -53,6 +53,13 @@ def _ranks(counts: DataFrame, keys: Sequence[str], cuts: Mapping[str, Sequence[f
     )
 
 
+def ranked_counts(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """(value, n, min_rank, avg_rank, total) of (value, n) rows; a row with n = 0
+    asks for the rank its value would have."""
+    counts = rows.groupBy("value").agg(F.sum("n").alias("n"))
+    return _ranks(counts, [], cut_points(counts, ["value"], parts))
+
+
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """(keys, value, n, min_rank, avg_rank, total) of every distinct value.
 

@@ -87,3 +87,22 @@ def test_position_drift(spark):
     got = R.position_drift(df).first()
     assert got["n"] == 10 and abs(got["spearman_rho"] + 1) < 1e-12
     assert got["p_value"] == pytest.approx(0.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leave_one_out_of_sparse_blocks(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"c{c:02d}", int(b), float(rng.integers(1, 12))) for c in range(30)
+            for b in rng.choice(12, rng.integers(1, 4), replace=False) for _ in range(rng.integers(1, 3))]
+    pdf = pd.DataFrame(rows, columns=["config_id", "block", "energy_j"])
+    full = pdf.groupby("config_id")["energy_j"].mean()
+    first = min(full.index, key=lambda c: (full[c], c))
+    got = {r["excluded_block"]: r for r in R.leave_one_block_out(spark.createDataFrame(pdf)).collect()}
+    assert set(got) == set(pdf["block"])
+    for block, r in got.items():
+        rest = pdf[pdf["block"] != block].groupby("config_id")["energy_j"].mean()
+        best = min(rest.index, key=lambda c: (round(rest[c], 9), c))
+        assert r["best_config_after_exclusion"] == best and abs(r["best_mean_energy_after_exclusion"] - rest[best]) < 1e-9
+        assert r["full_sample_best_config"] == first
+        rank = 1 + sum(rest < rest[first] - 1e-9) if first in rest.index else 1 + len(rest)
+        assert r["rank_of_full_sample_best"] == rank
