@@ -141,8 +141,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
 
 
 def candidate_edges(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(u, v): classes tied together in some bucket, each a pivot and a class
-    near it; everything that can be linked is connected by them."""
+    """(u, v): classes tied together in some bucket, by way of the pivots near
+    them; everything that can be linked is connected by them."""
     n = classes.count()
 
     def keys(batches):
@@ -168,20 +168,26 @@ def candidate_edges(classes: DataFrame, trees: int = TREES) -> DataFrame:
     edge = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def tied(batches):
-        key, pivots, names = None, np.zeros((0, SIGNATURE), np.uint8), []
+        """The classes of a bucket in ascending order: each is tied to the first
+        class of what its pivots belong to, so ties never outnumber classes."""
+        key, pivots, names, group = None, np.zeros((0, SIGNATURE), np.uint8), [], np.zeros(0, np.int64)
         for batch in batches:
             us, vs = [], []
             signatures = batch.column("signature").to_pylist()
             for own_key, name, told_signature in zip(batch.column("key").to_pylist(), batch.column("class").to_pylist(), signatures):
                 own = np.frombuffer(told_signature, np.uint8)
                 if own_key != key:
-                    key, pivots, names = own_key, own[None], [name]
+                    key, pivots, names, group = own_key, own[None], [name], np.zeros(1, np.int64)
                     continue
                 alike = (pivots == own).mean(axis=1)
-                for p in np.flatnonzero(alike >= TIED).tolist():
-                    us.append(name)
-                    vs.append(names[p])
+                met_groups = np.unique(group[alike >= TIED])
+                if len(met_groups):
+                    for other in [name, *[names[g] for g in met_groups[1:].tolist()]]:
+                        us.append(other)
+                        vs.append(names[met_groups[0]])
+                    group[np.isin(group, met_groups)] = met_groups[0]
                 if alike.max() < NEAR:
+                    group = np.append(group, met_groups[0] if len(met_groups) else len(names))
                     pivots, names = np.vstack([pivots, own]), [*names, name]
             yield batch_of(edge, us, vs)
 
