@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallywatt.llm import bpe, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
 from tallywatt.llm.common import documents, run_folder
+from tallywatt.llm.oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
