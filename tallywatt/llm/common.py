@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -57,6 +58,35 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+class Remembered:
+    """A cache of at most ``limit`` entries in two generations: what was not asked
+    for while the younger one filled up goes."""
+
+    def __init__(self, limit: int) -> None:
+        self.young, self.old, self.limit = {}, {}, limit // 2
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def _give_back() -> None:
+    """A worker that waits for its next task returns what it does not use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def of_process(name: str) -> dict:
     """A dictionary that lives as long as the Python worker. Code travels by
     value, so a module's own globals would not outlive a task."""
@@ -72,7 +102,7 @@ def powers(base: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 18), np.uint64(base))
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if n <= 1 << 21:
+        if n <= 1 << 20:
             kept[base] = known
     return known[:n]
 
@@ -95,6 +125,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
 
 
 class Words(NamedTuple):

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tallywatt.llm.common import joined, of_process, words_of
+from tallywatt.llm.common import Remembered, joined, of_process, words_of
 
-#: Words whose ids a worker remembers; at the limit it starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 300_000
 _MARK = "\x01"
 
 
@@ -36,7 +36,7 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        kept[path] = tokenizer, {}
+        kept[path] = tokenizer, Remembered(REMEMBERED)
     return kept[path]
 
 
@@ -72,13 +72,13 @@ def encode(texts: pa.Array, path: str) -> Encoded:
         texts = pc.ascii_lower(texts)  # the normalizer does the same; fewer distinct words
     words = words_of(texts)
     vocabulary = words.vocabulary.to_pylist()
-    new = [w for w in vocabulary if w not in known]
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = vocabulary
-        known.update(_encode_new(tokenizer, new))
-    pool = pa.array([known[w] for w in vocabulary], pa.large_binary())
+    ids_of = [known.get(w) for w in vocabulary]
+    new = [k for k, ids in enumerate(ids_of) if ids is None]
+    found = _encode_new(tokenizer, [vocabulary[k] for k in new])
+    for k in new:
+        ids_of[k] = found[vocabulary[k]]
+        known.put(vocabulary[k], ids_of[k])
+    pool = pa.array(ids_of, pa.large_binary())
     data, ends = joined(pool, words.codes)
     ids = np.frombuffer(data, "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
     return Encoded(ids, (ends[words.offsets] - ends[0]) // 4)
