@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallywatt.llm.common import stored
 
+#: Edges per task: a round over few edges need not start a task per partition.
+EDGES_PER_TASK = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (u, v); root is the smallest node
@@ -17,13 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
                  "edges")
     seen = _digest(now)
     while True:
+        tasks = max(1, -(-seen[0] // EDGES_PER_TASK))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(least.select("u", F.col("m").alias("v"))))
-        now = stored(small.where("u != v").distinct(), "edges")
+        small = large.join(least, "u").select(
+            "u", "m", F.explode(F.array("u", "v")).alias("w")).where("w != m").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        now = stored(small.coalesce(tasks).distinct().coalesce(tasks), "edges")
         last, seen = seen, _digest(now)
         if last == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
