@@ -309,6 +309,8 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     each group stays, with all its columns, of repeated rows one too."""
     kept = found.where("kept").groupBy(F.col("row").alias("_kept_row")).agg(F.count("*").alias("_kept_rows"))
     kept = stored(kept, "kept")
+    if 32 * kept.count() <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
     left = docs.join(kept, row_key(id_col, text_col) == F.col("_kept_row"), "left_semi")
     if kept.where("_kept_rows > 1").isEmpty():
         return left
