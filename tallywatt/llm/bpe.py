@@ -6,14 +6,16 @@ three leaves, each in log n steps, until the root holds no pair. A piece of n
 bytes thus takes O(n log n), however long it is.
 
 Texts are cut where no token can cross: in front of a single space that is
-followed by something else than white space. Distinct cuts are encoded once per
-batch, distinct pieces once per worker.
+followed by something else than white space. Distinct cuts are split into pieces
+once per batch; pieces that a worker has not seen yet are merged side by side, one
+row of a matrix of trees each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatt.llm.common import batch_of, bounded, joined, of_process, slices
+from tallywatt.llm.common import Remembered, batch_of, bounded, joined, of_process, slices
 
-#: Pieces that a worker remembers; at the limit it starts anew.
-REMEMBERED = 500_000
+#: Pieces that a worker remembers.
+REMEMBERED = 200_000
 # Fixed value: the split of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -88,6 +90,92 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
     return [x for x in ids if x >= 0]
 
 
+class Pairs:
+    """Mergeable pairs as arrays."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        ranks = np.array([rank for rank, _ in pairs.values()], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(ranks[order], 0)
+        self.merged = np.zeros(int(ranks.max(initial=0)) + 1, np.int64)
+        self.merged[ranks] = [symbol for _, symbol in pairs.values()]
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """rank * LONGEST + place of the pairs, NO_PAIR where there is none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.ranks[at] * LONGEST + place, NO_PAIR)
+
+
+#: Pieces of up to so many symbols are merged side by side.
+LONGEST = 64
+NO_PAIR = np.int64(1 << 62)
+
+
+def merge_many(pieces: list[list[int]], pairs: Pairs) -> list[list[int]]:
+    """``merge`` of many pieces of at most LONGEST symbols: their trees are rows
+    of one matrix, and every step merges one pair in each row that still has one."""
+    out: list = [None] * len(pieces)
+    sizes = np.array([max(2, 1 << (len(p) - 1).bit_length()) for p in pieces])
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        for at in range(0, len(own), 1 << 14):
+            part = own[at:at + (1 << 14)]
+            ids, bounds = _merge_rows([pieces[k] for k in part.tolist()], size, pairs)
+            for k, a, b in zip(part.tolist(), bounds[:-1], bounds[1:]):
+                out[k] = ids[a:b]
+    return out
+
+
+def _merge_rows(pieces: list[list[int]], size: int, pairs: Pairs) -> tuple[list[int], list[int]]:
+    n = len(pieces)
+    length = np.array([len(p) for p in pieces])
+    place = np.arange(size)
+    ids = np.full((n, size), -1, np.int64)
+    ids[place < length[:, None]] = [x for p in pieces for x in p]
+    after = np.broadcast_to(place + 1, (n, size)).copy()
+    before = np.broadcast_to(place - 1, (n, size)).copy()
+    tree = np.full((n, 2 * size), NO_PAIR)
+    paired = place[:-1] + 1 < length[:, None]
+    found = pairs.leaf(ids[:, :-1], ids[:, 1:], place[:-1])
+    tree[:, size:2 * size - 1] = np.where(paired, found, NO_PAIR)
+    for k in range(size - 1, 0, -1):
+        tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+    row = np.arange(n)
+
+    def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
+        at = size + leaf
+        tree[row, at] = value
+        while at[0] > 1:
+            at >>= 1
+            tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])
+
+    while True:
+        row = row[tree[row, 1] < NO_PAIR]
+        if not len(row):
+            break
+        rank, i = np.divmod(tree[row, 1], LONGEST)
+        j = after[row, i]
+        ids[row, i] = pairs.merged[rank]
+        ids[row, j] = -1
+        k = after[row, j]
+        after[row, i] = k
+        put(row, j, np.full(len(row), NO_PAIR))
+        inside = k < length[row]
+        before[row[inside], k[inside]] = i[inside]
+        value = np.full(len(row), NO_PAIR)
+        value[inside] = pairs.leaf(ids[row, i][inside], ids[row[inside], k[inside]], i[inside])
+        put(row, i, value)
+        h = before[row, i]
+        inside = h >= 0
+        if inside.any():
+            at, h = row[inside], h[inside]
+            put(at, h, pairs.leaf(ids[at, h], ids[at, i[inside]], h))
+    left = ids >= 0
+    return ids[left].tolist(), np.concatenate([[0], np.cumsum(left.sum(axis=1))]).tolist()
+
+
 class ByteBpe:
     """Encoder and decoder of a byte-level ``tokenizers`` file."""
 
@@ -102,35 +190,45 @@ class ByteBpe:
         self.of_byte = [ids[character_of[b]] for b in range(256)]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in told["model"]["merges"]]
         self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.pair_arrays = Pairs(self.pairs)
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
-        self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items() if token not in self.special}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items() if token not in self.special}
+        bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        every = range(max(bytes_of) + 1)
+        #: By id: the token's bytes, and the id in decimal with a comma behind it.
+        self.tokens = pa.array([bytes_of.get(i, b"") for i in every], pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in every], pa.large_binary())
         self.pieces = regex.compile(PIECES).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            found = tuple(merge([self.of_byte[b] for b in piece.encode()], self.pairs))
-            if len(piece) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.specials.split(text) if self.specials else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                for piece in self.pieces(part):
-                    out += self.piece(piece)
+        self.known = Remembered(REMEMBERED)
+
+    def of_pieces(self, pieces: list[str]) -> list:
+        """Ids of each piece."""
+        out = [self.known.get(p) for p in pieces]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        symbols = [[self.of_byte[b] for b in pieces[k].encode()] for k in new]
+        short = [k for k, own in enumerate(symbols) if len(own) <= LONGEST]
+        for k, ids in zip(short, merge_many([symbols[k] for k in short], self.pair_arrays)):
+            out[new[k]] = ids
+            self.known.put(pieces[new[k]], ids)
+        for k, own in enumerate(symbols):
+            if len(own) > LONGEST:
+                out[new[k]] = merge(own, self.pairs)
         return out
 
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def split(self, cuts: list[str], spaced: int) -> tuple[list[str], np.ndarray]:
+        """Pieces of all cuts in a row, and where each cut's begin. The first
+        ``spaced`` cuts begin with a space and something else than white space, so
+        no piece crosses from one into the next."""
+        pieces = self.pieces("".join(cuts[:spaced]))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        bounds = np.searchsorted(ends, np.cumsum([0, *map(len, cuts[:spaced])]), "right").tolist()
+        for cut in cuts[spaced:]:
+            parts = self.specials.split(cut) if self.specials and any(x in cut for x in self.special) else [cut]
+            for part in parts:
+                pieces += [part] if part in self.special else self.pieces(part)
+            bounds.append(len(pieces))
+        return pieces, np.array(bounds)
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -149,11 +247,13 @@ def _bpe(path: str) -> ByteBpe:
 
 
 class Cuts(NamedTuple):
-    """Cut j of text i: ``cuts[codes[offsets[i] + j]]``."""
+    """Cut j of text i: ``cuts[codes[offsets[i] + j]]``; the first ``spaced`` cuts
+    begin with a space."""
 
     codes: np.ndarray
     offsets: np.ndarray
     cuts: list[str]
+    spaced: int
 
 
 def _cut(texts: pa.Array, specials: list[str]) -> Cuts:
@@ -169,7 +269,8 @@ def _cut(texts: pa.Array, specials: list[str]) -> Cuts:
     whole = np.diff(np.concatenate([[0], np.cumsum(loose)])[offsets]) > 0
     for special in specials:
         whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
-    cuts = [" " + c for c in raw]
+    # cuts that stand behind a space nowhere are not wanted in that form
+    cuts = [" " + c if c and not c[0].isspace() else "" for c in raw]
     first: dict[str, int] = {}
 
     def own(text: str) -> int:
@@ -188,7 +289,31 @@ def _cut(texts: pa.Array, specials: list[str]) -> Cuts:
             codes[offsets[i]] = own(texts[i].as_py())
         offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
         codes = codes[kept]
-    return Cuts(codes, offsets, cuts)
+    return Cuts(codes, offsets, cuts, len(raw))
+
+
+def _spread(bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of ``codes`` in a row, and where each code's begin."""
+    size = np.diff(bounds)[codes]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(bounds[codes] - ends[:-1], size) + np.arange(ends[-1]), ends
+
+
+def _encode(texts: pa.Array, bpe: ByteBpe) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, where each text's begin)."""
+    cut = _cut(texts, list(bpe.special))
+    pieces, piece_bounds = bpe.split(cut.cuts, cut.spaced)
+    codes: dict[str, int] = {}
+    piece_codes = np.fromiter((codes.setdefault(p, len(codes)) for p in pieces), np.int64, len(pieces))
+    for special, one in bpe.special.items():
+        if special in codes:
+            bpe.known.put(special, [one])
+    ids = bpe.of_pieces(list(codes))
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(bounds[-1]))
+    place, in_cut = _spread(piece_bounds, cut.codes)
+    place, in_piece = _spread(bounds, piece_codes[place])
+    return flat[place], in_piece[in_cut[cut.offsets]]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,9 +327,14 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         ("decoded", pa.binary())])
 
     def rows(batches):
+        bpe = _bpe(path)
         for batch in slices(batches, "text"):
-            (ids, ends), (text, text_ends) = _coded(batch.column("text"), path, _little_endian)
-            yield batch_of(schema, batch.column("doc_id"), np.diff(ends) // 4, _parts(ids, ends), _parts(text, text_ends))
+            ids, at = _encode(pc.fill_null(batch.column("text"), ""), bpe)
+            text, ends = joined(bpe.tokens, ids)
+            data = ids.astype("<u4").tobytes()
+            yield batch_of(schema, batch.column("doc_id"), np.diff(at),
+                           [data[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())],
+                           [bytes(text[ends[a]:ends[b]]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
 
     return _narrow(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -219,14 +349,15 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         return hashlib.sha256(data[a:b]).hexdigest()
 
     def rows(batches):
+        bpe = _bpe(path)
         for batch in slices(batches, "text"):
-            (ids, ends), (text, text_ends) = _coded(batch.column("text"), path, _decimal)
-            commas = np.concatenate([[0], np.cumsum(np.frombuffer(ids, np.uint8) == 44)])
-            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            ids, at = _encode(pc.fill_null(batch.column("text"), ""), bpe)
+            told, told_ends = joined(bpe.decimals, ids)
+            text, text_ends = joined(bpe.tokens, ids)
             yield batch_of(
-                schema, batch.column("doc_id"), commas[ends[1:]] - commas[ends[:-1]],
-                [sha(ids, a, max(a, b - 1)) for a, b in spans],
-                [sha(text, a, b) for a, b in zip(text_ends[:-1].tolist(), text_ends[1:].tolist())])
+                schema, batch.column("doc_id"), np.diff(at),
+                [sha(told, a, max(a, b - 1)) for a, b in zip(told_ends[at[:-1]].tolist(), told_ends[at[1:]].tolist())],
+                [sha(text, a, b) for a, b in zip(text_ends[at[:-1]].tolist(), text_ends[at[1:]].tolist())])
 
     return _narrow(docs, id_col, text_col).mapInArrow(
         rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -234,37 +365,3 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-
-def _little_endian(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def _decimal(ids: list[int]) -> bytes:
-    """Each id followed by a comma."""
-    return ("%s," * len(ids) % tuple(ids)).encode()
-
-
-def _coded(texts: pa.Array, path: str, written):
-    """(ids as ``written``, bounds), (decoded bytes, bounds) of the texts."""
-    bpe = _bpe(path)
-    texts = pc.fill_null(texts, "")
-    codes, offsets, cuts = _cut(texts, list(bpe.special))
-    used = np.unique(codes)
-    ids: list[bytes] = [b""] * len(cuts)
-    decoded: list[bytes] = [b""] * len(cuts)
-    for k in used.tolist():
-        own = bpe.encode(cuts[k])
-        ids[k] = written(own)
-        decoded[k] = bpe.decode_bytes(own)
-    out = []
-    for pool in (ids, decoded):
-        data, ends = joined(pa.array(pool, pa.large_binary()), codes)
-        out.append((data[int(ends[0]):int(ends[-1])], ends[offsets] - ends[0]))
-    text, ends = out[1]
-    # bytes that are no UTF-8 (ids cut from elsewhere) become U+FFFD, as the library does
-    return out[0], (text, ends)
-
-
-def _parts(data: memoryview, ends: np.ndarray) -> list[bytes]:
-    return [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]

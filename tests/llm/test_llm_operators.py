@@ -99,6 +99,7 @@ def test_merge_equals_plain_merging():
             _, k = min(found)
             want[k:k + 2] = [pairs[want[k], want[k + 1]][1]]
         assert bpe.merge(ids, pairs) == want
+        assert bpe.merge_many([ids, ids[:3], ids[5:]], bpe.Pairs(pairs)) == [want, bpe.merge(ids[:3], pairs), bpe.merge(ids[5:], pairs)]
 
 
 def test_substring_awkward(awkward):
