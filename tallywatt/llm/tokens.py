@@ -40,6 +40,10 @@ def _tokenizer(path: str):
     return kept[path]
 
 
+def largest_id(path: str) -> int:
+    return max(_tokenizer(path)[0].get_vocab().values())
+
+
 def _encode_new(tokenizer, words: list[str]) -> dict[str, bytes]:
     """Ids of each word; words go to the library in rows, between marks whose
     id tells them apart again."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallywatt.llm import bpe, components, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
+from tallywatt.llm import bpe, components, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, tokens, topk
 from tallywatt.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, kept string, route int, `a.b` int, n_words string"
@@ -277,6 +277,32 @@ def test_packing_puts_like_texts_together(spark):
     assert alike > 0.6
 
 
+def test_packing_finds_alike_texts_in_other_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_IDS", 500, raising=False)
+    rng = random.Random(4)
+    known = sorted(w[:-4] for w in tokens._tokenizer(Q.WORD_TOKENIZER)[0].get_vocab() if w.endswith("</w>") and w[:-4].isalpha())
+    words = rng.sample(known, 30 * 40)
+    bases = [" ".join(words[30 * g:30 * g + 30]) for g in range(40)]
+    rows = [(10 * g + k, f"{bases[g]} tail {k}") for k in range(4) for g in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(16, F.col("doc_id") % 10, "doc_id")
+    got = packing.pack_documents(docs, Q.WORD_TOKENIZER, 128).collect()
+    check_pieces([r.asDict() for r in got], [r[2] for r in brute.token_rows(rows, Q.WORD_TOKENIZER)], 128)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.doc_id // 10, set()).add(r.sequence_id >> 40)
+    assert len(set().union(*shards.values())) > 8
+    assert sum(len(held) == 1 for held in shards.values()) > 30
+
+
+def test_packing_splits_a_hot_term(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_IDS", 1500, raising=False)
+    docs = spark.createDataFrame([(7, "one text that is repeated very often")] * 3000, "doc_id long, text string")
+    sizes = {}
+    for r in packing.pack_documents(docs, Q.WORD_TOKENIZER, 256).collect():
+        sizes[r.sequence_id >> 40] = sizes.get(r.sequence_id >> 40, 0) + r.length
+    assert len(sizes) > 8 and max(sizes.values()) < 2.5 * sum(sizes.values()) / len(sizes)
+
+
 def test_jaccard_given(spark, sf_dir, given):
     links, groups = brute.near(given)
     sets = {i: brute.shingles(t) for i, t in given}
