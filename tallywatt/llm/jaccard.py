@@ -1,10 +1,11 @@
-"""Near duplicates by a MinHash LSH forest with exact verification.
+"""Near duplicates by MinHash bands with exact verification.
 
 A document is the set of its five-word shingles; documents with equal sets form a
-class, and only classes go on. Every class has a label in each tree of the
-forest. Matched prefixes are shortened from the full depth until a pair at the
-threshold is found with the target recall. Classes that share a prefix meet in a
-bucket, a subtree of one sorted trie; there a net of pivots, by similarity of the
+class, and only classes go on. Every class has a label in each of several trees.
+Fixed bands stand in for an LSH forest: all labels are cut to one prefix length,
+the longest at which a pair at the threshold meets with the target recall, and
+equal prefixes are grouped by their hash; none is shortened by bucket. Classes that
+share a prefix meet in a bucket; there a net of pivots, by similarity of the
 signatures, ties together everything that can be linked without listing pairs.
 What is tied together is verified on the whole shingle sets, block by block, and
 each class gets its number of links and its group.
@@ -43,8 +44,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 def stop_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """Prefix length at which the walk up the forest stops: the longest at which
-    a pair at the threshold shares a prefix in some tree with the target recall."""
+    """The fixed prefix length: the longest at which a pair at the threshold
+    shares a prefix in some tree with the target recall."""
     for length in range(depth, 1, -1):
         if 1 - (1 - threshold ** length) ** trees >= target:
             return length
