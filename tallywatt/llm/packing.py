@@ -16,6 +16,7 @@ padding.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ SHARD_IDS = 3 << 20
 ROUTE_TERMS = 16
 #: Documents drawn per shard; the driver holds shards x draws of them.
 DRAWS = 64
-#: Terms of a seed's query, the heaviest by BM25 weight.
+#: Terms of a seed's first query, the heaviest by BM25 weight; each further one has twice as many.
 QUERY_TERMS = 32
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
@@ -119,23 +120,25 @@ class Bm25:
         order = np.argsort(term.astype(np.min_scalar_type(len(counts.df))), kind="stable")
         self.posting_docs, self.posting_weights = doc[order], weight[order]
         self.postings = np.searchsorted(term[order], np.arange(len(counts.df) + 1))
-        self.df = np.diff(self.postings)
+        # a term that all documents hold, as the end id, makes none alike
+        self.telling = (np.diff(self.postings) > 1) & (counts.df < counts.n)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """Unused documents that share a term with the seed, best first: by its
+        heaviest terms, then by the next ones, until all are used."""
         terms, bounds = self.doc_terms
         own = slice(bounds[seed], bounds[seed + 1])
-        shared = np.flatnonzero(self.df[terms[own]] > 1)
-        if len(shared) > QUERY_TERMS:
-            shared = shared[np.argpartition(-self.doc_weights[own][shared], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(shared):
-            return shared
-        lists = [slice(self.postings[t], self.postings[t + 1]) for t in terms[own][shared].tolist()]
-        docs = np.concatenate([self.posting_docs[s] for s in lists])
-        score = np.bincount(docs, np.concatenate([self.posting_weights[s] for s in lists]), self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        shared = np.flatnonzero(self.telling[terms[own]])
+        shared = shared[np.argsort(-self.doc_weights[own][shared], kind="stable")]
+        at, size = 0, QUERY_TERMS
+        while at < len(shared) and unused.any():
+            lists = [slice(self.postings[t], self.postings[t + 1]) for t in terms[own][shared[at:at + size]].tolist()]
+            docs = np.concatenate([self.posting_docs[s] for s in lists])
+            score = np.bincount(docs, np.concatenate([self.posting_weights[s] for s in lists]), self.n)
+            score[~unused] = 0
+            found = np.flatnonzero(score)
+            yield found[np.argsort(-score[found], kind="stable")]
+            at, size = at + size, 2 * size
 
 
 def plan(encoded: Encoded, window: int, counts: Counts) -> list[tuple[int, int, int, int, int]]:
@@ -175,15 +178,17 @@ def plan(encoded: Encoded, window: int, counts: Counts) -> list[tuple[int, int,
             close()
             start = put(seed, start)
         if at < window:
-            found = index.neighbours(seed, unused)
-            while at < window and len(found):
-                fits = found[length[found] <= window - at]
-                best = int(fits[0] if len(fits) else found[0])
-                unused[best] = False
-                found = found[found != best]
-                cut = put(best, 0)
-                if cut < length[best]:
-                    waiting = best, cut
+            for found in index.neighbours(seed, unused):
+                while at < window and len(found):
+                    fits = found[length[found] <= window - at]
+                    best = int(fits[0] if len(fits) else found[0])
+                    unused[best] = False
+                    found = found[found != best]
+                    cut = put(best, 0)
+                    if cut < length[best]:
+                        waiting = best, cut
+                if at == window:
+                    break
         if at == window:
             close()
         elif waiting is None:  # nothing alike is left: any document goes on

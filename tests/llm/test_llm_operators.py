@@ -303,6 +303,14 @@ def test_packing_splits_a_hot_term(spark, monkeypatch):
     assert len(sizes) > 8 and max(sizes.values()) < 2.5 * sum(sizes.values()) / len(sizes)
 
 
+def test_packing_asks_with_all_terms(monkeypatch):
+    monkeypatch.setattr(packing, "QUERY_TERMS", 2)
+    docs = [[10, 11, 12, 1], [20, 21, 22, 1], [10, 11, 30, 1], [12, 40, 41, 1], [12, 50, 51, 1]]
+    ids = np.array(docs).ravel()
+    pieces = packing.plan(tokens.Encoded(ids, np.arange(0, 21, 4)), 12, packing.Counts(5, 4.0, np.bincount(ids)))
+    assert {doc for sequence, _, doc, _, _ in pieces if sequence == 0} in ({0, 2, 3}, {0, 2, 4})
+
+
 def test_jaccard_given(spark, sf_dir, given):
     links, groups = brute.near(given)
     sets = {i: brute.shingles(t) for i, t in given}
