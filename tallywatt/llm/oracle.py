@@ -45,3 +45,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
 SELECT query_id, "rank", vec_id, score FROM p WHERE "rank" <= 5"""
+
+SQL["op13_filter_audit"] = rf"""WITH {WORDS.replace("doc_id, ", "doc_id, coalesce(lang, '') AS part, ", 1)},
+flags AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+  coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS e FROM w LEFT JOIN flags USING (doc_id)),
+fails AS (SELECT *, [a, b, c, d, e] AS x FROM f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest(range(1, 6)) AS i),
+orders AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.i, q.i, r.i, s.i, t.i] AS o
+  FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+steps AS (SELECT filter_order, o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+kinds AS (SELECT part, x, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM fails GROUP BY part, x),
+told AS (SELECT part, filter_order, step, o[step] AS own, n, n_good, n_toxic, x[o[step]] AS fails,
+  len(list_filter(o[:step - 1], lambda i: x[i])) = 0 AS reached, len(list_filter(x, lambda v: v)) AS n_fails FROM kinds, steps),
+steps_told AS (SELECT part, filter_order, step, own,
+  coalesce(sum(n) FILTER (reached AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (reached AND fails), 0) AS removed,
+  coalesce(sum(n) FILTER (fails AND NOT reached), 0) AS redundant, coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS unique_fails,
+  coalesce(sum(n_good) FILTER (reached AND fails), 0) AS good_lost, coalesce(sum(n_toxic) FILTER (reached AND fails), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM steps_told"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywatt.llm import bpe, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
+from tallywatt.llm import bpe, filter_audit, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
 from tallywatt.llm.common import documents, run_folder
 from tallywatt.llm.oracle import SQL  # noqa: F401
 
@@ -83,3 +83,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 8)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

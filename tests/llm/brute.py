@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -152,3 +153,34 @@ def near(docs, threshold=0.8):
         for b in bs:
             root[max(find(a), find(b))] = min(find(a), find(b))
     return ({s: len(links[k]) for k, s in enumerate(sets)}, {s: find(k) for k, s in enumerate(sets)})
+
+
+def filter_audit(docs, labels):
+    """docs: (doc_id, text, lang); labels: (doc_id, quality, toxic)."""
+    first = {}
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    fails = []
+    for i, t, part in docs:
+        t = t or ""
+        w = words(t)
+        fails.append((i, part or "", {
+            "A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and first[t] < i}))
+    out = []
+    for part in {p for _, p, _ in fails}:
+        own = [(i, x) for i, p, x in fails if p == part]
+        shapley, rows = Counter(), []
+        for order in permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order):
+                gone = [(i, x) for i, x in left if x[f]]
+                left = [(i, x) for i, x in left if not x[f]]
+                shapley[f] += len(gone)
+                rows.append((f, part, "".join(order), step + 1, len(left), len(gone), sum(x[f] for _, x in own) - len(gone),
+                             sum(x[f] and sum(x.values()) == 1 for _, x in own), sum(i in good for i, _ in gone if i is not None),
+                             sum(i in toxic for i, _ in gone if i is not None)))
+        out += [(*r[1:], shapley[r[0]]) for r in rows]
+    return out
