@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywatt.llm import bpe, filter_audit, jaccard, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
+from tallywatt.llm import bpe, filter_audit, jaccard, lattice, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
 from tallywatt.llm.common import documents, run_folder
 from tallywatt.llm.oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -85,6 +86,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 8)
 
 
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lm_scores(documents(spark, sf_dir), PIECE_TOKENIZER)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import sentencepiece
 from tokenizers import Tokenizer
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -184,3 +186,64 @@ def filter_audit(docs, labels):
                              sum(i in toxic for i, _ in gone if i is not None)))
         out += [(*r[1:], shapley[r[0]]) for r in rows]
     return out
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def unigrams(docs):
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score), one list entry per row."""
+    split = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2, [*words(lower(t)), None]) for i, t in docs]
+    c = Counter(w for _, held, ws in split if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [(i, held, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+            for i, held, ws in split], c
+
+
+def pieces(path):
+    """Entry (bytes) -> first probability."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    weight = {bytes([b]): 1 / (2 + model.get_piece_size()) for b in range(256)}
+    for k in range(model.get_piece_size()):
+        p = re.sub("[A-Z]", lambda m: m[0].lower(), model.id_to_piece(k)).replace("▁", " ")
+        if k > 2 and not model.is_byte(k) and " " not in p[1:] and not re.search("[\t-\r]", p):
+            weight[p.encode()] = max(weight.get(p.encode(), 0), 1 / (2 - min(0, model.get_score(k))))
+    total = sum(weight.values())
+    return {p: w / total for p, w in weight.items()}
+
+
+def marginal(word, p):
+    """(probability, expected count of each entry) by summing over all segmentations."""
+    data = b" " + word.encode()
+    n = len(data)
+    fits = [[(j, data[i:j]) for j in range(i + 1, min(n, i + 40) + 1) if data[i:j] in p] for i in range(n)]
+    ahead = [0.0] * n + [1.0]
+    for i in reversed(range(n)):
+        ahead[i] = sum(p[x] * ahead[j] for j, x in fits[i])
+    before = [1.0] + [0.0] * n
+    expected = Counter()
+    for i in range(n):
+        for j, x in fits[i]:
+            before[j] += before[i] * p[x]
+            if ahead[0]:
+                expected[x] += before[i] * p[x] * ahead[j] / ahead[0]
+    return ahead[0], expected
+
+
+def lattice_scores(docs, path, rounds, prior):
+    """log10 of each row's marginal probability; for words short enough not to underflow."""
+    rows, c = unigrams(docs)
+    start = pieces(path)
+    p, told = start, 0.0
+    for _ in range(rounds):
+        seen = Counter()
+        for w, n in c.items():
+            if w is not None:
+                for x, e in marginal(w, p)[1].items():
+                    seen[x] += n * e
+        told = sum(seen.values())
+        p = {x: (seen[x] + prior * len(start) * q) / (told + prior * len(start)) for x, q in start.items()}
+    end = (c[None] + 1) / (c[None] + 1 + told + prior * len(start))
+    p = {x: q * (1 - end) for x, q in p.items()}
+    return [sum(math.log10(marginal(w, p)[0]) for w in words(lower(t))) + math.log10(end) for _, t in docs]
