@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywatt.llm import bpe, filter_audit, jaccard, lattice, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
+from tallywatt.llm import alignment, bpe, filter_audit, jaccard, lattice, packing, quality, secret_scan, sharding, substring, suffix, token_files, topk
 from tallywatt.llm.common import documents, run_folder
 from tallywatt.llm.oracle import SQL  # noqa: F401
 
@@ -91,6 +91,11 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lm_scores(documents(spark, sf_dir), PIECE_TOKENIZER)
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_figures(documents(spark, sf_dir), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -7,7 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import permutations
+from itertools import permutations, takewhile
 
 import numpy as np
 import sentencepiece
@@ -247,3 +247,44 @@ def lattice_scores(docs, path, rounds, prior):
     end = (c[None] + 1) / (c[None] + 1 + told + prior * len(start))
     p = {x: q * (1 - end) for x, q in p.items()}
     return [sum(math.log10(marginal(w, p)[0]) for w in words(lower(t))) + math.log10(end) for _, t in docs]
+
+
+def alignment(docs, path_a, path_b):
+    """Whole texts through both libraries, byte ranges compared token by token."""
+    tok = Tokenizer.from_file(path_a)
+    tok.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in shown]
+    byte_of = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(rest)}
+    told, links = [], []
+    for i, t in docs:
+        data = (" " + (t or "")).encode()
+        a, b = tok.encode(" " + (t or ""), add_special_tokens=False).ids, model.encode(t or "")
+        bytes_a = [bytes(byte_of[c] for c in tok.id_to_token(x)) for x in a]
+        bytes_b = [bytes([int(model.id_to_piece(x)[3:5], 16)]) if model.is_byte(x) else model.id_to_piece(x).replace("▁", " ").encode() for x in b]
+        if not t or b"".join(bytes_a) != data or b"".join(bytes_b) != data:
+            told.append((i, 0, 0, 0, 0, ""))
+            links.append([])
+            continue
+        spans = []
+        for ids, parts in ((a, bytes_a), (b, bytes_b)):
+            ends = np.cumsum([len(x) for x in parts]).tolist()
+            spans.append(list(zip([0, *ends[:-1]], ends, ids)))
+        groups = []
+        ends_a, ends_b = {e for _, e, _ in spans[0]}, {e for _, e, _ in spans[1]}
+        ka = kb = 0
+        for end in sorted(ends_a & ends_b):
+            own_a = list(takewhile(lambda x: x[1] <= end, (spans[0][k] for k in range(ka, len(spans[0])))))
+            own_b = list(takewhile(lambda x: x[1] <= end, (spans[1][k] for k in range(kb, len(spans[1])))))
+            of_a, of_b = [x for *_, x in own_a], [x for *_, x in own_b]
+            groups.append((of_a, of_b, [(x, y) for s, e, x in own_a for s2, e2, y in own_b if s < e2 and s2 < e]))
+            ka, kb = ka + len(of_a), kb + len(of_b)
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y, _ in groups)
+        links.append([p for *_, ps in groups for p in ps])
+        told.append((i, len(a), len(b), len(groups), len(links[-1]), hashlib.sha256(text.encode()).hexdigest()))
+    count = Counter(p for ps in links for p in ps)
+    best = Counter()
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    return [(*x[:5], sum(count[p] == best[p[1]] for p in ps), sum(count[p] for p in ps), x[5]) for x, ps in zip(told, links)]
