@@ -67,21 +67,28 @@ def _encode_new(tokenizer, words: list[str]) -> dict[str, bytes]:
     return found
 
 
+def _lowered(vocabulary: pa.Array) -> pa.Array:
+    """Words as the cache knows them. The normalizer lowers a word of ASCII alone
+    in any case, so its forms can share an entry; others are composed before they
+    are lowered, and a word with a special token's mark is found as it stands."""
+    plain = pc.and_(pc.string_is_ascii(vocabulary), pc.invert(pc.match_substring(vocabulary, "<|")))
+    return pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
+
+
 def encode(texts: pa.Array, path: str) -> Encoded:
     """Ids of each text without special tokens added; null is empty. Special
-    tokens' strings in a text are found as the library finds them."""
+    tokens' strings in a text are found as the library finds them. A text's ids
+    do not depend on the texts beside it."""
     tokenizer, known = _tokenizer(path)
-    texts = pc.fill_null(texts, "")
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)  # the normalizer does the same; fewer distinct words
     words = words_of(texts)
-    vocabulary = words.vocabulary.to_pylist()
+    vocabulary = _lowered(words.vocabulary).to_pylist()
     ids_of = [known.get(w) for w in vocabulary]
     new = [k for k, ids in enumerate(ids_of) if ids is None]
-    found = _encode_new(tokenizer, [vocabulary[k] for k in new])
+    found = _encode_new(tokenizer, list(dict.fromkeys(vocabulary[k] for k in new)))
     for k in new:
         ids_of[k] = found[vocabulary[k]]
-        known.put(vocabulary[k], ids_of[k])
+    for word, ids in found.items():
+        known.put(word, ids)
     pool = pa.array(ids_of, pa.large_binary())
     data, ends = joined(pool, words.codes)
     ids = np.frombuffer(data, "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))

@@ -433,3 +433,23 @@ def test_words_of_slices():
     words = [found.vocabulary[int(c)].as_py() for c in found.codes]
     assert words == ["a", "b", "b\x1cc", "a"] and found.offsets.tolist() == [0, 2, 2, 2, 4]
 
+
+
+MARKED = ["J", "H", "T", "W", "Y", "j", "a", "E", "̌", "̱", "̈", "̊", "́", " ", "\n", "John", "the", "<|", "|>",
+          "<|endoftext|>", "<|STARTOFTEXT|>", "İ", "K", "12", "'S", "é", "."]
+
+
+def test_token_ids_do_not_depend_on_neighbours():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.WORD_TOKENIZER)
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(9)
+    texts = ["the J̌ohn", *["".join(rng.choice(MARKED) for _ in range(rng.randint(1, 9))) for _ in range(10000)]]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for size in (1, 7, len(texts)):
+        for at in range(0, len(texts) if size > 1 else 300, size):
+            part = texts[at:at + size]
+            got = tokens.encode(pa.array(part), Q.WORD_TOKENIZER)
+            assert [got.ids[a:b].tolist() for a, b in zip(got.offsets[:-1], got.offsets[1:])] == want[at:at + size]
