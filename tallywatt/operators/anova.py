@@ -141,19 +141,24 @@ def moments(design: Design, rows: DataFrame, outcomes: Sequence[str], block: str
 
 
 STATE = ("n_rows double, n_blocks double, gram array<double>, rhs array<double>, within double, "
-         "cell_n array<double>, cell_s array<double>, cell_q array<double>, lo_n double, hi_n double, n_cells double")
+         "cell_n array<double>, cell_s array<double>, cell_q array<double>, lo_n double, hi_n double, n_cells double, "
+         "block_share array<double>, block_mean double, block_inverse double")
 
 
 def _absorb(cells: int):
     """Sufficient statistics of a set of whole blocks, block effects removed.
 
     gram = sum over blocks of diag(n) - n n'/N, rhs likewise, within = squared
-    deviations inside blocks; cell_* are plain cell sums about ``shift``.
+    deviations inside blocks; cell_* are plain cell sums about ``shift``. A
+    block's own level is its mean less the effects of its cells, each weighted
+    with n/N: block_share, block_mean and block_inverse add up n/N, the mean and
+    1/N over the blocks, so that the constant can be told from their levels.
     """
     def run(pdf: pd.DataFrame, head: dict) -> pd.DataFrame:
         gram, rhs = np.zeros((cells, cells)), np.zeros(cells)
         cn, cs, cq = np.zeros(cells), np.zeros(cells), np.zeros(cells)
         within = float(pdf["m2"].sum())
+        share, means, inverse = np.zeros(cells), 0.0, 0.0
         codes, _ = pd.factorize(pdf["block"])
         order = np.argsort(codes, kind="stable")
         bounds = np.flatnonzero(np.diff(codes[order])) + 1
@@ -163,7 +168,11 @@ def _absorb(cells: int):
         for rows in blocks:
             c, w, v = cell[rows], n[rows].astype(float), y[rows]
             total = w.sum()
-            d = v - (w @ v) / total
+            level = (w @ v) / total
+            d = v - level
+            share[c] += w / total
+            means += level
+            inverse += 1 / total
             gram[c, c] += w
             gram[np.ix_(c, c)] -= np.outer(w, w) / total
             rhs[c] += w * d
@@ -174,14 +183,15 @@ def _absorb(cells: int):
         return pd.DataFrame([{
             **head, "n_rows": float(n.sum()), "n_blocks": float(len(blocks)), "gram": gram.ravel(), "rhs": rhs,
             "within": within, "cell_n": cn, "cell_s": cs, "cell_q": cq + np.bincount(cell, pdf["m2"], cells),
-            "lo_n": float(n.min()), "hi_n": float(n.max()), "n_cells": float(len(pdf))}])
+            "lo_n": float(n.min()), "hi_n": float(n.max()), "n_cells": float(len(pdf)),
+            "block_share": share, "block_mean": float(means), "block_inverse": inverse}])
     return run
 
 
 def _added(pdf: pd.DataFrame) -> dict:
     """Sum of states; blocks must not be split between them."""
-    out = {c: float(pdf[c].sum()) for c in ("n_rows", "n_blocks", "within", "n_cells")}
-    out |= {c: np.sum([np.asarray(v) for v in pdf[c]], axis=0) for c in ("gram", "rhs", "cell_n", "cell_s", "cell_q")}
+    out = {c: float(pdf[c].sum()) for c in ("n_rows", "n_blocks", "within", "n_cells", "block_mean", "block_inverse")}
+    out |= {c: np.sum([np.asarray(v) for v in pdf[c]], axis=0) for c in ("gram", "rhs", "cell_n", "cell_s", "cell_q", "block_share")}
     return out | {"lo_n": float(pdf["lo_n"].min()), "hi_n": float(pdf["hi_n"].max())}
 
 
@@ -222,9 +232,13 @@ def absorbed(design: Design, base: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 class Fit:
-    """Least squares solution of one state."""
+    """Least squares solution of one state.
 
-    def __init__(self, design: Design, state: pd.Series, block: bool):
+    ``block`` is None (no block), "fixed" (an additive block), "pooled" (the
+    blocks in the state, but not in the model) or "mixed" (a random block).
+    """
+
+    def __init__(self, design: Design, state: pd.Series, block: str | None):
         self.design, self.block = design, block
         k = design.cells
         self.cell_n = np.asarray(state["cell_n"])
@@ -237,31 +251,69 @@ class Fit:
         parts = [design.contrasts(t) for t in self.terms]
         edges = np.cumsum([0] + [p.shape[1] for p in parts])
         self.span = {t: slice(edges[i], edges[i + 1]) for i, t in enumerate(self.terms)}
-        x = np.hstack(parts)
-        gram = np.asarray(state["gram"]).reshape(k, k)
-        self.inverse = np.linalg.inv(x.T @ gram @ x)
-        rhs = x.T @ np.asarray(state["rhs"])
-        self.beta = self.inverse @ rhs
-        self.effects = x @ self.beta
+        self.x = np.hstack(parts)
         self.shift = state["shift"]
         s, q = np.asarray(state["cell_s"]), np.asarray(state["cell_q"])
+        gram, rhs, within = np.asarray(state["gram"]).reshape(k, k), np.asarray(state["rhs"]), float(state["within"])
+        if block == "pooled":  # one block of all rows
+            gram = np.diag(self.cell_n) - np.outer(self.cell_n, self.cell_n) / self.n
+            rhs = s - self.cell_n * s.sum() / self.n
+        inner = self.x.T @ gram @ self.x
+        if np.linalg.matrix_rank(inner, hermitian=True) < len(inner):
+            raise ValueError("blocks hold too few cells together: effects and blocks cannot be told apart")
+        self.inverse = np.linalg.inv(inner)
+        self.beta = self.inverse @ (self.x.T @ rhs)
+        self.effects = self.x @ self.beta
         self.cell_mean = s / self.cell_n + self.shift
         self.pure = max(float(np.sum(q - s * s / self.cell_n)), 0.0)  # within cells, block ignored
-        self.resid = max(float(state["within"] - self.beta @ rhs), 0.0) if block else self.pure
-        self.df = self.n - (k - 1) - self.blocks
         self.total = float(np.sum(q) - np.sum(s) ** 2 / self.n)
+        self.df = self.n - (k - 1) - self.blocks
+        within_blocks = max(within - float(self.beta @ (self.x.T @ rhs)), 0.0)
+        self.resid = within_blocks if block in ("fixed", "mixed") else self.pure
+        if block == "pooled":
+            self.df = self.n - k
+        if block == "mixed":
+            self._mix()
+        if block in ("fixed", "mixed"):
+            share = self.x.T @ np.asarray(state["block_share"])
+            self.constant = (state["block_mean"] - share @ self.beta) / self.blocks + self.shift
+            # levels of the blocks and effects of the cells are independent estimates' sums
+            self.constant_variance = (state["block_inverse"] + share @ self.inverse @ share) / self.blocks ** 2
+        else:
+            self.constant = float(self.cell_mean.mean())
+            self.constant_variance = float(np.sum(1.0 / self.cell_n)) / k ** 2
+
+    def _mix(self) -> None:
+        """Restricted likelihood with a random block, for complete balanced blocks.
+
+        A block's variance is (block mean square - residual mean square) / rows
+        of a block, or zero where that is negative. Above zero the terms are
+        tested as with fixed blocks. At zero the residual variance is estimated
+        from both strata; the denominator df stay those of the residual stratum,
+        as both variances stay parameters (Kenward and Roger's approximation).
+        """
+        if not self.balanced:
+            raise ValueError("a random block needs as many runs of each configuration in each block")
+        between = max(self.pure - self.resid, 0.0)
+        residual = self.resid / self.df if self.df > 0 else 0.0
+        self.block_variance = max((between / (self.blocks - 1) - residual) * self.blocks / self.n, 0.0) if self.blocks > 1 else 0.0
+        if self.block_variance == 0.0 and self.df > 0:
+            self.resid = self.pure * self.df / (self.df + self.blocks - 1)  # pooled variance, residual df
 
     def sum_sq(self, term) -> float:
         part = self.span[term]
         b = self.beta[part]
         return float(b @ np.linalg.solve(self.inverse[part, part], b))
 
-    def intercept(self) -> float | None:
-        k = self.design.cells
-        if self.block and not self.balanced:
-            return None
-        grand = self.cell_mean.mean()
-        return float(grand * grand * k * k / np.sum(1.0 / self.cell_n))
+    def intercept(self) -> float:
+        """The constant's sum of squares; blocks, too, add up to zero."""
+        return float(self.constant ** 2 / self.constant_variance)
+
+    def contrast(self, weights: np.ndarray) -> tuple[float, float]:
+        """(estimate, variance in units of the residual variance) of a weighted
+        sum of the cells' effects."""
+        of_beta = weights @ self.x
+        return float(of_beta @ self.beta), float(of_beta @ self.inverse @ of_beta)
 
 
 def _row(term: str, ss: float | None, df: float, fit: Fit, tested: bool = True) -> dict:
@@ -279,13 +331,13 @@ def anova_rows(fit: Fit) -> list[dict]:
     out = [_row("Intercept", fit.intercept(), 1, fit)]
     for t in fit.terms:
         out.append(_row(term_name(t), fit.sum_sq(t), fit.span[t].stop - fit.span[t].start, fit))
-    if fit.block:
+    if fit.block == "fixed":
         out.append(_row("block", max(fit.pure - fit.resid, 0.0), fit.blocks - 1, fit))
     out.append(_row("Residual", fit.resid, fit.df, fit, tested=False))
     return out
 
 
-def _solved(design: Design, base: DataFrame, by: Sequence[str], block: bool, rows_of, fields: str) -> DataFrame:
+def _solved(design: Design, base: DataFrame, by: Sequence[str], block: str | None, rows_of, fields: str) -> DataFrame:
     """Solve every state of ``by`` in its own task."""
     state = absorbed(design, base, by)
     kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
@@ -307,7 +359,7 @@ def type3_anova(runs: DataFrame, outcomes: Sequence[str] = ("energy_j",), levels
     """
     design = Design.of(levels or observed_levels(runs))
     base = moments(design, runs, outcomes, block)
-    return _solved(design, base, ["outcome"], block is not None, lambda fit, keys: anova_rows(fit), TABLE)
+    return _solved(design, base, ["outcome"], "fixed" if block else None, lambda fit, keys: anova_rows(fit), TABLE)
 
 
 def model_fit(runs: DataFrame, outcomes: Sequence[str] = ("energy_j",), levels: Mapping[str, Sequence[str]] | None = None,
@@ -320,7 +372,7 @@ def model_fit(runs: DataFrame, outcomes: Sequence[str] = ("energy_j",), levels:
                  "rmse": (fit.resid / fit.df) ** 0.5 if fit.df > 0 else None}]
 
     base = moments(design, runs, outcomes, block)
-    return _solved(design, base, ["outcome"], block is not None, rows_of,
+    return _solved(design, base, ["outcome"], "fixed" if block else None, rows_of,
                    "n double, df_resid double, r_squared double, rmse double")
 
 
@@ -349,7 +401,7 @@ def residuals(runs: DataFrame, outcome: str = "energy_j", levels: Mapping[str, S
         values = fit.effects if fit.block else fit.cell_mean
         return [{"cell": i, "__cell_effect": float(v)} for i, v in enumerate(values)]
 
-    cells = checked_small(_solved(design, base, ["outcome"], block is not None, rows_of,
+    cells = checked_small(_solved(design, base, ["outcome"], "fixed" if block else None, rows_of,
                                   "cell int, __cell_effect double").drop("outcome"))
     rows = runs.withColumn("cell", design.cell()).join(cells, "cell", "left")
     if block is None:

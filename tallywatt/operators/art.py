@@ -1,4 +1,8 @@
-"""Aligned-rank analysis and its contrasts, for complete balanced blocks."""
+"""Aligned-rank analysis and its contrasts, with or without balanced blocks.
+
+``block_model`` tells how blocks enter the test on the ranks: "fixed" (an
+additive block), "pooled" (none) or "mixed" (a random block whose variance is
+estimated, for as many runs of each configuration in each block)."""
 
 from __future__ import annotations
 
@@ -32,18 +36,13 @@ def holm(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), name: st
         name, F.when(F.col(p).isNotNull(), adjusted)).drop("__i")
 
 
-def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
-             targets: Mapping[str, np.ndarray]) -> DataFrame:
-    """(term, cell, block, value): for every target, the deviation from the
-    cell mean plus the target's estimate for the cell. Every cell must have the
-    same number of runs in every block.
+def _cell_effects(runs: DataFrame, design: Design) -> tuple[np.ndarray, float]:
+    """(effect of every cell, constant) of the factorial and block model.
 
-    ``targets`` maps a name to the matrix that turns cell means into the
-    estimate. The cell table is solved on its own and broadcast; the rows are
-    expanded once per target and never joined again.
+    With as many runs of each cell in each block these are the cell means about
+    their mean; otherwise block effects are removed by least squares, so that a
+    cell that happens to fill the high blocks is not taken for a high one.
     """
-    # read by two jobs: computed once
-    runs = stored(runs.select(design.declared_cell().alias("cell"), F.col(block).alias("block"), F.col(outcome).cast("double").alias("y")))
     within = runs.groupBy("cell", "block").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
     cells = within.groupBy("cell").agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"),
                                        F.count("*").alias("blocks"))
@@ -51,12 +50,35 @@ def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
     empty = [design.label(i) for i in range(design.cells) if i not in table or not table[i]["high"]]
     if empty:
         raise ValueError(f"empty cells: {empty}")
-    if len({(n, r["blocks"]) for r in table.values() for n in (r["low"], r["high"])}) > 1:
-        raise ValueError("aligned ranks need as many runs of each configuration in each block")
-    mu = np.array([table[i]["mean"] for i in range(design.cells)])
-    span = max(float(mu.max() - mu.min()), float(np.abs(mu).max()) * 1e-6, 1e-300)
+    if len({(n, r["blocks"]) for r in table.values() for n in (r["low"], r["high"])}) == 1:
+        mean = np.array([table[i]["mean"] for i in range(design.cells)])
+        return mean - mean.mean(), float(mean.mean())
+
+    def rows_of(fit: Fit, keys: dict) -> list[dict]:
+        return [{"cell": i, "effect": float(v), "constant": fit.constant} for i, v in enumerate(fit.effects)]
+
+    base = moments(design, runs, ["y"], "block")
+    found = _solved(design, base, ["outcome"], "fixed", rows_of, "cell int, effect double, constant double").collect()  # one row per cell
+    effects = np.zeros(design.cells)
+    effects[[r["cell"] for r in found]] = [r["effect"] for r in found]
+    return effects, found[0]["constant"]
+
+
+def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
+             targets: Mapping[str, np.ndarray]) -> DataFrame:
+    """(term, cell, block, value): for every target, what the cell's effect
+    leaves of the outcome plus the target's estimate for the cell.
+
+    ``targets`` maps a name to the matrix that turns cell effects into the
+    estimate. The cell table is solved on its own and broadcast; the rows are
+    expanded once per target and never joined again.
+    """
+    # read by several jobs: computed once
+    runs = stored(runs.select(design.declared_cell().alias("cell"), F.col(block).alias("block"), F.col(outcome).cast("double").alias("y")))
+    effects, constant = _cell_effects(runs, design)
+    span = max(float(effects.max() - effects.min()), float(np.abs(effects + constant).max()) * 1e-6, 1e-300)
     digits = SIGNIFICANT - math.ceil(math.log10(span))
-    shifts = {name: matrix @ mu - mu for name, matrix in targets.items()}
+    shifts = {name: matrix @ (effects + constant) - effects - constant for name, matrix in targets.items()}
     local = [(i, [float(shifts[t][i]) for t in targets]) for i in range(design.cells)]
     cells = F.broadcast(runs.sparkSession.createDataFrame(local, "cell int, shifts array<double>"))
     names = F.array(*[F.lit(t) for t in targets])
@@ -80,20 +102,17 @@ def _rank_moments(aligned: DataFrame) -> DataFrame:
                        F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)).alias("m2"))
 
 
-def _pool(fit: Fit, block: str) -> Fit:
-    """``block='pooled'`` adds the block's share to the residual, which is
-    what the mixed model does when the block variance is estimated as zero."""
-    if block == "pooled":
-        fit.resid, fit.df = fit.pure, fit.df + fit.blocks - 1
-    elif block != "fixed":
-        raise ValueError(f"block_model must be 'fixed' or 'pooled', not {block!r}")
-    return fit
+def _model(block_model: str) -> str:
+    if block_model not in ("fixed", "pooled", "mixed"):
+        raise ValueError(f"block_model must be 'fixed', 'pooled' or 'mixed', not {block_model!r}")
+    return block_model
 
 
 def art_anova(runs: DataFrame, outcome: str = "energy_j", levels: Mapping[str, Sequence[str]] | None = None,
               block: str = "block", block_model: str = "fixed") -> DataFrame:
     """(term, sum_sq, df, F, p_value, partial_eta2): every term tested on the
-    ranks of its own aligned values, one job for all terms.
+    ranks of its own aligned values, one job for all terms. The log may be
+    unbalanced, but for ``block_model="mixed"``.
     """
     design = Design.of(levels or observed_levels(runs))
     terms = {term_name(t): t for t in design.terms()}
@@ -101,17 +120,17 @@ def art_anova(runs: DataFrame, outcome: str = "energy_j", levels: Mapping[str, S
 
     def rows_of(fit: Fit, keys: dict) -> list[dict]:
         t = terms[keys["target"]]
-        fit = _pool(fit, block_model)
         return [_row(keys["target"], fit.sum_sq(t), fit.span[t].stop - fit.span[t].start, fit)]
 
     base = _rank_moments(aligned).withColumnRenamed("term", "target")
-    return _solved(design, base, ["target"], True, rows_of, TABLE).drop("target")
+    return _solved(design, base, ["target"], _model(block_model), rows_of, TABLE).drop("target")
 
 
 def art_alignment_check(runs: DataFrame, outcome: str = "energy_j", levels: Mapping[str, Sequence[str]] | None = None,
                         block: str = "block") -> DataFrame:
     """(target, aligned_sum, target_sum_sq, largest_other_sum_sq, ok): the
-    aligned values of a term must sum to zero and carry no other effect.
+    aligned values of a term must sum to zero and carry no other effect. In an
+    unbalanced log the sum is that of their constant over all rows.
     """
     design = Design.of(levels or observed_levels(runs))
     terms = {term_name(t): t for t in design.terms()}
@@ -121,12 +140,12 @@ def art_alignment_check(runs: DataFrame, outcome: str = "energy_j", levels: Mapp
     def rows_of(fit: Fit, keys: dict) -> list[dict]:
         own = fit.sum_sq(terms[keys["target"]])
         other = max((fit.sum_sq(t) for n, t in terms.items() if n != keys["target"]), default=0.0)
-        total = float(np.sum(fit.cell_mean * fit.cell_n))
+        total = fit.constant * fit.n
         scale = max(fit.resid, own, 1e-300)
         return [{"aligned_sum": total, "target_sum_sq": own, "largest_other_sum_sq": other,
                  "ok": bool(other <= 1e-9 * scale and abs(total) <= 1e-6 * math.sqrt(scale * fit.n))}]
 
-    return _solved(design, base, ["target"], True, rows_of,
+    return _solved(design, base, ["target"], "fixed", rows_of,
                    "aligned_sum double, target_sum_sq double, largest_other_sum_sq double, ok boolean")
 
 
@@ -149,23 +168,21 @@ def artc_pairwise(runs: DataFrame, factors: Sequence[str] = ("engine",), outcome
     member = {c: np.array([x == c for x in labels]) for c in combos}
 
     def rows_of(fit: Fit, keys: dict) -> list[dict]:
-        fit = _pool(fit, block_model)
         mse = fit.resid / fit.df
         # estimated marginal means: plain averages of the cells' estimates
-        mean = {c: fit.effects[m].mean() for c, m in member.items()}
-        spread = {c: float(np.sum(1.0 / fit.cell_n[m])) / m.sum() ** 2 for c, m in member.items()}
+        share = {c: m / m.sum() for c, m in member.items()}
         out = []
         for i, a in enumerate(combos):
             for b in combos[i + 1:]:
-                est = float(mean[a] - mean[b])
-                se = math.sqrt(mse * (spread[a] + spread[b]))
+                est, spread = fit.contrast(share[a] - share[b])
+                se = math.sqrt(mse * spread)
                 t = est / se if se > 0 else None
                 out.append({"contrast": f"{','.join(a)} - {','.join(b)}", "left_level": list(a), "right_level": list(b), "estimate": est, "se": se,
                             "df": fit.df, "t_ratio": t, "p_value": dist.t_two_sided(t, fit.df)})
         return out
 
     base = _rank_moments(aligned).withColumnRenamed("term", "target")
-    table = _solved(design, base, ["target"], True, rows_of, CONTRAST).drop("target")
+    table = _solved(design, base, ["target"], _model(block_model), rows_of, CONTRAST).drop("target")
     return holm(table) if adjust else table
 
 
