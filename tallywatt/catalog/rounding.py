@@ -14,12 +14,13 @@ def nudge(digits: int) -> float:
     return NUDGE * 10.0 ** -digits
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Floating columns as DOUBLE rounded to ``digits``."""
+def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
+    """Floating columns as DOUBLE rounded to ``digits``, or to those of their name (6 without)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            out.append(F.round(F.col(f.name).cast("double") + F.lit(nudge(digits)), digits).alias(f.name))
+            d = digits if isinstance(digits, int) else digits.get(f.name, 6)
+            out.append(F.round(F.col(f.name).cast("double") + F.lit(nudge(d)), d).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from tallywatt.catalog.rounding import rounded_sql
+from tallywatt.catalog.solve_oracle import Columns
 from tallywatt.catalog.tail_oracle import f_tail, normal_quantile, normal_tail
 from tallywatt.catalog.telemetry_oracle import ALL, TELEMETRY, derived
 from tallywatt.schema import FACTORS, NUMERIC_COLUMNS, OUTCOMES, PROFILE_KEYS, TELEMETRY_COLUMNS
@@ -359,6 +360,15 @@ UNION ALL SELECT 'effect', term, {r('e')}, CASE WHEN e >= 0.14 THEN 'large' WHEN
 SQL["type3_unbalanced"] = f"""WITH {LOG}, {CELLS.format(source='ok')}, {_terms('cells')},
 rss AS (SELECT sum(ss) AS rss, sum(n) - 48 AS rdf FROM cells)
 SELECT {_effect} FROM terms, rss"""
+# with blocks in an unbalanced log there is no closed form: the equations are solved
+COLUMNS = Columns(LEVELS)
+_every_outcome = " UNION ALL ".join(f"SELECT '{c}' AS target, block, {F5}, {c} AS y FROM ok" for c in OUTCOMES)
+_unbalanced = f"WITH RECURSIVE {LOG}, src AS ({_every_outcome}), {COLUMNS.swept('src')}, every AS MATERIALIZED ({COLUMNS.sums('fit')})"
+_tails = f_tail("SELECT target, term, (ss / df) / (rss / rdf) AS f, df AS d1, rdf AS d2 FROM every", "target, term")
+SQL["type3_unbalanced_blocks"] = f"""{_unbalanced}, tails AS ({_tails})
+SELECT target AS outcome, term, df, {r('log10(ss)', 5)} AS log_ss, {r('log10((ss / df) / (rss / rdf))', 5)} AS log_f, {r('p')} AS p_value,
+  CASE WHEN term <> 'Intercept' THEN {r('ss / (ss + rss)')} END AS partial_eta2 FROM every JOIN tails USING (target, term)
+UNION ALL SELECT DISTINCT target, 'Residual', CAST(rdf AS DOUBLE), {r('log10(rss)', 5)}, NULL, NULL, NULL FROM every"""
 SQL["residuals"] = f"WITH {DESIGN}, {RES} SELECT block, config_id, {r('fit', 5)} AS fitted, {r('energy_j - fit', 5)} AS residual FROM fitted_rows"
 
 
@@ -463,6 +473,30 @@ SQL["art_anova"] = _art()
 SQL["art_anova_p"] = _p_of(_art(columns="term, df, (ss / df) / (rss / rdf) AS f, df AS d1, rdf AS d2"), "term, df")
 SQL["art_anova_secondary"] = " UNION ALL ".join(
     f"SELECT *, '{c}' AS outcome FROM ({_art(_as_energy(c), 8)})" for c in OUTCOMES[1:])
+# a random block: its variance decides which residual variance the terms are held against
+_by_block = """rss AS (SELECT target, CASE WHEN ssb / 9 > rss / 423 THEN rss ELSE (rss + ssb) / 432 * 423 END AS rss, 423 AS rdf FROM
+  (SELECT target, sum(res * res) AS rss FROM fitted_rows GROUP BY ALL) JOIN
+  (SELECT target, sum(48 * pow(bm - g, 2)) AS ssb FROM (SELECT target, block, avg(m0) AS bm FROM ranked GROUP BY ALL)
+    JOIN (SELECT target, avg(m0) AS g FROM ranked GROUP BY ALL) USING (target) GROUP BY target) USING (target))"""
+
+
+def _mixed(query: str) -> str:
+    told = query.replace("rss AS (SELECT target, sum(res * res) AS rss, 423 AS rdf FROM fitted_rows GROUP BY ALL)", _by_block)
+    assert told != query
+    return told
+
+
+SQL["art_mixed"] = " UNION ALL ".join(f"SELECT *, '{c}' AS outcome FROM ({_mixed(_art(_as_energy(c), 5 if c == 'energy_j' else 8))})" for c in OUTCOMES)
+_effects = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, {F5}, " + " + ".join(f"m[{p + i}][{COLUMNS.y}] * {COLUMNS.x[p + i - 1]}" for i in range(w)) + " AS effect FROM cells0, fit0"
+    for t, p, w in COLUMNS.terms)
+SQL["art_unbalanced"] = f"""WITH RECURSIVE {LOG}, src0 AS (SELECT 'y' AS target, block, {F5}, energy_j AS y FROM ok), {COLUMNS.swept('src0', '0')},
+cells0 AS (SELECT DISTINCT {F5} FROM ok), effects AS ({_effects}), all_effects AS (SELECT {F5}, sum(effect) AS whole FROM effects GROUP BY ALL),
+aligned AS (SELECT e.target, ok.block, {', '.join(f'ok.{f}' for f in FACTORS)}, round(energy_j + (effect - whole - constant), 5) AS v
+  FROM (SELECT {COLUMNS.constant} AS constant FROM fit0), ok JOIN all_effects USING ({F5}) JOIN effects e USING ({F5})),
+src AS (SELECT target, block, {F5}, rank() OVER (PARTITION BY target ORDER BY v) + (count(*) OVER (PARTITION BY target, v) - 1) / 2e0 AS y FROM aligned),
+{COLUMNS.swept('src')}, every AS ({COLUMNS.sums('fit', "target = '{term}'")})
+SELECT {_effect} FROM every"""
 # an aligned term sums to zero and carries its own effect only
 _alignment = _art().split("ranked AS (")[0]
 SQL["art_alignment_check"] = f"""{_alignment} cells AS (SELECT target, {F5}, count(*) AS n, avg(y) AS m FROM aligned GROUP BY ALL),

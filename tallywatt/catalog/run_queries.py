@@ -386,7 +386,10 @@ def type3_unbalanced(spark, sf_dir):
 
 @query
 def type3_unbalanced_blocks(spark, sf_dir):
-    return anova.type3_anova(ok(spark, sf_dir), OUTCOMES, LEVELS, block="block")
+    """Every row of the table, the constant included; sizes as logarithms."""
+    table = anova.type3_anova(ok(spark, sf_dir), OUTCOMES, LEVELS, block="block")
+    return rounded(table.select("outcome", "term", "df", F.log10("sum_sq").alias("log_ss"), F.log10("F").alias("log_f"), "p_value", "partial_eta2"),
+                   {"log_ss": 5, "log_f": 5})
 
 
 @query
@@ -480,6 +483,22 @@ def art_anova_secondary(spark, sf_dir):
     return out
 
 
+@query
+def art_mixed(spark, sf_dir):
+    """Blocks as a random effect, for all outcomes."""
+    out = None
+    for c in OUTCOMES:
+        table = _no_p(art.art_anova(design(spark, sf_dir), c, LEVELS, block_model="mixed")).withColumn("outcome", F.lit(c))
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+@query
+def art_unbalanced(spark, sf_dir):
+    """The whole log: cells and blocks of any size."""
+    return _no_p(art.art_anova(ok(spark, sf_dir), "energy_j", LEVELS))
+
+
 @query
 def art_anova_p(spark, sf_dir):
     return rounded(art.art_anova(design(spark, sf_dir), "energy_j", LEVELS).select("term", "df", "p_value"))
