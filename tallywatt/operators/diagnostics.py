@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 from tallywatt.functions import dist
 from tallywatt.functions.dist_columns import f_tail
 from tallywatt.operators.anova import observed_levels, residuals
-from tallywatt.plans.ranks import medians, null_safe, value_ranks
+from tallywatt.plans.ranks import null_safe, value_ranks
+from tallywatt.plans.selection import medians
 from tallywatt.plans.small import checked_small
 from tallywatt.schema import OUTCOMES
 from tallywatt.session import stored

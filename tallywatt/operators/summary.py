@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywatt.functions.dist_columns import t_quantile
 from tallywatt.functions.values import GRID_KG_PER_KWH, JOULES_PER_KWH, carbon_grams
-from tallywatt.plans.ranks import exact_quantiles, medians, null_safe
+from tallywatt.plans.selection import medians, quantile_table
 from tallywatt.schema import FACTORS, OUTCOMES
 
 CONFIG = ("config_id", *FACTORS)
@@ -41,16 +41,15 @@ def config_summary(runs: DataFrame, keys: Sequence[str] = CONFIG, tie: str = "co
     """Per configuration: n, centre and spread of the outcomes, the 95%
     interval of mean energy, and the energy rank.
     """
-    stats = runs.groupBy(*keys).agg(
+    stats = [
         F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{short}_{name}") for c, short in SHORT.items()
           for name, f in (("mean", F.avg), ("sd", F.stddev_samp))],
         F.min("energy_j").alias("energy_min"),
         F.max("energy_j").alias("energy_max"),
-    )
-    middle = medians(runs, OUTCOMES, keys)
-    middle = middle.withColumnsRenamed({f"{c}_median": f"{short}_median" for c, short in SHORT.items()})
-    table = confidence(null_safe(stats, middle, keys))
+    ]
+    table = medians(runs, OUTCOMES, keys, extra=stats)
+    table = confidence(table.withColumnsRenamed({f"{c}_median": f"{short}_median" for c, short in SHORT.items()}))
     return numbered(table, [F.col("energy_mean").asc_nulls_last(), F.col(tie)], "energy_rank")
 
 
@@ -61,11 +60,11 @@ def summarize_runs(runs: DataFrame) -> DataFrame:
     mode = "execution_mode" if "execution_mode" in runs.columns else "threading_mode"
     keys = [*FACTORS[:4], mode, "config_id"]
     ok = runs.filter("status = 'ok'")
-    stats = ok.groupBy(*keys).agg(
+    stats = [
         *[f(c).alias(f"{c}_{name}") for c in OUTCOMES for name, f in (("mean", F.avg), ("std", F.stddev_samp))],
         F.count("block").alias("measured_runs"),
-    )
-    table = null_safe(stats, medians(ok, OUTCOMES, keys), keys)
+    ]
+    table = medians(ok, OUTCOMES, keys, extra=stats)
     order = [F.col("energy_j_mean").asc_nulls_last(), F.col("runtime_s_mean").asc_nulls_last(), F.col("config_id")]
     return numbered(table, order, "energy_rank")
 
@@ -83,9 +82,8 @@ def _six(prefix_first: bool) -> dict[str, Column]:
 
 def engine_summary(runs: DataFrame, by: str = "engine") -> DataFrame:
     """Six statistics per engine, lowest mean energy first."""
-    stats = runs.groupBy(by).agg(*[c.alias(n) for n, c in _six(False).items()])
-    middle = medians(runs, ["energy_j"], [by]).withColumnRenamed("energy_j_median", "median_energy")
-    return null_safe(stats, middle, [by]).orderBy("mean_energy")
+    table = medians(runs, ["energy_j"], [by], extra=[c.alias(n) for n, c in _six(False).items()])
+    return table.withColumnRenamed("energy_j_median", "median_energy").orderBy("mean_energy")
 
 
 def by_factor_level(runs: DataFrame, factors: Sequence[str], *cols: str) -> DataFrame:
@@ -98,9 +96,8 @@ def main_effects(runs: DataFrame, factors: Sequence[str] = tuple(FACTORS[1:])) -
     """Six statistics per level of every factor, one grouping for all."""
     long = by_factor_level(runs, factors, *OUTCOMES)
     keys = ["factor", "level"]
-    stats = long.groupBy(*keys).agg(*[c.alias(n) for n, c in _six(True).items()])
-    middle = medians(long, ["energy_j"], keys).withColumnRenamed("energy_j_median", "energy_median")
-    return null_safe(stats, middle, keys)
+    table = medians(long, ["energy_j"], keys, extra=[c.alias(n) for n, c in _six(True).items()])
+    return table.withColumnRenamed("energy_j_median", "energy_median")
 
 
 def interaction_means(runs: DataFrame, factor: str, levels: Sequence[str] | None = None,
@@ -129,11 +126,8 @@ def factor_level_matrix(runs: DataFrame, levels: Mapping[str, Sequence[str]], ou
 
 
 def block_summary(runs: DataFrame) -> DataFrame:
-    stats = runs.groupBy("block").agg(
-        F.avg("energy_j").alias("energy_mean"), F.avg("runtime_s").alias("runtime_mean"),
-        F.avg("peak_rss_mb").alias("memory_mean"))
-    middle = medians(runs, ["energy_j"], ["block"]).withColumnRenamed("energy_j_median", "energy_median")
-    return null_safe(stats, middle, ["block"])
+    stats = [F.avg("energy_j").alias("energy_mean"), F.avg("runtime_s").alias("runtime_mean"), F.avg("peak_rss_mb").alias("memory_mean")]
+    return medians(runs, ["energy_j"], ["block"], extra=stats).withColumnRenamed("energy_j_median", "energy_median")
 
 
 def functional_audit(runs: DataFrame) -> DataFrame:
@@ -153,19 +147,16 @@ def unstable_hashes(runs: DataFrame, k: int | None = None) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str] = OUTCOMES) -> DataFrame:
     """Count, mean, std, minimum, quartiles, maximum, median and CV%."""
+    stats = [f(c).alias(f"{c}__{n}") for c in cols for n, f in (
+        ("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    table = quantile_table(df, cols, [0.25, 0.5, 0.75], extra=stats)
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("count"), F.col(f"{c}__mean").alias("mean"),
-                 F.col(f"{c}__sd").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
-        for c in cols
+                 F.col(f"{c}__sd").alias("std"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"),
+                 *[F.col(f"q_{i}_{j}").alias(p) for j, p in enumerate(("p25", "p50", "p75"))])
+        for i, c in enumerate(cols)
     ]
-    stats = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (
-        ("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]).select(
-        F.inline(F.array(*entries)))
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    wide = quartiles.groupBy("column").agg(*[
-        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-        for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return stats.join(wide, "column", "left").withColumns(
+    return table.select(F.inline(F.array(*entries))).withColumns(
         {"median": F.col("p50"), "cv_percent": F.try_divide(100 * F.col("std"), F.col("mean"))})
 
 
@@ -256,12 +247,10 @@ def with_carbon(df: DataFrame, energy: str = "energy_j", kg_per_kwh: float = GRI
 def carbon_totals(runs: DataFrame, kg_per_kwh: float = GRID_KG_PER_KWH) -> DataFrame:
     """Totals over all runs and the CO2 of the lowest, mean, median and
     highest energy per run."""
-    totals = runs.agg(
+    totals = [
         F.count("energy_j").alias("runs"), F.sum("energy_j").alias("total_j"), F.avg("energy_j").alias("mean_j"),
-        F.min("energy_j").alias("min_j"), F.max("energy_j").alias("max_j"))
-    middle = exact_quantiles(runs, ["energy_j"], [0.5]).select(
-        F.col("quantile").alias("median_j"), F.lit(1).alias("__one"))
-    one = totals.withColumn("__one", F.lit(1)).join(middle, "__one", "left").drop("__one")
+        F.min("energy_j").alias("min_j"), F.max("energy_j").alias("max_j")]
+    one = medians(runs, ["energy_j"], [], extra=totals).withColumnRenamed("energy_j_median", "median_j")
     mg = lambda c: carbon_grams(F.col(c), kg_per_kwh) * 1000.0
     return one.select(
         "runs", (F.col("total_j") / 1000.0).alias("total_kj"), (F.col("total_j") / JOULES_PER_KWH).alias("total_kwh"),

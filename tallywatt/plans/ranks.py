@@ -1,4 +1,4 @@
-"""Global ranks and exact quantiles without an unpartitioned window.
+"""Global ranks without an unpartitioned window.
 
 Equal values are first counted (map-side combined), so a value that fills a
 third of the table is one row afterwards; the distinct values are then ranked
@@ -7,12 +7,11 @@ inside value ranges that each hold a bounded share of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywatt.plans.segments import SEGMENT, add_segments, cut_points, tied_cut_points
-from tallywatt.plans.small import checked_small, small_copy
 
 
 def _ranked_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,83 +118,6 @@ def stacked(df: DataFrame, keys: Sequence[str], cols: Sequence[str], extra: Mapp
     return df.select(*keys, F.inline(F.array(*entries)))
 
 
-def values_at(df: DataFrame, cols: Sequence[str], keys: Sequence[str], wanted: Mapping[str, Callable[[Column], Column]],
-              parts: int | None = None) -> DataFrame:
-    """(keys, column, name, position, value, below, same): the values at
-    sorted positions of each column and key, with the numbers of smaller and
-    of equal rows. ``wanted`` maps a name to the position (from 0) as a
-    function of the number of rows.
-
-    Counting rows per value range comes first and shuffles no values. It tells
-    which ranges hold the wanted positions; only the rows of those ranges,
-    about one share per position, are then counted by value and ordered. Null
-    and NaN are skipped. Several key columns are replaced by one number while
-    this runs, as long as there are few groups.
-    """
-    if len(keys) > 2:
-        groups, size = small_copy(df.select(*keys).distinct())
-        if size is not None:
-            named = checked_small(groups.withColumn("__key", F.row_number().over(W.orderBy(F.lit(0)))))
-            numbered = null_safe(df.select(*keys, *cols), named, keys, "inner")
-            found = values_at(numbered.select("__key", *cols), cols, ["__key"], wanted, parts)
-            return found.join(named, "__key").select(*keys, *[c for c in found.columns if c != "__key"])
-    cuts = cut_points(df, cols, parts)
-    names = {c: f"__seg_{c}" for c in cols}
-    long = stacked(add_segments(df, cuts, names), keys, cols, {SEGMENT: [names[c] for c in cols]}).filter(
-        "value is not null and not isnan(value)")
-    group = [*keys, "column"]
-    sizes = long.groupBy(*group, SEGMENT).agg(F.count(F.lit(1)).alias("__size"))
-    # one row per key, column and segment
-    order = W.partitionBy(*group).orderBy(SEGMENT)
-    placed = sizes.withColumns({
-        "__from": F.coalesce(F.sum("__size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        "__total": F.sum("__size").over(W.partitionBy(*group))})
-    marks = F.array(*[F.struct(F.lit(n).alias("name"), at(F.col("__total")).cast("bigint").alias("position"))
-                      for n, at in wanted.items()])
-    inside = F.filter(marks, lambda m: (m["position"] >= F.col("__from")) & (m["position"] < F.col("__from") + F.col("__size")))
-    targets = placed.withColumn("__marks", inside).filter(F.size("__marks") > 0).select(
-        *group, SEGMENT, "__from", "__marks")
-    join = [*group, SEGMENT]
-    near = null_safe(long, checked_small(targets), join, "inner")
-    counts = near.groupBy(*join, "value").agg(
-        F.count(F.lit(1)).alias("same"), F.first("__from").alias("__from"), F.first("__marks").alias("__marks"))
-    running = F.sum("same").over(W.partitionBy(*join).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = counts.withColumn("below", F.col("__from") + running - F.col("same"))
-    hits = F.filter("__marks", lambda m: (m["position"] >= F.col("below")) & (m["position"] < F.col("below") + F.col("same")))
-    return found.withColumn("__hits", hits).select(*group, F.inline("__hits"), "value", "below", "same")
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                    parts: int | None = None) -> DataFrame:
-    """(keys, column, prob, quantile) with linear interpolation between the two
-    rows around the position (rows - 1) * prob."""
-    def at(p: float, side) -> Callable[[Column], Column]:
-        return lambda total: side((total - 1) * F.lit(float(p)))
-
-    wanted = {f"{i}/{name}": at(p, side) for i, p in enumerate(probs) for name, side in (("low", F.floor), ("high", F.ceil))}
-    # the share of the upper neighbour, taken from the number of rows
-    wanted["rows"] = lambda total: total - 1
-    found = values_at(df, cols, keys, wanted, parts)
-    pick = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
-    wide = found.groupBy(*keys, "column").agg(
-        (pick("rows", "position") + 1).alias("__total"),
-        *[pick(f"{i}/{name}", "value").alias(f"__{name}{i}") for i in range(len(probs)) for name in ("low", "high")])
-    rows = []
-    for i, p in enumerate(probs):
-        position = (F.col("__total") - 1) * F.lit(float(p))
-        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
-        rows.append(F.struct(F.lit(float(p)).alias("prob"), (low + (high - low) * (position - F.floor(position))).alias("quantile")))
-    return wide.select(*keys, "column", F.inline(F.array(*rows)))
-
-
-def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str], suffix: str = "_median",
-            parts: int | None = None) -> DataFrame:
-    """Wide (keys, <col><suffix>) exact medians."""
-    long = exact_quantiles(df, cols, [0.5], keys, parts)
-    picks = [F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}{suffix}") for c in cols]
-    return long.groupBy(*keys).agg(*picks)
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys where null equals null; keeps the left key columns."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywatt.operators import telemetry as B
-from tallywatt.plans import ranks as K, segments as G
+from tallywatt.plans import ranks as K, segments as G, selection as S
 
 
 def frame(n=3000, seed=1):
@@ -76,24 +76,48 @@ def test_ranks_spread_over_payloads(spark):
     assert got == [(1.0, 1, 1.5), (1.0, 2, 1.5), (2.0, 1, 3.0)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 1000])
-@pytest.mark.parametrize("parts", [None, 8])
-def test_exact_quantiles(spark, n, parts):
+@pytest.mark.parametrize("n", [1, 2, 5, 1000, 20000])
+@pytest.mark.parametrize("size", [S.SIZE, 64])
+def test_exact_quantiles(spark, n, size):
     rng = np.random.default_rng(n)
     pdf = pd.DataFrame({"g": rng.integers(0, 2, n), "a": rng.normal(size=n), "b": np.round(rng.exponential(size=n), 1)})
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = K.exact_quantiles(spark.createDataFrame(pdf), ["a", "b"], probs, ["g"], parts=parts).collect()
+    got = S.exact_quantiles(spark.createDataFrame(pdf), ["a", "b"], probs, ["g"], size=size).collect()
     assert len(got) == pdf["g"].nunique() * 2 * len(probs)
     for r in got:
         want = np.quantile(pdf.loc[pdf["g"] == r["g"], r["column"]], r["prob"])
         assert abs(r["quantile"] - want) < 1e-12
 
 
-@pytest.mark.parametrize("parts", [None, 4])
-def test_quantiles_skip_null_and_nan(spark, parts):
+@pytest.mark.parametrize("size", [S.SIZE, 8])
+def test_quantiles_skip_null_and_nan(spark, size):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "a double")
-    assert K.exact_quantiles(df, ["a"], [0.5], parts=parts).first()["quantile"] == 2.0
-    assert K.exact_quantiles(df.filter("a is null"), ["a"], [0.5], parts=parts).count() == 0
+    assert S.exact_quantiles(df, ["a"], [0.5], size=size).first()["quantile"] == 2.0
+    assert S.exact_quantiles(df.filter("a is null"), ["a"], [0.5], size=size).count() == 0
+
+
+def test_quantiles_of_ties_and_null_groups(spark):
+    """Positions on the edge between two values that fill the table, and a null key beside 'null'."""
+    rows = [(k, v) for k in ("a", None, "null") for v in [1.0] * 700 + [2.0] * 700 + [3.0] * (k == "a") + [0.5] * (k is None)]
+    table = S.medians(spark.createDataFrame(rows, "k string, v double"), ["v"], ["k"], extra=[F.count("*").alias("rows")], size=64)
+    assert {r["k"]: (r["rows"], r["v_median"]) for r in table.collect()} == {"a": (1401, 2.0), None: (1401, 1.0), "null": (1400, 1.5)}
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """With margins on the wrong side, positions lie outside their brackets time and again."""
+    margins = iter([-0.3, -0.2, 0.05])
+    monkeypatch.setattr(S, "_margin", lambda size: next(margins, 0.2))
+    pdf = pd.DataFrame({"v": np.random.default_rng(3).permutation(5000).astype(float)})
+    got = S.exact_quantiles(spark.createDataFrame(pdf), ["v"], [0.1, 0.5, 0.9], size=64).collect()
+    assert {r["prob"]: r["quantile"] for r in got} == {p: float(np.quantile(pdf["v"], p)) for p in (0.1, 0.5, 0.9)}
+
+
+def test_selection_with_more_groups_than_a_driver_copy(spark, monkeypatch):
+    monkeypatch.setattr(S, "LOCAL_ROWS", 3)
+    df = spark.range(3000).selectExpr("id % 7 AS k", "CAST(id * id % 1009 AS DOUBLE) AS v")
+    want = df.toPandas().groupby("k")["v"].median()
+    got = S.medians(df, ["v"], ["k"], size=64).toPandas().set_index("k")["v_median"]
+    assert (want.sort_index() == got.sort_index()).all()
 
 
 def test_distinct_by_hash(spark, monkeypatch):
