@@ -308,11 +308,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that ``near_duplicates`` does not keep: one of
     each group stays, with all its columns, of repeated rows one too."""
-    kept = found.where("kept").groupBy(F.col("row").alias("_kept_row")).agg(F.count("*").alias("_kept_rows"))
-    kept = stored(kept, "kept")
+    name = "kept_row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    kept = stored(found.where("kept").groupBy(F.col("row").alias(name)).agg(F.count("*").alias("times")), "kept")
+    repeated = not kept.where("times > 1").isEmpty()
+    rows = kept.select(name)
     if 32 * kept.count() <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
-    left = docs.join(kept, row_key(id_col, text_col) == F.col("_kept_row"), "left_semi")
-    if kept.where("_kept_rows > 1").isEmpty():
+        rows = F.broadcast(rows)
+    left = docs.join(rows, row_key(id_col, text_col) == F.col(name), "left_semi")
+    if not repeated:
         return left
     return left.dropDuplicates([id_col, text_col])

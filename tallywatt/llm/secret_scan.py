@@ -52,6 +52,7 @@ PATTERNS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 }
+_RUN = re.compile(r"[A-Za-z0-9_-]*")
 HEX_LENGTH = 24
 _BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 _LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
@@ -121,6 +122,8 @@ def spans_of(text: str | None, may_have_hex: bool = True) -> list[Span]:
             ends[kind] = match.end()
             if kind not in CHECKS or CHECKS[kind](match):
                 spans.append(Span(match.start(), match.end(), kind))
+        elif kind == "jwt" and text.startswith("eyJ", at):
+            ends[kind] = _RUN.match(text, at).end()  # what follows the run fails for its later hits too
     if may_have_hex:
         spans += [Span(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))

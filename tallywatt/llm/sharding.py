@@ -4,7 +4,8 @@ Records are ordered by a hash of their text, so equal texts lie together. Keys
 drawn with probability in proportion to size give splitters at the quantiles of
 the bytes; the records between two splitters form a range. Every range is then
 measured exactly, overfull ones (a text repeated very often) are subdivided by a
-hash of the id, and runs of ranges become shards.
+hash of the id, and what is overfull still (one row repeated very often) by the
+rows' places; runs of ranges become shards.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ ROWS_PER_RANGE = 1_000_000
 
 
 def sized_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, key, tie): UTF-8 bytes plus 1, the text's
-    checksum (null: of the empty text) and the hashes that order the records."""
+    """(doc_id, size, text_crc32, key, tie, place): UTF-8 bytes plus 1, the text's
+    checksum (null: of the empty text), the hashes that order the records, and a
+    number that tells rows apart (to be stored before it is used twice)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
-        F.xxhash64(F.lit(1), F.col(id_col)).alias("tie"))
+        F.xxhash64(F.lit(1), F.col(id_col)).alias("tie"), F.monotonically_increasing_id().alias("place"))
 
 
 def sampled_splitters(records: DataFrame, ranges: int, total: int, draws: int = DRAWS) -> np.ndarray:
@@ -68,38 +70,44 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     limit = max(1, 2 * told["total"] // ranges)
     ranged = _ranged(records, splitters)
 
-    sizes = ranged.groupBy("range").agg(F.sum("size").alias("held"))
-    overfull = sizes.where(F.col("held") > limit).select(
-        "range", F.ceil(F.col("held") / F.lit(limit / 2)).cast("long").alias("parts"))
-    # a subset of the ranges' ids: as small as the list of splitters
-    cut = ranged.join(F.broadcast(overfull), "range", "left").withColumn(
-        "part", F.coalesce(F.pmod(F.col("tie"), F.col("parts")), F.lit(0)).cast("long")).drop("parts")
+    cut = _subdivided(ranged.withColumn("part", F.lit(0)), ["range"], "part", "tie", limit)
+    cut = _subdivided(cut.withColumn("copy", F.lit(0)), ["range", "part"], "copy", "place", limit)
 
-    units = cut.groupBy("range", "part").agg(F.sum("size").alias("held"), F.count("*").alias("rows"))
+    unit = ["range", "part", "copy"]
+    units = stored(cut.groupBy(*unit).agg(F.sum("size").alias("held"), F.count("*").alias("rows")), "units")
     # one row per range: an unpartitioned window is fine
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("bytes_before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     middle = (F.col("bytes_before") + F.col("held") / 2) * F.lit(shards / max(told["total"], 1))
     units = units.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
-    within = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    units = units.select("range", "part", "shard", F.coalesce(F.sum("rows").over(within), F.lit(0)).alias("rows_before"))
+    within = Window.partitionBy("shard").orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select(*unit, "shard", F.coalesce(F.sum("rows").over(within), F.lit(0)).alias("rows_before"))
 
-    place = Window.partitionBy("range", "part").orderBy("key", "tie", "doc_id")
+    place = Window.partitionBy(*unit).orderBy("key", "tie", "doc_id")
     return (cut.withColumn("place", F.row_number().over(place) - 1)
-            .join(F.broadcast(units), ["range", "part"])
+            .join(F.broadcast(units), unit)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                     (F.col("rows_before") + F.col("place")).cast("long").alias("slot"),
                     F.lit(None).cast("int").alias("grown_shard")))
 
 
+def _subdivided(rows: DataFrame, unit: list[str], name: str, by: str, limit: int) -> DataFrame:
+    """``name`` numbers the pieces into which units above the limit are cut by
+    the column ``by``; 0 in all others. Overfull units are fewer than the ranges."""
+    sizes = rows.groupBy(*unit).agg(F.sum("size").alias("held")).where(F.col("held") > limit)
+    overfull = sizes.select(*unit, F.ceil(F.col("held") / F.lit(limit / 2)).cast("long").alias("pieces"))
+    pieces = F.coalesce(F.pmod(F.xxhash64(by), F.col("pieces")), F.lit(0)).cast("long")
+    return rows.join(F.broadcast(overfull), unit, "left").withColumn(name, pieces).drop("pieces")
+
+
 def _ranged(records: DataFrame, splitters: np.ndarray) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()),
-                        ("key", pa.int64()), ("tie", pa.int64()), ("range", pa.int64())])
+                        ("key", pa.int64()), ("tie", pa.int64()), ("place", pa.int64()), ("range", pa.int64())])
 
     def rows(batches):
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            yield batch_of(schema, *[batch.column(c) for c in schema.names[:5]], np.searchsorted(splitters, keys))
+            yield batch_of(schema, *[batch.column(c) for c in schema.names[:6]], np.searchsorted(splitters, keys))
 
-    return records.select(*schema.names[:5]).mapInArrow(
-        rows, "doc_id long, size long, text_crc32 long, key long, tie long, range long")
+    return records.select(*schema.names[:6]).mapInArrow(
+        rows, "doc_id long, size long, text_crc32 long, key long, tie long, place long, range long")
