@@ -12,11 +12,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-from tallywatt.llm.common import Remembered, joined, of_process, words_of
+from tallywatt.llm.common import joined, of_process, words_of
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words and bytes of ids that a worker remembers; at a limit it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 48 << 20
+#: Bytes of a word that is remembered; longer ones are encoded each time.
+LONGEST = 256
 _MARK = "\x01"
 
 
@@ -27,6 +30,31 @@ class Encoded(NamedTuple):
     offsets: np.ndarray
 
 
+class Known:
+    """Ids of words by a 128-bit hash: sorted arrays, some 40 bytes a word."""
+
+    def __init__(self) -> None:
+        self.h1, self.h2, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids = pa.array([], pa.large_binary())
+
+    def places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Place of each word's ids, -1 where it is not known."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.place[at], -1)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: pa.Array) -> None:
+        """New words, each once."""
+        if len(self.h1) + len(h1) > REMEMBERED or self.ids.nbytes + ids.nbytes > REMEMBERED_BYTES:
+            self.__init__()
+        order = np.argsort(h1, kind="stable")
+        at = np.searchsorted(self.h1, h1[order])
+        self.h1, self.h2 = np.insert(self.h1, at, h1[order]), np.insert(self.h2, at, h2[order])
+        self.place = np.insert(self.place, at, len(self.ids) + order)
+        self.ids = pa.concat_arrays([self.ids, ids])
+
+
 def _tokenizer(path: str):
     kept = of_process("tokenizers")
     if path not in kept:
@@ -36,7 +64,7 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        kept[path] = tokenizer, Remembered(REMEMBERED)
+        kept[path] = tokenizer, Known()
     return kept[path]
 
 
@@ -67,6 +95,15 @@ def _encode_new(tokenizer, words: list[str]) -> dict[str, bytes]:
     return found
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct hash, which of them every row has)."""
+    order = np.lexsort(hashes.T)
+    starts = np.concatenate([[True], (np.diff(hashes[order], axis=0) != 0).any(1)])
+    same = np.empty(len(hashes), np.int64)
+    same[order] = np.cumsum(starts) - 1
+    return order[starts], same
+
+
 def _lowered(vocabulary: pa.Array) -> pa.Array:
     """Words as the cache knows them. The normalizer lowers a word of ASCII alone
     in any case, so its forms can share an entry; others are composed before they
@@ -82,14 +119,19 @@ def encode(texts: pa.Array, path: str) -> Encoded:
     tokenizer, known = _tokenizer(path)
     words = words_of(texts)
     vocabulary = _lowered(words.vocabulary).to_pylist()
-    ids_of = [known.get(w) for w in vocabulary]
-    new = [k for k, ids in enumerate(ids_of) if ids is None]
-    found = _encode_new(tokenizer, list(dict.fromkeys(vocabulary[k] for k in new)))
-    for k in new:
-        ids_of[k] = found[vocabulary[k]]
-    for word, ids in found.items():
-        known.put(word, ids)
-    pool = pa.array(ids_of, pa.large_binary())
-    data, ends = joined(pool, words.codes)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint64).reshape(-1, 2)
+    place = known.places(hashes[:, 0], hashes[:, 1])
+    new = np.flatnonzero(place < 0)
+    pool = known.ids
+    if len(new):
+        first, same = _distinct(hashes[new])
+        new_words = [vocabulary[k] for k in new[first].tolist()]
+        found = _encode_new(tokenizer, new_words)
+        ids = pa.array([found[w] for w in new_words], pa.large_binary())
+        place[new] = len(pool) + same
+        pool = pa.concat_arrays([pool, ids])
+        short = np.flatnonzero(np.fromiter(map(len, new_words), np.int64, len(new_words)) <= LONGEST)
+        known.add(*hashes[new[first[short]]].T, ids.take(pa.array(short)))
+    data, ends = joined(pool, place[words.codes])
     ids = np.frombuffer(data, "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
     return Encoded(ids, (ends[words.offsets] - ends[0]) // 4)

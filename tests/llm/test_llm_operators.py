@@ -453,3 +453,45 @@ def test_token_ids_do_not_depend_on_neighbours():
             part = texts[at:at + size]
             got = tokens.encode(pa.array(part), Q.WORD_TOKENIZER)
             assert [got.ids[a:b].tolist() for a, b in zip(got.offsets[:-1], got.offsets[1:])] == want[at:at + size]
+
+
+def test_one_row_repeated_for_half_of_the_bytes_is_spread(spark):
+    rows = [(1, "hot " * 200)] * 1000 + [(k, f"text {k} " * 80) for k in range(2, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = sharding.shard_by_bytes(docs, 8).toPandas()
+    assert len(found) == len(rows)
+    held = found.groupby("shard")["size"].sum()
+    assert len(held) == 8 and held.max() < 1.05 * held.min()
+    for _, part in found.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_tokens_in_one_endless_run_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.time()
+        assert secret_scan.spans_of("eyJ" * n) == []
+        return time.time() - start
+
+    took(1000)
+    assert took(400000) < 10  # a scan per hit would take hours
+    header = "eyJhbGciOiJub25lIn0"
+    text = "eyJ" * 50 + " " + f"{header}.eyJhIjoxfQ.c2ln" + " eyJ" + header
+    assert [s.kind for s in secret_scan.spans_of(text)] == ["jwt"]
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, PASSAGE, 0, 0), (2, PASSAGE, 0, 0), (3, "other words of another text here", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_row int, _kept_row int")
+    left = jaccard.keep_one(docs, jaccard.near_duplicates(docs))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3] and left.columns == docs.columns
+
+
+def test_a_small_word_cache_gives_the_same_ids(monkeypatch):
+    texts = pa.array([r[1] for r in awkward_rows()], pa.string())
+    want = tokens.encode(texts, Q.WORD_TOKENIZER)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    for _ in range(2):
+        got = tokens.encode(texts, Q.WORD_TOKENIZER)
+        assert (got.ids == want.ids).all() and (got.offsets == want.offsets).all()
