@@ -213,7 +213,7 @@ def _powers_of_two(pieces: list, sequence: int, held: int) -> list:
     return out
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, end_id: int, kind: str, remembered: int | None) -> DataFrame:
     """Stored: doc_id, place (names the row), size and ids (of ``kind``); each
     task's last row has no place but its counts: terms, and how many hold each."""
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()),
@@ -222,7 +222,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     def rows(batches):
         place, df = TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
         for batch in slices(batches, "text"):
-            ids, offsets = encode(batch.column("text"), path)
+            ids, offsets = encode(batch.column("text"), path, remembered)
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(batch.num_rows + 1)
             df = _added(df, np.bincount(_distinct(Encoded(ids, offsets))[1]))
@@ -276,12 +276,13 @@ def _ids_of(batch: pa.RecordBatch, kind: str) -> Encoded:
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                   end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+                   end_id: int = END_ID, with_ids: bool = True, remembered: int | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``window`` token ids.
 
     One row per piece: doc_id, start (its document's ids before it), length,
     ids_crc32 (little-endian 32-bit ids), doc_tokens (with the end id),
     sequence_id, offset (in the sequence, gapless from 0) and, ``with_ids``, ids.
+    ``remembered`` bounds the words whose ids a worker keeps (memory, not results).
     Each document ends with ``end_id``; null and empty texts are that id alone.
     Each id lies in exactly one piece. Repeated rows are packed each for itself;
     other columns are ignored; an empty table gives no rows.
@@ -289,7 +290,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, id_col: str
     spark = docs.sparkSession
     kind = "<u2" if max(largest_id(path), end_id) < 1 << 16 else "<u4"
     narrow = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = _encoded(narrow, path, end_id, kind)
+    encoded = _encoded(narrow, path, end_id, kind, remembered)
     held = encoded.where("place is not null").select("doc_id", "place", "size", "ids")
     n, total = held.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     counts = spark.sparkContext.broadcast(tuple(Counts(n, total / max(1, n), _by_term(_counted(encoded)))))

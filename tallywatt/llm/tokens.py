@@ -16,8 +16,8 @@ import xxhash
 
 from tallywatt.llm.common import joined, of_process, words_of
 
-#: Words and bytes of ids that a worker remembers; at a limit it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 1_500_000, 48 << 20
+#: Words that a worker remembers, with ids of BYTES_PER_WORD on average; at a limit it starts anew.
+REMEMBERED, BYTES_PER_WORD = 1_500_000, 32
 #: Bytes of a word that is remembered; longer ones are encoded each time.
 LONGEST = 256
 _MARK = "\x01"
@@ -44,9 +44,9 @@ class Known:
         at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
         return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.place[at], -1)
 
-    def add(self, h1: np.ndarray, h2: np.ndarray, ids: pa.Array) -> None:
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: pa.Array, limit: int) -> None:
         """New words, each once."""
-        if len(self.h1) + len(h1) > REMEMBERED or self.ids.nbytes + ids.nbytes > REMEMBERED_BYTES:
+        if len(self.h1) + len(h1) > limit or self.ids.nbytes + ids.nbytes > limit * BYTES_PER_WORD:
             self.__init__()
         order = np.argsort(h1, kind="stable")
         at = np.searchsorted(self.h1, h1[order])
@@ -112,7 +112,7 @@ def _lowered(vocabulary: pa.Array) -> pa.Array:
     return pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
 
 
-def encode(texts: pa.Array, path: str) -> Encoded:
+def encode(texts: pa.Array, path: str, remembered: int | None = None) -> Encoded:
     """Ids of each text without special tokens added; null is empty. Special
     tokens' strings in a text are found as the library finds them. A text's ids
     do not depend on the texts beside it."""
@@ -131,7 +131,7 @@ def encode(texts: pa.Array, path: str) -> Encoded:
         place[new] = len(pool) + same
         pool = pa.concat_arrays([pool, ids])
         short = np.flatnonzero(np.fromiter(map(len, new_words), np.int64, len(new_words)) <= LONGEST)
-        known.add(*hashes[new[first[short]]].T, ids.take(pa.array(short)))
+        known.add(*hashes[new[first[short]]].T, ids.take(pa.array(short)), remembered or REMEMBERED)
     data, ends = joined(pool, place[words.codes])
     ids = np.frombuffer(data, "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
     return Encoded(ids, (ends[words.offsets] - ends[0]) // 4)
