@@ -16,6 +16,8 @@ from tallywatt.llm.common import documents, stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 POLICY = ("clean", 2)
+#: Words a worker remembers; the earlier stages have left it less memory.
+REMEMBERED = 300_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that make up each sequence, with their ids."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [
