@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tallywatt.operators.telemetry import build_telemetry
@@ -80,6 +82,52 @@ def test_hot_sessions_equal_batch_in_order(spark, folder, sf_dir):
     assert as_rows(got, cols) == as_rows(build_telemetry(samples), cols)
 
 
+def test_hot_sessions_state_follows_the_changed_sessions(spark, folder, sf_dir):
+    """Batches of one session each between two of all: the log holds what was
+    touched, compacting keeps one row per session and older folders go."""
+    from tallywatt.streaming.hot_sessions import build_stream, read_state
+
+    samples = A.raw_samples_from_events(events(spark, sf_dir)).withColumn(
+        "host", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("h"), F.col("event_id") % 4))).withColumn("session_id", F.lit(1))
+    n = samples.count()
+    slices = [(0, n // 2, None), *[(n // 2 + 50 * i, n // 2 + 50 * (i + 1), i % 4) for i in range(5)], (n // 2 + 250, n, None)]
+    fed = None
+    for i, (a, b, only) in enumerate(slices):
+        part = samples.filter(F.col("event_id").between(a, b - 1))
+        part = part if only is None else part.filter(F.col("event_id") % 4 == only)
+        part.coalesce(1).write.parquet(f"{folder}/in/{i}")
+        fed = part if fed is None else fed.unionByName(part)
+    stream = (spark.readStream.schema(samples.schema).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    build_stream(stream, f"{folder}/out", f"{folder}/state", f"{folder}/cp", available_now=True,
+                 compact_every=3).awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    cols = ["host", "session_id", *TELEMETRY_COLUMNS]
+    assert as_rows(got, cols) == as_rows(build_telemetry(fed), cols)
+    assert sorted(p.name for p in Path(folder, "state").iterdir()) == ["base=5", "changes=6"]
+    assert spark.read.parquet(f"{folder}/state/base=5").count() == 4
+    now = read_state(spark, f"{folder}/state", 6, ["host", "session_id"], 3)
+    assert now.count() == 4 and now.agg(F.sum("__n")).first()[0] == fed.count()
+
+
+def test_hot_sessions_repeated_batch(spark, folder, sf_dir):
+    """A batch that is run again after a failure gives the same rows and state."""
+    from tallywatt.streaming.hot_sessions import build_stream, read_state
+
+    samples = A.raw_samples_from_events(events(spark, sf_dir))
+    store_in_order(samples, f"{folder}/in", 4)
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    start = lambda: build_stream(stream, f"{folder}/out", f"{folder}/state", f"{folder}/cp", available_now=True,
+                                 compact_every=2).awaitTermination()
+    start()
+    state = lambda: as_rows(read_state(spark, f"{folder}/state", 3, ["host", "session_id"], 2), ["host", "session_id", "__n", "__at"])
+    before = as_rows(spark.read.parquet(f"{folder}/out"), TELEMETRY_COLUMNS), state()
+    for name in ("3", ".3.crc"):  # the last commit is lost
+        Path(folder, "cp", "commits", name).unlink(missing_ok=True)
+    start()
+    assert (as_rows(spark.read.parquet(f"{folder}/out"), TELEMETRY_COLUMNS), state()) == before
+
+
 def test_hot_sessions_late_rows(spark, sf_dir):
     from tallywatt.streaming.hot_sessions import build_batch
 
