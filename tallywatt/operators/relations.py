@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from tallywatt.functions.dist_columns import t_two_sided
 from tallywatt.operators.summary import config_means, numbered
 from tallywatt.plans.ranks import average_ranks, null_safe, ranked_counts
-from tallywatt.plans.segments import add_segments, cut_points
+from tallywatt.plans.segments import Ranges, add_segments, value_ranges
 from tallywatt.plans.small import checked_small, small_copy
 from tallywatt.session import checkpointed, shuffle_partitions, stored
 
@@ -64,39 +64,79 @@ def correlations(runs: DataFrame, x: str = "energy_j", y: str = "runtime_s") ->
     return _with_p(out)
 
 
+PAIRWISE = 1 << 12  # comparisons that are made at once rather than divided further
+
+
 def _skyline(points: np.ndarray) -> np.ndarray:
     """Mask of the rows that no other row dominates (all <=, one <).
 
-    In lexicographic order a dominator comes first, so the next remaining row
-    always belongs to the front; one vectorised pass per front row removes
-    what it dominates. Equal rows do not dominate each other.
+    Equal rows do not dominate each other. The distinct rows in lexicographic
+    order are halved until few are left; nothing in the right half dominates
+    the left one, so a merge only asks which rows of the right front the left
+    front covers.
     """
-    index = np.lexsort(points.T[::-1])
-    left = points[index]
-    i = 0
-    while i < len(left):
-        p = left[i]
-        stays = ~(np.all(left >= p, axis=1) & np.any(left > p, axis=1))
-        left, index = left[stays], index[stays]
-        i += 1
+    order = np.lexsort(points.T[::-1])
+    rows = points[order]
+    new = np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(axis=1)])
     mask = np.zeros(len(points), dtype=bool)
-    mask[index] = True
+    mask[order] = _front(rows[new])[np.cumsum(new) - 1]
     return mask
 
 
+def _front(rows: np.ndarray) -> np.ndarray:
+    """Mask of the undominated among distinct rows in lexicographic order."""
+    if len(rows) ** 2 <= PAIRWISE:
+        return (rows[None] <= rows[:, None]).all(axis=2).sum(axis=1) == 1  # only itself
+    half = len(rows) // 2
+    left, right = _front(rows[:half]), _front(rows[half:])
+    right[right] = ~_covered(rows[:half][left][:, 1:], rows[half:][right][:, 1:])
+    return np.concatenate([left, right])
+
+
+def _covered(by: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether some row of ``by`` is at most the row in every column. Divided
+    at the median of the first column; what lies on both sides of it is
+    compared in the other columns only."""
+    if not len(by) or not len(rows):
+        return np.zeros(len(rows), dtype=bool)
+    if by.shape[1] == 1:
+        return rows[:, 0] >= by[:, 0].min()
+    if by.shape[1] == 2:
+        by = by[np.argsort(by[:, 0], kind="stable")]
+        lowest = np.concatenate([[np.inf], np.minimum.accumulate(by[:, 1])])
+        reached = np.searchsorted(by[:, 0], rows[:, 0], "right")
+        return (reached > 0) & (lowest[reached] <= rows[:, 1])
+    if len(by) * len(rows) <= PAIRWISE:
+        return (by[None] <= rows[:, None]).all(axis=2).any(axis=1)
+    cut = np.sort(np.concatenate([by[:, 0], rows[:, 0]]))[(len(by) + len(rows)) // 2]
+    below, above = rows[:, 0] < cut, rows[:, 0] > cut
+    out = np.zeros(len(rows), dtype=bool)
+    out[below] = _covered(by[by[:, 0] < cut], rows[below])
+    out[~below] = _covered(by[by[:, 0] <= cut][:, 1:], rows[~below][:, 1:])
+    open_ = above & ~out
+    out[open_] = _covered(by[by[:, 0] > cut], rows[open_])
+    return out
+
+
 def _skyline_batches(cols: list[str]):
-    """The front of a task's own distinct points, batch by batch."""
+    """The front of a task's own distinct points, taken again whenever as many
+    new points have come as it holds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        front = None
+        pool, waiting, front = [], 0, 0
         for batch in batches:
-            pool = batch if front is None else pd.concat([front, batch], ignore_index=True)
-            pool = pool.drop_duplicates()
-            front = pool[_skyline(pool[cols].to_numpy())]
-            if len(front) > LOCAL_FRONT:  # too long to pay off: pass it on
-                yield front
-                front = None
-        if front is not None:
-            yield front
+            pool.append(batch)
+            waiting += len(batch)
+            if waiting < front:
+                continue
+            points = pd.concat(pool, ignore_index=True).drop_duplicates()
+            pool, waiting = [points[_skyline(points[cols].to_numpy())]], 0
+            front = len(pool[0])
+            if front > LOCAL_FRONT:  # too long to pay off: pass it on
+                yield pool[0]
+                pool, front = [], 0
+        if pool:
+            points = pd.concat(pool, ignore_index=True).drop_duplicates()
+            yield points[_skyline(points[cols].to_numpy())]
     return run
 
 
@@ -126,12 +166,14 @@ MAX_GRID = 256  # ranges per objective: the grid table has MAX_GRID^(d-1) rows
 def pareto_front(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> DataFrame:
     """The distinct points no other point dominates, all objectives minimised.
 
-    With d objectives the first d - 1 are cut into value ranges. A dominator
-    of a point lies in the point's range in one of them (a strip), or in a
-    strictly lower range in all of them. Strips are checked inside one strip
-    at a time, and the strictly lower ranges through one number per grid cell:
-    the running minimum of the last objective. No pairs of points are formed
-    and the front is never gathered.
+    With d objectives the first d - 1 are cut into value ranges; a value that
+    many points share has a range of its own. A dominator of a point lies in
+    the point's range in one of them (a strip), or in a strictly lower range
+    in all of them. Strips are checked inside one strip at a time, and the
+    strictly lower ranges through one number per grid cell: the running
+    minimum of the last objective. A strip of one value, however many points
+    it holds, is the same question with one objective less and is divided
+    again. No pairs of points are formed and the front is never gathered.
     """
     cols = list(cols)
     if len(cols) < 2:
@@ -144,7 +186,7 @@ def pareto_front(df: DataFrame, cols: Sequence[str], parts: int | None = None) -
     beaten = _beaten_by_pivot(points, cols)
     if beaten is not None:
         points = points.filter(~beaten)
-    lead, last = cols[:-1], cols[-1]
+    lead = cols[:-1]
     schema = ", ".join(f"{c} double" for c in cols)
     points = points.mapInPandas(_skyline_batches(cols), schema).distinct()
     # read several times below: kept as a checked local copy or a checkpoint
@@ -154,27 +196,39 @@ def pareto_front(df: DataFrame, cols: Sequence[str], parts: int | None = None) -
 
     grid = parts or max(4, min(MAX_GRID, shuffle_partitions(df.sparkSession)))
     names = {c: f"__g{i}" for i, c in enumerate(lead)}
-    points = add_segments(points, cut_points(points, lead, grid), names)
-    axes = list(names.values())
+    ranges = value_ranges(points, lead, grid)
+    points = add_segments(points, {c: ranges[c].cuts for c in lead}, names)
+    return _divided(points, cols, {names[c]: ranges[c] for c in lead}, []).select(*cols)
+
+
+def _divided(points: DataFrame, cols: list[str], axes: dict[str, Ranges], fixed: list[str]) -> DataFrame:
+    """The undominated points of every group of ``fixed`` ranges, each of one
+    value. ``axes`` maps a range column to its ranges."""
+    last = cols[-1]
+    free = [a for a in axes if a not in fixed]
+    if not free:  # all but the last objective are equal
+        rest = [c for c in points.columns if c not in (*axes, last)]
+        return points.groupBy(*axes, *rest).agg(F.min(last).alias(last)).select(*points.columns)
 
     # per grid cell: the lowest last objective over strictly lower cells
-    low = points.groupBy(*axes).agg(F.min(last).alias("__low"))
-    reach = low
-    for axis in axes:
-        rest = [a for a in axes if a != axis]
-        above = F.transform(F.sequence((F.col(axis) + 1).cast("int"), F.lit(grid + 1)), lambda i: i.cast("double"))
-        reach = reach.select(*rest, F.explode(above).alias(axis), "__low").groupBy(*axes).agg(
+    reach = points.groupBy(*fixed, *free).agg(F.min(last).alias("__low"))
+    for axis in free:
+        rest = [a for a in (*fixed, *free) if a != axis]
+        above = F.transform(F.sequence((F.col(axis) + 1).cast("int"), F.lit(len(axes[axis].cuts) + 1)), lambda i: i.cast("double"))
+        reach = reach.select(*rest, F.explode(above).alias(axis), "__low").groupBy(*fixed, *free).agg(
             F.min("__low").alias("__low"))
-    near = points.join(reach, axes, "left").filter(
-        F.col("__low").isNull() | (F.col("__low") > F.col(last))).drop("__low")
+    out = points.join(reach, [*fixed, *free], "left").filter(
+        F.col("__low").isNull() | (F.col("__low") > F.col(last))).select(*points.columns)
 
-    out = near
-    fields = schema + "".join(f", {a} double" for a in axes)
-    for axis in axes:
+    for axis in free:
         # a strip's own front decides: what a removed point dominates is also
         # dominated by a kept point
-        out = out.groupBy(axis).applyInPandas(lambda pdf: pdf[_skyline(pdf[cols].to_numpy())], fields)
-    return out.select(*cols)
+        one = F.col(axis).isin(axes[axis].single)
+        strips = out.filter(~one) if axes[axis].single else out
+        strips = strips.groupBy(*fixed, axis).applyInPandas(
+            lambda pdf: pdf[_skyline(pdf[cols].to_numpy())], points.schema)
+        out = strips.unionByName(_divided(out.filter(one), cols, axes, [*fixed, axis])) if axes[axis].single else strips
+    return out
 
 
 def pareto(df: DataFrame, cols: Sequence[str], name: str = "pareto", parts: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
@@ -75,6 +76,25 @@ def tied_cut_points(df: DataFrame, col: str, parts: int | None = None) -> tuple[
     return cuts, [1, *[repeats[c] + 1 if c in heavy else 1 for c in cuts], 1]
 
 
+class Ranges(NamedTuple):
+    """Range i + 1 starts at ``cuts[i]``; ``single``: the ranges of one value."""
+
+    cuts: list[float]
+    single: list[float]
+
+
+def value_ranges(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> dict[str, Ranges]:
+    """Ranges of each column from one scan; a value repeated among the
+    quantiles has a range of its own, so that no other range holds many rows."""
+    out = {}
+    for c, points in zip(cols, _quantile_points(df, cols, segment_count(df, parts))):
+        finite = Counter(p for p in points if math.isfinite(p))
+        heavy = {v for v, m in finite.items() if m > 1}
+        cuts = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
+        out[c] = Ranges(cuts, [float(i + 1) for i, v in enumerate(cuts) if v in heavy])
+    return out
+
+
 def add_segments(df: DataFrame, cuts: Mapping[str, Sequence[float]], names: Mapping[str, str]) -> DataFrame:
     """Add ``names[c]``, the index of the value range that holds ``c``."""
     for c, points in cuts.items():

@@ -4,6 +4,7 @@ import pytest
 
 
 from tallywatt.operators import relations as R
+from tallywatt.plans.segments import add_segments, value_ranges
 
 
 def dominated(values):
@@ -17,7 +18,7 @@ def dominated(values):
     return out
 
 
-@pytest.mark.parametrize("d,kind,parts", [(2, "ties", 5), (2, "anti", 16), (3, "ties", 4), (3, "anti", 6), (4, "anti", 3), (3, "hot", 7)])
+@pytest.mark.parametrize("d,kind,parts", [(2, "ties", 5), (2, "anti", 16), (3, "ties", 4), (3, "anti", 6), (4, "anti", 3), (3, "hot", 7), (3, "ten", 6), (4, "ten", 5), (2, "one", 6)])
 def test_pareto_equals_brute_force(spark, d, kind, parts):
     rng = np.random.default_rng(d)
     n = 700
@@ -26,6 +27,10 @@ def test_pareto_equals_brute_force(spark, d, kind, parts):
     elif kind == "anti":  # long fronts
         v = rng.random((n, d))
         v[:, -1] = np.round(2 - v[:, :-1].sum(axis=1) + 0.05 * rng.random(n), 3)
+    elif kind in ("ten", "one"):  # an objective of few values before a long front
+        v = rng.random((n, d))
+        v[:, 0] = rng.integers(0, 10, n) / 10 if kind == "ten" else 0.5
+        v[:, -1] = np.round(2 - v[:, :-1].sum(axis=1) + 0.05 * rng.random(n), 3)
     else:  # one leading value holds a third of the rows
         v = rng.random((n, d))
         v[rng.random(n) < 0.35, 0] = 0.2
@@ -36,6 +41,33 @@ def test_pareto_equals_brute_force(spark, d, kind, parts):
     assert (got["pareto"].to_numpy() == ~dominated(v)).all()
 
 
+@pytest.mark.parametrize("d", [2, 3, 4, 5])
+@pytest.mark.parametrize("kinds", [3, 40, None])
+def test_skyline_equals_brute_force(d, kinds):
+    rng = np.random.default_rng(d)
+    for n in (0, 1, 2, 63, 65, 900):
+        v = rng.random((n, d)) if kinds is None else rng.integers(0, kinds, (n, d)).astype(float)
+        if kinds is None and n:
+            v[:, -1] = 2 - v[:, :-1].sum(axis=1) + 0.1 * rng.random(n)
+        assert (R._skyline(v) == ~dominated(v)).all()
+
+
+def test_strips_of_an_objective_of_ten_values_split(spark):
+    """Every group that a task compares holds about one share of the front."""
+    rng = np.random.default_rng(1)
+    v = rng.random((6000, 3))
+    v[:, 0] = rng.integers(0, 10, 6000) / 10
+    v[:, 2] = 5 - v[:, 0] - v[:, 1]  # nothing dominates anything
+    df = spark.createDataFrame(pd.DataFrame(v, columns=["a", "b", "c"])).repartition(6)
+    assert R.pareto_front(df, ["a", "b", "c"], parts=20).count() == 6000
+    ranges = value_ranges(df, ["a", "b"], 20)
+    assert ranges["a"].single and not ranges["b"].single
+    cut = add_segments(df, {c: ranges[c].cuts for c in ("a", "b")}, {"a": "ga", "b": "gb"})
+    loose = ~cut["ga"].isin(ranges["a"].single)
+    largest = [cut.filter(loose).groupBy("ga"), cut.filter(~loose).groupBy("ga", "gb"), cut.groupBy("gb")]
+    assert max(r["count"] for g in largest for r in g.count().collect()) < 2 * 6000 / 20
+
+
 def test_pareto_needs_two_objectives(spark):
     with pytest.raises(ValueError):
         R.pareto(spark.range(3), ["id"])
