@@ -34,10 +34,11 @@ TARGET_RECALL = 0.9999
 #: Hashes that a signature keeps for estimates, one byte each.
 SIGNATURE = 128
 #: A class whose estimate with every pivot is below NEAR becomes a pivot; it is
-#: tied to all pivots from TIED on. A class linked to one within NEAR of a pivot
-#: is at least 1 - 2 * (1 - 0.8) = 0.6 similar to the pivot; the rest is room
-#: for the estimates' errors.
-NEAR, TIED = 0.8, 0.5
+#: tied to all pivots from ``tied_from(threshold)`` on.
+NEAR = 0.8
+#: Room for the errors of the two estimates, in standard errors, and the least
+#: similarity that tells classes from unrelated ones.
+ERRORS, LEAST_TIED = 3, 0.1
 #: Classes of one verified block; two of them meet in a task.
 BLOCK = 512
 BROADCAST_BYTES = 32 << 20
@@ -52,6 +53,18 @@ def stop_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DE
     return 1
 
 
+def tied_from(threshold: float) -> float:
+    """The estimate from which a class is tied to a pivot. A class linked to one
+    within NEAR of a pivot is at least threshold + NEAR - 1 similar to it, as one
+    less the similarity is a metric; from that goes the room for the errors of
+    both estimates. A ValueError where no such estimate tells related classes."""
+    least = threshold + NEAR - 1
+    room = ERRORS * ((NEAR * (1 - NEAR) + least * (1 - least)) / SIGNATURE) ** 0.5
+    if least - room < LEAST_TIED:
+        raise ValueError(f"threshold {threshold} is too low for signatures of {SIGNATURE} hashes")
+    return least - room
+
+
 class Shingles(NamedTuple):
     """``hashes[offsets[i]:offsets[i + 1]]``: the distinct shingles of text i, ascending."""
 
@@ -141,10 +154,11 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
     return narrow.mapInArrow(rows, "doc_id long, row long, class binary, signature binary, keys array<long>")
 
 
-def candidate_edges(classes: DataFrame, trees: int = TREES) -> DataFrame:
+def candidate_edges(classes: DataFrame, trees: int = TREES, threshold: float = THRESHOLD) -> DataFrame:
     """(u, v): classes tied together in some bucket, by way of the pivots near
     them; everything that can be linked is connected by them."""
     n = classes.count()
+    least = tied_from(threshold)
 
     def keys(batches):
         for batch in batches:
@@ -181,7 +195,7 @@ def candidate_edges(classes: DataFrame, trees: int = TREES) -> DataFrame:
                     key, pivots, names, group = own_key, own[None], [name], np.zeros(1, np.int64)
                     continue
                 alike = (pivots == own).mean(axis=1)
-                met_groups = np.unique(group[alike >= TIED])
+                met_groups = np.unique(group[alike >= least])
                 if len(met_groups):
                     for other in [name, *[names[g] for g in met_groups[1:].tolist()]]:
                         us.append(other)
@@ -271,14 +285,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Texts without words, null ones included, are copies of one another. Rows
     equal in id and text share one ``row`` and are both marked as their group's
     first. A null id comes after all others. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. A threshold below about 0.47 is an error (``tied_from``).
     """
     length = stop_depth(threshold, trees, depth, target)
     signs = stored(signed(docs, id_col, text_col, trees, depth, length), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = stored(signs.groupBy("class").agg(first.alias("first"), F.first("signature").alias("signature"),
                                                 F.first("keys").alias("keys")), "classes")
-    tied = components(candidate_edges(classes.where(F.size("keys") > 0), trees))
+    tied = components(candidate_edges(classes.where(F.size("keys") > 0), trees, threshold))
     parts = tied.select(F.col("node").alias("class"), "root").union(tied.select(F.col("root").alias("class"), "root").distinct())
     sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     parts = parts.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
