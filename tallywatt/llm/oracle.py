@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatt.llm.quality import POLICIES, RULES
+from tallywatt.llm.quality import ENDLESS, POLICIES, RULES, UNSPACED
 
 SQL: dict[str, str] = {}
 
@@ -24,6 +24,7 @@ def _fails(policy: tuple[str, int]) -> str:
     return " OR ".join(f"({RULES[_names.index(name)].fails})" for name in POLICIES[policy])
 
 
+_unspaced = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED)
 _bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << bit} ELSE 0 END" for bit, r in enumerate(RULES))
 SQL["op5_quality_rules"] = rf"""WITH {WORDS},
 triples AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM
@@ -34,10 +35,12 @@ lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: rege
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines,
-  coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word, len(regexp_extract_all(text, '!')) AS n_exclaims
+  coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word, len(regexp_extract_all(text, '!')) AS n_exclaims,
+  coalesce(list_sum(list_transform(ws, lambda x: CASE WHEN length(x) > {ENDLESS} THEN length(x) ELSE 0 END)), 0) AS endless_chars,
+  len(regexp_extract_all(text, '[{_unspaced}]')) AS n_unspaced
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_fails(("base", 1))}) AS base_failed,
-  NOT ({_fails(("clean", 2))}) AS kept, CAST({_bits} AS BIGINT) AS failed FROM m"""
+  NOT ({_fails(("clean", 3))}) AS kept, CAST({_bits} AS BIGINT) AS failed FROM m"""
 
 SQL["op9_topk"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

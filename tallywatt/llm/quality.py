@@ -20,7 +20,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallywatt.llm.common import bounded, carried, slices, text_bytes, words_of
 
 REPEAT_WINDOW = 3
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word", "n_exclaims")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word", "n_exclaims",
+            "endless_chars", "n_unspaced")
+#: A word of more characters is endless: encoded data, no language.
+ENDLESS = 1000
 
 
 class Rule(NamedTuple):
@@ -38,6 +41,8 @@ RULES = (
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("endless_word", "longest_word > 1000"),
     Rule("shouting", "n_exclaims > n_words"),
+    Rule("long_spaced_words", "word_chars > 20 * n_words AND 10 * n_unspaced < 3 * word_chars"),
+    Rule("mostly_endless", "2 * endless_chars > word_chars AND 10 * n_unspaced < 3 * word_chars"),
 )
 #: Policies by name and version: the rules that reject a document.
 POLICIES = {
@@ -45,6 +50,9 @@ POLICIES = {
     ("clean", 1): ("few_words", "repeated_words", "many_symbols", "repeated_lines"),
     ("clean", 2): ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_words",
                    "endless_word", "shouting"),
+    # one endless word does not reject a long text, nor does a script without spaces
+    ("clean", 3): ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_spaced_words",
+                   "mostly_endless", "shouting"),
 }
 
 
@@ -118,6 +126,8 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         "word_chars": _sums(length, words.offsets),
         "n_symbols": _sums(_SYMBOL[data], bounds),
         "n_exclaims": _sums(data == 33, bounds),
+        "endless_chars": _sums(np.where(length > ENDLESS, length, 0), words.offsets),
+        "n_unspaced": _sums(_unspaced(data), bounds),
         "n_dup_lines": n_dup_lines,
         "n_repeat_words": _repeated(words.codes.astype(np.int64), words.offsets, len(sizes)),
         "n_lines": n_lines,
@@ -130,6 +140,25 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
 
+# First and last code point of the scripts that are written without
+# spaces between words: Thai and Lao, Myanmar, Khmer, kana, Han, Han of the second plane.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FFFF))
+
+
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Marks the first byte of every character of a script without spaces."""
+    marks = np.zeros(len(data), bool)
+    for lead, size in ((0xE0, 3), (0xF0, 4)):  # characters of three and of four bytes
+        at = np.flatnonzero((data >= lead) & (data < lead + (1 << 7 - size)))
+        if not len(at):
+            continue
+        point = data[at].astype(np.int64) & ((1 << 7 - size) - 1)
+        for k in range(1, size):
+            point = point << 6 | data[at + k] & 0x3F
+        marks[at] = np.any([(point >= a) & (point <= b) for a, b in UNSPACED], axis=0)
+    return marks
+
+
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
 

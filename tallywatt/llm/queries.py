@@ -55,7 +55,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = quality.ledger(documents(spark, sf_dir))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       quality.rejects(("base", 1)).alias("base_failed"), (~quality.rejects(("clean", 2))).alias("kept"),
+                       quality.rejects(("base", 1)).alias("base_failed"), (~quality.rejects(("clean", 3))).alias("kept"),
                        "failed")
 
 

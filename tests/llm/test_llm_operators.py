@@ -166,7 +166,7 @@ def test_quality(awkward, spark, sf_dir, given):
 
 def test_ablations(spark, sf_dir):
     table = quality.ledger(Q.documents(spark, sf_dir))
-    policy = ("clean", 2)
+    policy = ("clean", 3)
     rows = [r.failed for r in table.collect()]
     mask = quality.mask_of(quality.POLICIES[policy])
     names = [r.name for r in quality.RULES]
@@ -176,6 +176,22 @@ def test_ablations(spark, sf_dir):
                                                      sum(not f & mask for f in rows))
 
 
+def test_quality_keeps_long_texts_and_scripts_without_spaces(spark):
+    """One endless word in a book and texts without spaces stay; encoded data goes."""
+    words = [f"word{k}" for k in range(3000)]
+    han = [chr(0x4E00 + 7 * k) * 2 + "\u3042" * 30 for k in range(60)]
+    texts = {1: " ".join([*words, "data:" + "Q" * 5000]), 2: " ".join([*words[:100], "Q" * 5000]), 3: " ".join(han),
+             4: "".join(han * 40) + " " + " ".join(han), 5: " ".join("x" * 30 + w for w in words[:90]),
+             6: " ".join(chr(0x20000 + k) * 25 for k in range(60)), 7: " ".join(chr(0x400 + k) * 25 for k in range(60)),
+             8: " ".join(chr(0xE01 + k % 40) * 25 + f"{k}" for k in range(60)), 9: " ".join(chr(0x1F600 + k) * 25 for k in range(60))}
+    told = quality.ledger(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rows = {r.doc_id: r for r in told.withColumn("gone", quality.rejects(("clean", 3))).collect()}
+    assert {i for i, r in rows.items() if r.gone} == {2, 5, 7, 9}
+    for i, text in texts.items():
+        assert rows[i].n_unspaced == sum(any(a <= ord(c) <= b for a, b in quality.UNSPACED) for c in text)
+        assert rows[i].endless_chars == sum(len(w) for w in text.split() if len(w) > quality.ENDLESS)
+
+
 def test_quality_keeps_clean_documents(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     told = Q.op5_quality_rules(spark, sf_dir).join(labels, "doc_id").where("not base_failed")
@@ -321,6 +337,34 @@ def test_jaccard_given(spark, sf_dir, given):
          [(i, first[groups[s]], links[s]) for i, s in sets.items()])
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8])
+def test_jaccard_finds_links_at_any_threshold(spark, threshold):
+    """Chains of texts whose neighbours lie about the threshold, beside the brute version."""
+    rng = random.Random(int(100 * threshold))
+    rows = []
+    for group in range(40):
+        words = [f"g{group}w{k}" for k in range(120)]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(words)))
+            at = rng.randrange(0, 60)  # a run of new words takes away as many shingles
+            length = round(116 * (1 - threshold) / (1 + threshold)) + rng.choice((-6, -5, -4, -3, 2))
+            words = [*words[:at], *[f"g{group}n{len(rows)}x{k}" for k in range(max(1, length - 4))], *words[at + max(1, length - 4):]]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    links, root = brute.near(rows, threshold)
+    assert sum(links.values()) > 100
+    first = {}
+    for doc_id, text in rows:
+        own = brute.shingles(text)
+        head = first.setdefault(root[own], doc_id)
+        assert got[doc_id] == (head, links[own])
+
+
+def test_jaccard_refuses_thresholds_that_estimates_cannot_tell(spark):
+    with pytest.raises(ValueError):
+        jaccard.tied_from(0.3)
+
+
 def test_jaccard_awkward(awkward, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 2)
     links, groups = brute.near(pairs(awkward))
