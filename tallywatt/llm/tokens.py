@@ -1,17 +1,22 @@
-"""Token ids by a ``tokenizers`` file, one library call per distinct word.
+"""Token ids by a ``tokenizers`` file, worked out once per distinct word.
 
 For tokenizers that drop white space (as ``word_bpe_49k.json`` does): no token
 crosses ASCII white space there, so a text's ids are its words' ids in a row.
+Words of printable ASCII are lowered and cut by the file's own expression here and
+go to the library's model piece by piece; all others go through the whole library.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 
 from tallywatt.llm.common import joined, of_process, words_of
@@ -64,17 +69,68 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        kept[path] = tokenizer, Known()
+        kept[path] = tokenizer, Known(), _cut_of(tokenizer)
     return kept[path]
 
 
+def _cut_of(tokenizer):
+    """The expression that cuts lowered ASCII words into the model's pieces, or a
+    space between words; None if the file has other steps than these."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return None
+    normal, cut = (json.loads(step.__getstate__()) for step in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    # of these, only the last changes printable ASCII
+    lowers = [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    if not lowers or normal["normalizers"][1]["pattern"] != {"Regex": r"\s+"} or tokenizer.post_processor is not None:
+        return None
+    steps = cut.get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    split, to_bytes = steps
+    expression = split["pattern"].get("Regex")
+    if not expression or "(?" in expression or not (split["behavior"] == "Removed" and split["invert"]):
+        return None
+    if to_bytes["add_prefix_space"] or to_bytes["use_regex"]:
+        return None
+    return regex.compile(f"(?:{expression})|\\x20")
+
+
 def largest_id(path: str) -> int:
     return max(_tokenizer(path)[0].get_vocab().values())
 
 
-def _encode_new(tokenizer, words: list[str]) -> dict[str, bytes]:
-    """Ids of each word; words go to the library in rows, between marks whose
-    id tells them apart again."""
+def _encode_new(tokenizer, cut, words: list[str]) -> pa.Array:
+    """Ids of each word, as large binary."""
+    told = pa.array(words, pa.large_string())
+    plain = np.zeros(len(words), bool)
+    if cut is not None:
+        plain = pc.and_(pc.match_substring_regex(told, r"^[\x21-\x7e]+$"), pc.invert(pc.match_substring(told, "<|")))
+        plain = plain.to_numpy(zero_copy_only=False)
+    places = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    found = _encode_plain(tokenizer, cut, told.filter(pa.array(plain)).to_pylist())
+    other = _encode_other(tokenizer, told.filter(pa.array(~plain)).to_pylist())
+    return pa.concat_arrays([found, other]).take(pa.array(np.argsort(places)))
+
+
+def _encode_plain(tokenizer, cut, words: list[str]) -> pa.Array:
+    """Ids of lowered words of printable ASCII: distinct pieces go to the model."""
+    if not words:
+        return pa.array([], pa.large_binary())
+    coded = pa.array(cut.findall(" ".join(words)), pa.large_string()).dictionary_encode()
+    codes, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    rows = [[t.id for t in tokenizer.model.tokenize(p)] if p != " " else [] for p in pieces]
+    ends = np.cumsum([0, *map(len, rows)]) * 4
+    ids = np.fromiter(itertools.chain.from_iterable(rows), "<u4", ends[-1] // 4)
+    pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+    data, ends = joined(pool, codes)
+    space = pieces.index(" ") if len(words) > 1 else -1
+    bounds = ends[np.concatenate([[0], np.flatnonzero(codes == space), [len(codes)]])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def _encode_other(tokenizer, words: list[str]) -> pa.Array:
+    """Ids of any words; they go to the library in rows, between marks whose id
+    tells them apart again."""
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
     plain = [w for w in words if _MARK not in w] if len(mark) == 1 else []
     found = {}
@@ -92,7 +148,7 @@ def _encode_new(tokenizer, words: list[str]) -> dict[str, bytes]:
     left = [w for w in words if w not in found]
     for word, one in zip(left, tokenizer.encode_batch_fast(left, add_special_tokens=False)):
         found[word] = np.array(one.ids, "<u4").tobytes()
-    return found
+    return pa.array([found[w] for w in words], pa.large_binary())
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +172,7 @@ def encode(texts: pa.Array, path: str, remembered: int | None = None) -> Encoded
     """Ids of each text without special tokens added; null is empty. Special
     tokens' strings in a text are found as the library finds them. A text's ids
     do not depend on the texts beside it."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, cut = _tokenizer(path)
     words = words_of(texts)
     vocabulary = _lowered(words.vocabulary).to_pylist()
     hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary)), np.uint64).reshape(-1, 2)
@@ -126,8 +182,7 @@ def encode(texts: pa.Array, path: str, remembered: int | None = None) -> Encoded
     if len(new):
         first, same = _distinct(hashes[new])
         new_words = [vocabulary[k] for k in new[first].tolist()]
-        found = _encode_new(tokenizer, new_words)
-        ids = pa.array([found[w] for w in new_words], pa.large_binary())
+        ids = _encode_new(tokenizer, cut, new_words)
         place[new] = len(pool) + same
         pool = pa.concat_arrays([pool, ids])
         short = np.flatnonzero(np.fromiter(map(len, new_words), np.int64, len(new_words)) <= LONGEST)

@@ -539,3 +539,18 @@ def test_a_small_word_cache_gives_the_same_ids(monkeypatch):
     for _ in range(2):
         got = tokens.encode(texts, Q.WORD_TOKENIZER)
         assert (got.ids == want.ids).all() and (got.offsets == want.offsets).all()
+
+
+def test_ids_of_ascii_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.WORD_TOKENIZER)
+    rng = random.Random(11)
+    letters = [*map(chr, range(0x20, 0x7F)), *"'''strvemldSTL019 \t\n\x1c\x7fé"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(120))) for _ in range(3000)]
+    texts += ["", " ", "x" * 5000, "a1" * 3000, "'" * 999, "we'll've'S 'T'RE <|endoftext|>'s <|end", "\x01 'd"]
+    got = tokens.encode(pa.array(texts), Q.WORD_TOKENIZER)
+    for k, one in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert got.ids[got.offsets[k]:got.offsets[k + 1]].tolist() == one.ids
+    # a file with other steps goes through the whole library
+    assert tokens._cut_of(library) is not None and tokens._cut_of(Tokenizer.from_file(Q.BYTE_TOKENIZER)) is None
