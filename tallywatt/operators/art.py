@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, Window as W
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywatt.functions import dist
 from tallywatt.operators.anova import TABLE, Design, Fit, _row, _solved, moments, observed_levels, term_name
-from tallywatt.plans.ranks import average_ranks
-from tallywatt.session import stored
+from tallywatt.plans.segments import tied_cut_points
+from tallywatt.plans.small import checked_small
+from tallywatt.session import shuffle_partitions, stored
 
 
 SIGNIFICANT = 9  # aligned values are rounded to this many digits of the range
+ROWS_PER_RANGE = 250_000  # runs of a value range, which one task ranks at once
 
 
 def holm(df: DataFrame, p: str = "p_value", family: Sequence[str] = (), name: str = "p_holm") -> DataFrame:
@@ -64,41 +68,144 @@ def _cell_effects(runs: DataFrame, design: Design) -> tuple[np.ndarray, float]:
     return effects, found[0]["constant"]
 
 
-def _aligned(runs: DataFrame, design: Design, outcome: str, block: str,
-             targets: Mapping[str, np.ndarray]) -> DataFrame:
-    """(term, cell, block, value): for every target, what the cell's effect
-    leaves of the outcome plus the target's estimate for the cell.
+class Aligned(NamedTuple):
+    """Stored runs (cell, block, y) and what aligns them: for every target, by how
+    much the values of each cell move before they are rounded to ``1 / unit``."""
+
+    runs: DataFrame
+    names: list[str]
+    shifts: np.ndarray
+    unit: float
+
+    def values(self, y: np.ndarray, cell: np.ndarray, target) -> np.ndarray:
+        return np.rint((y + self.shifts[target, cell]) * self.unit) / self.unit
+
+    def moved(self) -> DataFrame:
+        """(cell, block, y, shifts) of the rows with an outcome."""
+        local = [(i, self.shifts[:, i].tolist()) for i in range(self.shifts.shape[1])]
+        cells = F.broadcast(self.runs.sparkSession.createDataFrame(local, "cell int, shifts array<double>"))
+        return self.runs.where("y is not null").join(cells, "cell")
+
+    def value(self, shift: Column) -> Column:
+        unit = F.lit(self.unit)
+        return (F.rint((F.col("y") + shift) * unit) / unit).alias("value")
+
+    def rows(self) -> DataFrame:
+        """(term, cell, block, value), every row once per target."""
+        names = F.array(*[F.lit(t) for t in self.names])
+        rows = self.moved().select("cell", "block", "y", F.posexplode("shifts").alias("i", "shift"))
+        return rows.select(F.get(names, F.col("i")).alias("term"), "cell", "block", self.value(F.col("shift")))
+
+
+def _aligned(runs: DataFrame, design: Design, outcome: str, block: str, targets: Mapping[str, np.ndarray]) -> Aligned:
+    """For every target, what the cell's effect leaves of the outcome plus the
+    target's estimate for the cell.
 
     ``targets`` maps a name to the matrix that turns cell effects into the
-    estimate. The cell table is solved on its own and broadcast; the rows are
-    expanded once per target and never joined again.
+    estimate. The cell table is solved on its own.
     """
     # read by several jobs: computed once
     runs = stored(runs.select(design.declared_cell().alias("cell"), F.col(block).alias("block"), F.col(outcome).cast("double").alias("y")))
     effects, constant = _cell_effects(runs, design)
     span = max(float(effects.max() - effects.min()), float(np.abs(effects + constant).max()) * 1e-6, 1e-300)
     digits = SIGNIFICANT - math.ceil(math.log10(span))
-    shifts = {name: matrix @ (effects + constant) - effects - constant for name, matrix in targets.items()}
-    local = [(i, [float(shifts[t][i]) for t in targets]) for i in range(design.cells)]
-    cells = F.broadcast(runs.sparkSession.createDataFrame(local, "cell int, shifts array<double>"))
-    names = F.array(*[F.lit(t) for t in targets])
-    rows = runs.where("y is not null").join(cells, "cell").select("cell", "block", "y", F.posexplode("shifts").alias("i", "shift"))
-    unit = F.lit(10.0 ** digits)
-    return rows.select(F.get(names, F.col("i")).alias("term"), "cell", "block",
-                       (F.rint((F.col("y") + F.col("shift")) * unit) / unit).alias("value"))
-
-
-def _rank_moments(aligned: DataFrame) -> DataFrame:
-    """(term, outcome, cell, block, n, mean, m2) of the average ranks.
-
-    Ranks are taken about their known middle, so their squares stay small
-    against each other.
+    shifts = np.array([matrix @ (effects + constant) - effects - constant for matrix in targets.values()])
+    return Aligned(runs, list(targets), shifts, 10.0 ** digits)
+
+
+def _ranges_met(aligned: Aligned, cuts: np.ndarray, y: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, range): the distinct ranges that hold a row's values of all targets."""
+    low, high = (np.searchsorted(cuts, aligned.values(y, cell, at[cell]), "right")
+                 for at in (aligned.shifts.argmin(0), aligned.shifts.argmax(0)))
+    one, more = np.flatnonzero(low == high), np.flatnonzero(low != high)
+    met = np.stack([np.searchsorted(cuts, aligned.values(y[more], cell[more], i), "right") for i in range(len(aligned.names))], 1)
+    met.sort(1)
+    first = np.ones(met.shape, bool)
+    first[:, 1:] = met[:, 1:] != met[:, :-1]
+    return np.concatenate([one, np.repeat(more, first.sum(1))]), np.concatenate([low[one], met[first]])
+
+
+def _ranked_in(aligned: Aligned, cuts: np.ndarray, at: int, table: pa.Table) -> list[tuple]:
+    """For each target, (target, key, n, s, q) of the rows of range ``at``: n, sum and
+    squares of the ranks about the range's middle, by the keys that ``table`` holds."""
+    y, cell, key, n = (table[c].to_numpy() for c in ("y", "cell", "key", "n"))
+    keys, out = int(key.max()) + 1, []
+    for i in range(len(aligned.names)):
+        value = aligned.values(y, cell, i)
+        here = value >= cuts[at - 1] if at else np.ones(len(value), bool)
+        if at < len(cuts):
+            here &= value < cuts[at]
+        here = np.flatnonzero(here)
+        if not len(here):
+            continue
+        here = here[np.argsort(value[here])]
+        value, w, k = value[here], n[here], key[here]
+        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        tied = np.add.reduceat(w, starts)
+        upto = np.cumsum(tied)
+        rank = np.repeat(upto - (tied - 1) / 2 - (upto[-1] + 1) / 2, np.diff(np.append(starts, len(value))))
+        sums = [np.bincount(k, x, keys) for x in (w, w * rank, w * rank * rank)]
+        held = np.flatnonzero(sums[0])
+        out.append((np.full(len(held), i), held, *[x[held] for x in sums]))
+    return out
+
+
+def _rank_moments(aligned: Aligned) -> DataFrame:
+    """(term, cell, block, n, mean, m2) of the average ranks of every target.
+
+    Rows are not shuffled once per target: equal rows are counted, and a row goes
+    once to each value range that holds one of its aligned values, where the
+    targets are ranked one after another. A value that fills a whole share of the
+    rows has a range of its own, whose rows are spread. Ranks are taken about their
+    known middle, so their squares stay small against each other.
     """
-    ranked = average_ranks(aligned, ["term"], ["cell", "block"])
-    r = F.col("avg_rank") - (F.col("total") + 1) / 2
-    sums = ranked.groupBy("term", "cell", "block").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * r).alias("s"), F.sum(F.col("n") * r * r).alias("q"))
-    return sums.select("term", "cell", "block", "n", (F.col("s") / F.col("n")).alias("mean"),
+    runs, spark = aligned.runs, aligned.runs.sparkSession
+    numbers = F.col("y").isNotNull() & ~F.isnan("y")
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(len(aligned.names))).cast("int")
+    # cuts only spread the work: each row tells one of its values
+    told = aligned.moved().where(numbers).select(aligned.value(F.get("shifts", turn)))
+    parts = max(shuffle_partitions(spark), -(-runs.count() // ROWS_PER_RANGE))
+    points, widths = tied_cut_points(told, "value", parts)
+    cuts, widths = np.array(points), np.array(widths)
+    plain = aligned._replace(runs=None)  # travels to the tasks
+    block = runs.schema["block"].dataType
+    counts = runs.where(numbers).groupBy("cell", "block", "y").agg(F.count(F.lit(1)).alias("n"))
+    columns = ["cell", "block", "y", "n"]
+
+    def route(batches):
+        for batch in batches:
+            y, cell, mixed = (batch.column(c).to_numpy() for c in ("y", "cell", "mixed"))
+            row, at = _ranges_met(plain, cuts, y, cell)
+            sent = batch.select(columns).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(at.astype(np.int32)), pa.array((mixed[row] % widths[at]).astype(np.int32))],
+                                             [*columns, "range", "group"])
+
+    def rank(key, table):
+        table = table.combine_chunks()
+        codes = table["block"].combine_chunks().dictionary_encode("encode")
+        cell = table["cell"].to_numpy()
+        place = codes.indices.to_numpy().astype(np.int64) * plain.shifts.shape[1] + cell
+        place, own = np.unique(place, return_inverse=True)
+        found = _ranked_in(plain, cuts, key[0].as_py(), table.append_column("key", pa.array(own)))
+        target, held, n, s, q = (np.concatenate(x) for x in zip(*found))
+        number, of = np.divmod(place[held], plain.shifts.shape[1])
+        return pa.table({"range": np.full(len(held), key[0].as_py(), np.int32), "target": target.astype(np.int32), "cell": of.astype(np.int32),
+                         "block": codes.dictionary.take(pa.array(number)), "n": n.astype(np.int64), "s": s, "q": q})
+
+    kinds = f"cell int, block {block.simpleString()}"
+    met = counts.withColumn("mixed", F.xxhash64("cell", "block")).select(*columns, "mixed").mapInArrow(
+        route, f"{kinds}, y double, n long, range int, group int")
+    local = stored(met.groupBy("range", "group").applyInArrow(rank, f"range int, target int, {kinds}, n long, s double, q double"))
+    sizes = local.groupBy("target", "range").agg(F.sum("n").alias("size"))
+    w = W.partitionBy("target")
+    before = F.coalesce(F.sum("size").over(w.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row per target and range
+    middles = checked_small(sizes.select("target", "range", (before + (F.col("size") - F.sum("size").over(w)) / 2).alias("d")))
+    d, n = F.col("d"), F.col("n")
+    sums = local.join(middles, ["target", "range"]).groupBy("target", "cell", "block").agg(
+        F.sum("n").alias("n"), F.sum(F.col("s") + n * d).alias("s"), F.sum(F.col("q") + 2 * d * F.col("s") + n * d * d).alias("q"))
+    names = F.array(*[F.lit(t) for t in aligned.names])
+    return sums.select(F.get(names, F.col("target")).alias("term"), "cell", "block", "n", (F.col("s") / F.col("n")).alias("mean"),
                        F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)).alias("m2"))
 
 
@@ -135,7 +242,7 @@ def art_alignment_check(runs: DataFrame, outcome: str = "energy_j", levels: Mapp
     design = Design.of(levels or observed_levels(runs))
     terms = {term_name(t): t for t in design.terms()}
     aligned = _aligned(runs, design, outcome, block, {name: design.effect(t) for name, t in terms.items()})
-    base = moments(design, aligned.withColumnRenamed("term", "target"), ["value"], "block", ["target"]).drop("outcome")
+    base = moments(design, aligned.rows().withColumnRenamed("term", "target"), ["value"], "block", ["target"]).drop("outcome")
 
     def rows_of(fit: Fit, keys: dict) -> list[dict]:
         own = fit.sum_sq(terms[keys["target"]])

@@ -277,3 +277,36 @@ def test_assumption_rule(spark):
     assert methods["w"] == "aligned rank transform"
     for r in got:
         assert r["rejected"] == (r["p_value"] < 0.05)
+
+
+@pytest.mark.parametrize("rows_per_range", [100, 250_000])
+def test_rank_moments_equal_brute_force(spark, monkeypatch, rows_per_range):
+    """Ties, a value that fills many ranges, a null block, values without a rank."""
+    monkeypatch.setattr(art, "ROWS_PER_RANGE", rows_per_range)
+    rng = np.random.default_rng(3)
+    y = np.where(rng.random(3000) < 0.4, 2.0, rng.integers(0, 6, 3000) + (rng.random(3000) < 0.5) * rng.random(3000))
+    blocks = [f"b{i}" if i else None for i in rng.integers(0, 40, 3000)]
+    rows = list(zip(rng.integers(0, 4, 3000).tolist(), blocks, y.tolist())) + [(0, "b1", None), (1, "b2", float("nan"))]
+    runs = spark.createDataFrame(rows, "cell int, block string, y double")
+    shifts = np.array([[0.0, 0.0, 0.0, 0.0], [0.5, -3.0, 1.25, 1e-3], [1e3, 0.0, -1e3, 0.0]])
+    got = art._rank_moments(art.Aligned(runs, ["same", "near", "far"], shifts, 1e6)).toPandas()
+    pdf = pd.DataFrame(rows[:3000], columns=["cell", "block", "y"]).assign(block=lambda d: d["block"].fillna("none"))
+    got = got.assign(block=got["block"].fillna("none")).set_index(["term", "cell", "block"])
+    assert got.index.is_unique
+    for name, shift in zip(["same", "near", "far"], shifts):
+        pdf["r"] = (np.rint((pdf["y"] + shift[pdf["cell"]]) * 1e6) / 1e6).rank() - 3001 / 2
+        want = pdf.groupby(["cell", "block"])["r"].agg(["size", "mean", lambda r: ((r - r.mean()) ** 2).sum()])
+        own = got.loc[name].reindex(want.index)
+        assert len(got.loc[name]) == len(want) and (own["n"] == want["size"]).all()
+        assert np.allclose(own["mean"], want["mean"], atol=1e-6) and np.allclose(own["m2"], want.iloc[:, 2], rtol=1e-9, atol=1e-3)
+
+
+def test_aligned_rows_are_sent_once_per_range():
+    """Not once per target, where the targets' values lie close together."""
+    shifts = np.random.default_rng(1).normal(0, 0.01, (31, 6))
+    y, cell = np.linspace(0, 100, 10_001), np.arange(10_001) % 6
+    cuts = np.arange(1.0, 100.0)
+    row, at = art._ranges_met(art.Aligned(None, [str(i) for i in range(31)], shifts, 1e9), cuts, y, cell)
+    assert len(row) < 1.1 * len(y)
+    every = {(r, int(np.searchsorted(cuts, v, "right"))) for s in shifts for r, v in enumerate(np.rint((y + s[cell]) * 1e9) / 1e9)}
+    assert set(zip(row.tolist(), at.tolist())) == every and len(row) == len(every)
