@@ -193,19 +193,21 @@ def profile_csv_copy(spark, sf_dir):
     return rounded(P.telemetry_profile(read_telemetry(spark, f"{folder}/t.parquet")))
 
 
-FILES = 2
+FILES, ROWS_PER_FILE = 2, 100_000
 
 
 def arriving(spark: SparkSession, sf_dir: str, folder: str, batches: int = 4) -> DataFrame:
     """The events as a stream of several micro-batches in time order: written in
-    that order, FILES files each, and read FILES files at a time."""
+    that order, as many files each, and that many files read at a time. A batch has
+    FILES files or more, of some ROWS_PER_FILE rows, as a file is a task's share."""
     rows = events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    cuts = rows.agg(F.percentile_approx("at", [k / batches for k in range(1, batches)])).first()[0]
+    cuts, n = rows.agg(F.percentile_approx("at", [k / batches for k in range(1, batches)]), F.count("at")).first()
+    files = max(FILES, -(-n // (batches * ROWS_PER_FILE)))
     for low, high in zip([None, *cuts], [*cuts, None]):
         after, before = (F.lit(True) if low is None else F.col("at") >= low), (F.lit(True) if high is None else F.col("at") < high)
-        rows.where(after & before).drop("at").repartition(FILES).write.mode("append").parquet(f"{folder}/events")
+        rows.where(after & before).drop("at").repartition(files).write.mode("append").parquet(f"{folder}/events")
     schema = rows.drop("at").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/events")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
 
 
 @query
