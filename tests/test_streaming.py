@@ -1,5 +1,7 @@
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallywatt.operators.telemetry import build_telemetry
@@ -143,3 +145,53 @@ def test_hot_sessions_late_rows(spark, sf_dir):
     whole = build_telemetry(samples.filter("event_id >= 300"))
     cols = [c for c in TELEMETRY_COLUMNS]
     assert as_rows(both.filter("not late"), cols) == as_rows(whole, cols)
+
+
+def test_session_history_of_many_sessions_in_one_call():
+    """Order, nulls, a null key, a late row, a session unseen for a batch, and whole numbers kept whole."""
+    class State:
+        exists, get, calls = False, None, 0
+
+        def update(self, value):
+            self.exists, self.get, self.calls = True, value, self.calls + 1
+
+    columns = ["host", ST.FREQ, *ST.READINGS, "at_us"]
+    run, state = ST.session_history(["host"], columns, [*ST.READINGS, "at_us"]), State()
+    none = lambda values: [None if pd.isna(v) else v for v in values]
+
+    def fed(rows):
+        pdf = pd.DataFrame(rows, columns=["host", "at_us", ST.FREQ, "read_bytes"])
+        for c in ST.READINGS[1:]:
+            pdf[c] = 2 ** 53 + 1 + np.arange(len(pdf))
+        out, = run((0,), iter([pdf.iloc[:1], pdf.iloc[1:]]), state)
+        return lambda host: out[out["host"].isna()] if host is None else out[out["host"] == host]
+
+    of = fed([("h", 30, np.nan, 7.0), (None, 5, np.nan, 4.0), ("h", 10, 5.0, 1.0), ("h", 20, 9.0, np.nan)])
+    h = of("h")
+    assert h["at_us"].tolist() == [10, 20, 30] and h["__index"].tolist() == [0, 1, 2] and not h["late"].any()
+    assert none(h["__prev_read_bytes"]) == [None, 1, None]
+    assert h["__prev_write_bytes"].tolist()[1:] == [2 ** 53 + 3, 2 ** 53 + 4]
+    assert h["__low"].tolist() == [5.0] * 3 and h["__high"].tolist() == [5.0, 9.0, 9.0]
+    assert none(of(None)["__low"]) == [None] == none(of(None)["__prev_read_bytes"])
+    of = fed([("h", 25, 1.0, 3.0), ("new", 1, 2.0, 2.0), ("h", 40, 6.0, 8.0)])
+    h = of("h")
+    assert h["late"].tolist() == [True, False] and h["__index"].tolist() == [3, 4] and h["__low"].tolist() == [1.0, 1.0]
+    assert none(h["__prev_read_bytes"]) == [None, 7] and none(of("new")["__index"]) == [0]
+    of = fed([(None, 6, 3.0, 1.0), ("h", 39, 1.0, 1.0)])
+    assert of(None)["__index"].tolist() == [1] and none(of(None)["__prev_read_bytes"]) == [4]
+    assert of("h")["late"].tolist() == [True] and of("h")["__index"].tolist() == [5]
+    assert state.calls == 3
+
+
+def test_arriving_files_follow_the_rows(spark, folder, sf_dir, monkeypatch):
+    """More rows, more tasks for each of the same micro-batches, and the same rows."""
+    from tallywatt.catalog import registry, telemetry_queries as Q  # noqa: F401 (registry first)
+
+    monkeypatch.setattr(Q, "ROWS_PER_FILE", 50)
+    rows = events(spark, sf_dir)
+    stream = Q.arriving(spark, sf_dir, folder)
+    files = -(-rows.count() // 200)
+    assert files > Q.FILES and len(list(Path(folder, "events").glob("*.parquet"))) == 4 * files
+    query = drain(stream, f"{folder}/out", f"{folder}/cp")
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    assert as_rows(spark.read.parquet(f"{folder}/out"), rows.columns) == as_rows(rows, rows.columns)
