@@ -554,3 +554,49 @@ def test_ids_of_ascii_words_equal_the_library():
         assert got.ids[got.offsets[k]:got.offsets[k + 1]].tolist() == one.ids
     # a file with other steps goes through the whole library
     assert tokens._cut_of(library) is not None and tokens._cut_of(Tokenizer.from_file(Q.BYTE_TOKENIZER)) is None
+
+
+def test_pieces_are_encoded_once_and_latin_words_by_the_model(monkeypatch):
+    words = ["fjord", "Señor", "ÉTÉ", "straße", "łódź", "qux"]
+    signs = ["", ",", ".", "!?", "'s", "'ll", "'ré", "7", "#*"]
+    texts = pa.array([" ".join(w + x for w in words) for x in signs])
+    home = {}
+    monkeypatch.setattr(tokens, "of_process", lambda name: home)  # a new worker
+    known = tokens._tokenizer(Q.WORD_TOKENIZER)[1]
+    by_library = []
+    other = tokens._encode_other
+    monkeypatch.setattr(tokens, "_encode_other", lambda tokenizer, names: by_library.extend(names) or other(tokenizer, names))
+    for k in range(len(signs)):
+        tokens.encode(texts.slice(k, 1), Q.WORD_TOKENIZER)
+    # 6 words and , . !? 's 'll ' ré 7 #*
+    assert len(known.h1) == len(words) + 9 and not by_library
+
+
+def test_ids_of_latin_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.WORD_TOKENIZER)
+    latin = [chr(c) for c in range(0xA0, 0x250)]
+    texts = [*latin, *[f"a{c}B" for c in latin], *[f"{c}́ x" for c in latin], *[f"1'{c}'S{c}" for c in latin]]
+    texts += [a + b for a in latin[:0x60] for b in latin[:0x60]]
+    rng = random.Random(12)
+    letters = [*map(chr, range(0x21, 0x7F)), *latin[:0xE0], *"'''stvremld \t", "́", "中", "'S", "'ré", "<|endoftext|>"]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(5000)]
+    texts += ["É" * 300 + "!", "é" * 15 + " " + "é" * 7 + "x " + "é" * 8, " ".join("a" * n for n in (7, 8, 15, 16, 17, 300))]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new, then remembered
+        got = tokens.encode(pa.array(texts), Q.WORD_TOKENIZER)
+        assert [got.ids[a:b].tolist() for a, b in zip(got.offsets[:-1], got.offsets[1:])] == want
+
+
+@pytest.mark.parametrize("largest", [0, 1, 300, 65535, (1 << 31) - 1])
+def test_distinct_terms_by_short_and_long_keys(largest):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 40, 900)
+    ids = rng.integers(0, largest + 1, sizes.sum()) // 7 * 7
+    ids[rng.integers(0, len(ids), 5)] = largest
+    want = {}
+    for doc, term in zip(np.repeat(np.arange(900), sizes).tolist(), ids.tolist()):
+        want[doc, term] = want.get((doc, term), 0) + 1
+    doc, term, tf = packing._distinct(tokens.Encoded(ids.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)])))
+    assert list(zip(doc.tolist(), term.tolist(), tf.tolist())) == [(*k, n) for k, n in sorted(want.items())]
