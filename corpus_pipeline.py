@@ -16,7 +16,7 @@ from tallywatt.llm.common import documents, stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 POLICY = ("clean", 3)
-#: Words a worker remembers; the earlier stages have left it less memory.
+#: Word pieces a worker remembers; the earlier stages have left it less memory.
 REMEMBERED = 300_000
 
 
