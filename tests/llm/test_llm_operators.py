@@ -432,6 +432,22 @@ def test_topk_awkward(spark, monkeypatch):
     same(topk.top_k(frame), ("query_id", "rank", "vec_id", "score"), brute.topk(rows))
 
 
+def test_topk_blocks_travel_by_groups(spark, monkeypatch):
+    rng = random.Random(9)
+    vectors = {16: 2000, 24: 900, 40: 60}
+    rows = [(k * 1000 + j, [rng.gauss(0, size) for _ in range(k)]) for k, n in vectors.items() for j in range(n)
+            for size in [(1, 1, 100, 1e5)[j % 4] if k == 40 else 1]]
+    rows += [rows[7], (7, rows[7][1]), (60, [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute.topk(rows, every=20)
+    # blocks that are joined with blocks travel once per pair of blocks
+    assert "Join" not in topk.top_k(frame, every=20)._jdf.queryExecution().toString()
+    for small in ({}, {"CANDIDATES": 64, "QUERIES": 3, "GROUP_BYTES": 1500, "GROUP_CANDIDATES": 500, "FIRST": 2, "WAITING": 5, "TRIED": 1}):
+        for name, value in small.items():
+            monkeypatch.setattr(topk, name, value)
+        same(topk.top_k(frame, every=20), ("query_id", "rank", "vec_id", "score"), want)
+
+
 def check_shards(rows, shards):
     for shard in range(shards):
         own = sorted(r.slot for r in rows if r.shard == shard)
