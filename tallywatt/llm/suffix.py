@@ -12,12 +12,12 @@ than one shard is merged by binary search in the shards' sorted strings.
 
 Of equal segments only the smallest document needs an answer: everywhere else
 the whole segment goes. So equal segments are combined before they travel, and
-answers go to one document each.
+answers go to one document each. A segment that is left alone on its route shares
+no string and needs no suffix array.
 """
 
 from __future__ import annotations
 
-import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -32,10 +32,15 @@ LENGTH, GRAM = 50, 20
 #: Bytes of one suffix array; a place fits 21 bits, so three numbers fit a key.
 PLACE_BITS = 21
 CAPACITY = (1 << PLACE_BITS) - 2
-#: Text that a task works on at once, and text after which it sends segments on.
-PIECE_BYTES, FLUSH_BYTES = 1 << 20, 16 << 20
+#: Text that a task works on at once (its arrays fit the processor's cache), and
+#: text after which it sends segments on.
+PIECE_BYTES, FLUSH_BYTES = 1 << 17, 16 << 20
 #: Text per shard and per bucket of documents, on average; least number of each.
-SHARD_TEXT, BUCKET_TEXT, LEAST_PARTS = 1 << 20, 8 << 20, 64
+#: A flush sends a packet to every shard and a shard to every bucket, so that the
+#: number of packets grows with the square of the text: shards are not small.
+SHARD_TEXT, BUCKET_TEXT, LEAST_PARTS = 4 << 20, 8 << 20, 64
+#: Answers that a task holds before it sends them on to the buckets.
+ANSWERED = 1 << 18
 #: A gram is hot if it leads more distinct segments than this, or than a 2^-16 of
 #: the text's bytes / 64; its strings are routed one by one, by their own hash.
 HOT_SEGMENTS, HOT_SHARE, HOT_IN_FLUSH = 4096, 1 << 22, 64
@@ -95,7 +100,7 @@ class Segments(NamedTuple):
     hash: np.ndarray
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> Segments:
+def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
@@ -117,27 +122,37 @@ def segments(data: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> Segments:
         return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     least = least[at]
     cut = np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
-    if len(hot):
-        place = np.searchsorted(hot, least)
-        cut |= hot[np.minimum(place, len(hot) - 1)] == least
     new = np.flatnonzero(cut)
     if np.diff(np.append(new, len(at))).max() > LONGEST:
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(cut, np.arange(len(at)), 0))
         new = np.flatnonzero(since % LONGEST == 0)
     first, last, route = at[new], at[np.append(new[1:], len(at)) - 1], least[new]
-    own = hashes.of(first, last + LENGTH)
-    if len(hot):
-        place = np.searchsorted(hot, route)
-        route = np.where(hot[np.minimum(place, len(hot) - 1)] == route, own, route)
-    return Segments(first, last, np.searchsorted(bounds, first, "right") - 1, route, own)
+    return Segments(first, last, np.searchsorted(bounds, first, "right") - 1, route, hashes.of(first, last + LENGTH))
+
+
+def _among(route: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(hot, route)
+    return hot[np.minimum(place, len(hot) - 1)] == route if len(hot) else np.zeros(len(route), bool)
+
+
+def singled(found: Segments, data: np.ndarray, hot: np.ndarray) -> Segments:
+    """The segments of hot grams as strings, each routed by its own hash."""
+    many = _among(found.route, hot)
+    if not many.any():
+        return found
+    size = (found.last - found.first + 1)[many]
+    start = np.repeat(found.first[many] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    own = rolling(data).of(start, start + LENGTH)
+    single = Segments(start, start, np.repeat(found.text[many], size), own, own)
+    return Segments(*(np.concatenate([a[~many], b]) for a, b in zip(found, single)))
 
 
 def _bytes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte ranges as a large binary array."""
-    size = end - start
-    ends = np.concatenate([[0], np.cumsum(size)])
-    taken = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(taken)])
+    """The byte ranges, each longer than 12 bytes, as a large binary array."""
+    views = np.zeros((len(start), 4), np.int32)  # size, first four bytes, buffer, place
+    views[:, 0], views[:, 3] = end - start, start
+    views[:, 1] = np.ascontiguousarray(data[start[:, None] + np.arange(4)]).view(np.int32).ravel()
+    return pa.Array.from_buffers(pa.binary_view(), len(start), [None, pa.py_buffer(views), pa.py_buffer(data)]).cast(pa.large_binary())
 
 
 def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +167,17 @@ class Held(NamedTuple):
 
     route: np.ndarray
     doc: np.ndarray
+    hash: np.ndarray
     bytes: pa.Array
 
 
-def distinct(route: np.ndarray, doc: np.ndarray, parts: pa.Array) -> Held:
-    h1, h2 = hashes_of(parts), hashes_of(parts, _BASE2)
+def distinct(route: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, parts: pa.Array) -> Held:
     order = np.lexsort((h2, h1, route))
     if not len(order):
-        return Held(route, doc, parts)
+        return Held(route, doc, h1, parts)
     r, a, b = route[order], h1[order], h2[order]
     new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return Held(r[new], np.minimum.reduceat(doc[order], new), parts.take(pa.array(order[new])))
+    return Held(r[new], np.minimum.reduceat(doc[order], new), a[new], parts.take(pa.array(order[new])))
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -253,10 +268,29 @@ def _shard(data: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return order, group, least, order[new]
 
 
-def removed_strings(held: Held) -> list[np.ndarray]:
-    """For each segment, which of its strings start in a smaller document too."""
+def _starts(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... size[0] of them, then those of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def removed_strings(held: Held) -> tuple[np.ndarray, np.ndarray]:
+    """(flags of the segments' strings behind one another, number of each segment's):
+    which strings start in a smaller document too."""
+    size = np.diff(_flat(held.bytes)[1]) - LENGTH + 1
+    gone = np.zeros(int(size.sum()), bool)
+    if not len(size):
+        return gone, size
+    # equal strings have one route: a segment that is alone on its own shares none
+    new = np.concatenate([[True], held.route[1:] != held.route[:-1]])
+    met = np.flatnonzero(~(new & np.append(new[1:], True)))
+    if len(met):
+        gone[_starts((np.cumsum(size) - size)[met], size[met])] = _removed(Held(*(c[met] for c in held[:3]), held.bytes.take(pa.array(met))))
+    return gone, size
+
+
+def _removed(held: Held) -> np.ndarray:
     _, ends = _flat(held.bytes)
-    out: list = [None] * len(held.doc)
+    out: list = []
     at, n = 0, len(held.doc)
     while at < n:
         # whole routes as long as they fit; a larger route takes several shards
@@ -267,19 +301,19 @@ def removed_strings(held: Held) -> list[np.ndarray]:
                 to = begin
             else:
                 to = int(np.searchsorted(held.route, held.route[to], "right"))
-        _fill(out, held, at, to)
+        out += _filled(held, at, to)
         at = to
-    return out
+    return np.concatenate(out)
 
 
-def _fill(out: list, held: Held, at: int, to: int) -> None:
+def _filled(held: Held, at: int, to: int) -> list[np.ndarray]:
     shards = []
     while at < to:
         _, ends = _flat(held.bytes.slice(at, to - at))
         stop = at + max(1, int(np.searchsorted(ends, CAPACITY, "right")) - 1)
         shards.append((at, min(stop, to)))
         at = shards[-1][1]
-    found = []
+    found, out = [], []
     for a, b in shards:
         data, ends = _flat(held.bytes.slice(a, b - a))
         found.append((data, ends, *_shard(data, ends, held.doc[a:b])))
@@ -289,8 +323,8 @@ def _fill(out: list, held: Held, at: int, to: int) -> None:
         size = np.diff(ends)
         gone = np.zeros(int(ends[-1]), bool)
         gone[order] = least[group] < np.repeat(held.doc[a:b], size)[order]
-        for k in range(b - a):
-            out[a + k] = gone[ends[k]:ends[k + 1] - LENGTH + 1]
+        out.append(gone[_starts(ends[:-1], size - LENGTH + 1)])
+    return out
 
 
 def _merge(found: list[tuple]) -> list[tuple]:
@@ -313,11 +347,12 @@ def _merge(found: list[tuple]) -> list[tuple]:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], "<i8")
-    return zlib.compress(b"".join([sizes.tobytes(), *[a.tobytes() for a in arrays]]), 1)
+    raw = b"".join([sizes.tobytes(), *[a.tobytes() for a in arrays]])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zlib.decompress(blob)
+    raw = pa.Codec("zstd").decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     sizes = np.frombuffer(raw, "<i8", len(kinds))
     ends = np.cumsum(sizes) + 8 * len(kinds)
     return [np.frombuffer(raw[e - s:e], kind) for s, e, kind in zip(sizes.tolist(), ends.tolist(), kinds)]
@@ -341,7 +376,6 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(LEAST_PARTS, -(-size // SHARD_TEXT))
     n_buckets = max(LEAST_PARTS, -(-size // BUCKET_TEXT))
-    no_hot = np.zeros(0, np.uint64)
 
     def pieces(batches):
         for batch in slices(batches, "text", PIECE_BYTES):
@@ -349,7 +383,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def grams(batches):
         for _, ids, data, bounds in pieces(batches):
-            found = segments(data, bounds, no_hot)
+            found = segments(data, bounds)
             order = np.lexsort((ids[found.text], found.route))
             route, doc = found.route[order], ids[found.text][order]
             route = route[np.concatenate([np.ones(min(1, len(route)), bool), (route[1:] != route[:-1]) | (doc[1:] != doc[:-1])])]
@@ -358,38 +392,25 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # a gram leads about every 16th byte; eight cells each
     grams_seen = spark.sparkContext.broadcast(tuple(repeated_cells(narrow, grams, cell_bits(size // 8))))
 
-    def meeting(data, bounds, hot):
+    def meeting(data, bounds):
         """Segments whose gram is estimated to be in two documents."""
-        found = segments(data, bounds, no_hot)
+        found = segments(data, bounds)
         left = Sketch(*grams_seen.value).repeated(found.route, found.route)
-        if not len(hot):
-            return Segments(*(c[left] for c in found))
-        # the estimate goes by the gram, the route of a hot gram's strings does not
-        single = segments(data, bounds, hot)
-        of = np.searchsorted(found.first, single.first, "right") - 1
-        kept = np.zeros(len(found.first), bool)
-        kept[left] = True
-        return Segments(*(c[kept[of]] for c in single))
-
-    def flushes(batches, hot):
-        """(route, doc, bytes) of a share of the text at a time, combined."""
+        return Segments(*(c[left] for c in found))
+
+    heavy = pa.schema([("route", pa.int64()), ("n", pa.int64())])
+
+    def heavy_grams(batches):
         held, count = [], 0
-        for _, ids, data, bounds in pieces(batches):
-            found = meeting(data, bounds, hot)
-            held.append((found.route, ids[found.text], _bytes_of(data, found.first, found.last + LENGTH)))
+        for _, _, data, bounds in pieces(batches):
+            found = meeting(data, bounds)
+            held.append((found.route, found.hash))
             count += len(data)
             if count >= FLUSH_BYTES:
-                yield _together(held)
+                yield batch_of(heavy, *_heavy(held))
                 held, count = [], 0
         if held:
-            yield _together(held)
-
-    heavy = pa.schema([("route", pa.int64()), ("n", pa.int64())])
-
-    def heavy_grams(batches):
-        for found in flushes(batches, no_hot):
-            route, n = np.unique(found.route, return_counts=True)
-            yield batch_of(heavy, route[n >= HOT_IN_FLUSH].view(np.int64), n[n >= HOT_IN_FLUSH])
+            yield batch_of(heavy, *_heavy(held))
 
     limit = max(HOT_SEGMENTS, size // HOT_SHARE)
     hot = (narrow.mapInArrow(heavy_grams, "route long, n long").groupBy("route").agg(F.sum("n").alias("n"))
@@ -398,37 +419,56 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     packed = pa.schema([("shard", pa.int64()), ("blob", pa.binary())])
 
+    def flushes(batches):
+        """Segments of a share of the text at a time, combined."""
+        held, count = [], 0
+        for _, ids, data, bounds in pieces(batches):
+            found = singled(meeting(data, bounds), data, hot.value)
+            end = found.last + LENGTH
+            held.append((found.route, ids[found.text], found.hash, rolling(data, _BASE2).of(found.first, end), _bytes_of(data, found.first, end)))
+            count += len(data)
+            if count >= FLUSH_BYTES:
+                yield _together(held)
+                held, count = [], 0
+        if held:
+            yield _together(held)
+
     def sent(batches):
-        for found in flushes(batches, hot.value):
+        for found in flushes(batches):
             shard = (found.route % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard = shard[order]
-            cut = np.searchsorted(shard, np.arange(n_shards + 1))
-            told, blobs = [], []
-            for s in np.unique(shard).tolist():
-                own = order[cut[s]:cut[s + 1]]
-                data, ends = _flat(found.bytes.take(pa.array(own)))
-                told.append(s)
-                blobs.append(_pack(found.route[own], found.doc[own], np.diff(ends).astype("<u4"), data))
+            parts, route, doc = found.bytes.take(pa.array(order)), found.route[order], found.doc[order]
+            data, ends = _flat(parts)
+            cut = np.flatnonzero(np.diff(shard, prepend=-1))
+            told, blobs = shard[cut].tolist(), []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)]):
+                blobs.append(_pack(route[a:b], doc[a:b], np.diff(ends[a:b + 1]).astype("<u4"), data[ends[a]:ends[b]]))
             yield batch_of(packed, told, blobs)
 
     answer = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()),
                         ("blob", pa.binary())])
 
     def answered(batches):
-        shard, held = None, []
+        shard, held, told, count = None, [], [], 0
         for batch in batches:
             for own, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist()):
                 if own != shard:
                     if held:
-                        yield _answers(_together(held), n_buckets, answer)
+                        told.append(_answers(_together(held)))
+                        count += len(told[-1].doc)
+                        if count >= ANSWERED:
+                            yield _by_bucket(told, n_buckets, answer)
+                            told, count = [], 0
                     shard, held = own, []
                 route, doc, sizes, data = _unpack(blob, "<u8", "<i8", "<u4", "u1")
                 ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                held.append((route, doc, pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])))
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                held.append((route, doc, hashes_of(parts), hashes_of(parts, _BASE2), parts))
         if held:
-            yield _answers(_together(held), n_buckets, answer)
+            told.append(_answers(_together(held)))
+        if told:
+            yield _by_bucket(told, n_buckets, answer)
 
     answers = (narrow.mapInArrow(sent, "shard long, blob binary").repartition(F.col("shard")).sortWithinPartitions("shard")
                .mapInArrow(answered, "bucket long, kind int, doc_id long, text string, blob binary"))
@@ -458,38 +498,60 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     continue
                 table = table or _table(keys, masks)
                 for piece, ids, data, bounds in pieces([part]):
-                    yield _reduced(piece, ids, data, bounds, meeting(data, bounds, hot.value), table, result)
+                    yield _reduced(piece, ids, data, bounds, singled(meeting(data, bounds), data, hot.value), table, result)
 
     return met.mapInArrow(reduced, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _together(held: list[tuple]) -> Held:
-    route, doc, parts = zip(*held)
-    return distinct(np.concatenate(route), np.concatenate(doc), pa.concat_arrays(parts))
-
-
-def _answers(held: Held, n_buckets: int, schema: pa.Schema) -> pa.RecordBatch:
-    """For each bucket of documents, the segments that lose less than everything
-    in their smallest document: key, whether they lose nothing, and else the
-    number and the bits of their strings."""
-    gone = removed_strings(held)
-    key = _answer_key(held.doc, hashes_of(held.bytes))
-    lost = np.array([g.all() for g in gone], bool)
-    whole = np.array([not g.any() for g in gone], bool)
-    bucket = held.doc % n_buckets
-    order = np.argsort(bucket, kind="stable")
-    order = order[~lost[order]]
-    cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    told, blobs = [], []
-    for b in np.unique(bucket[order]).tolist():
-        own = order[cut[b]:cut[b + 1]]
-        own = own[np.argsort(key[own])]
-        partly = [gone[i] for i in own[~whole[own]].tolist()]
-        bits = np.concatenate(partly) if partly else np.zeros(0, bool)
-        told.append(b)
-        blobs.append(_pack(key[own], whole[own], np.array([len(p) for p in partly], "<u4"), np.packbits(bits)))
-    n = len(told)
-    return batch_of(schema, told, [0] * n, [None] * n, [None] * n, blobs)
+    *numbers, parts = zip(*held)
+    return distinct(*(np.concatenate(c) for c in numbers), pa.concat_arrays(parts))
+
+
+def _heavy(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that lead many distinct segments, how many."""
+    route, own = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((own, route))
+    route, own = route[order], own[order]
+    if len(route):
+        route = route[np.concatenate([[True], (route[1:] != route[:-1]) | (own[1:] != own[:-1])])]
+    route, n = np.unique(route, return_counts=True)
+    return route[n >= HOT_IN_FLUSH].view(np.int64), n[n >= HOT_IN_FLUSH]
+
+
+class Answers(NamedTuple):
+    """Of segments that lose less than everything in their smallest document: key,
+    number of their strings or 0 if they lose nothing, and the bits of the strings."""
+
+    doc: np.ndarray
+    key: np.ndarray
+    size: np.ndarray
+    bits: np.ndarray
+
+
+def _answers(held: Held) -> Answers:
+    gone, size = removed_strings(held)
+    end = np.cumsum(size)
+    before = np.concatenate([[0], np.cumsum(gone)])
+    lost = before[end] - before[end - size]
+    told = np.flatnonzero(lost < size)
+    partly = np.where(lost > 0, size, 0)[told]
+    return Answers(held.doc[told], _answer_key(held.doc, held.hash)[told], partly, gone[_starts((end - size)[told], partly)])
+
+
+def _by_bucket(told: list[Answers], n_buckets: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The answers in one packet for each bucket of documents."""
+    doc, key, size, bits = (np.concatenate(c) for c in zip(*told))
+    bucket = doc % n_buckets
+    order = np.lexsort((key, bucket))
+    bits = bits[_starts((np.cumsum(size) - size)[order], size[order])]
+    bucket, key, size = bucket[order], key[order], size[order]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blobs = [_pack(key[a:b], size[a:b] == 0, size[a:b][size[a:b] > 0].astype("<u4"), np.packbits(bits[ends[a]:ends[b]]))
+             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
+    n = len(blobs)
+    return batch_of(schema, bucket[cut], [0] * n, [None] * n, [None] * n, blobs)
 
 
 def _table(keys: list[tuple], masks: list[np.ndarray]) -> tuple[np.ndarray, ...]:

@@ -140,6 +140,52 @@ def test_suffix_small_shards_and_hot_grams(awkward, monkeypatch):
     same(digest(suffix.remove_earlier_strings(awkward)), SUF, want)
 
 
+def held_of(rows):
+    route, doc, texts = zip(*sorted(rows))
+    parts = pa.array(texts, pa.large_binary())
+    h1, h2 = suffix.hashes_of(parts), suffix.hashes_of(parts, suffix._BASE2)
+    return suffix.distinct(np.array(route, np.uint64), np.array(doc), h1, h2, parts)
+
+
+def test_suffix_arrays_only_where_segments_meet(monkeypatch):
+    rng = random.Random(5)
+    alone = [(10 + k, k, rng.randbytes(60 + k)) for k in range(40)]
+    common, other = rng.randbytes(70), rng.randbytes(70)
+    met = [(5, 3, b"a" + common), (5, 1, common + b"b"), (6, 9, other[:64]), (6, 9, other[1:66])]
+    sizes, sort = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda data: sizes.append(len(data)) or sort(data))
+    held = held_of(alone + met + met)
+    gone, size = suffix.removed_strings(held)
+    assert sum(sizes) == sum(len(t) for _, _, t in met)
+    flags = np.split(gone, np.cumsum(size)[:-1])
+    want = {(5, 3): [False] + [True] * 21, (5, 1): [False] * 22}
+    for route, doc, own in zip(held.route.tolist(), held.doc.tolist(), flags):
+        assert own.tolist() == want.get((route, doc), [False] * len(own))
+
+
+def test_suffix_answers_travel_in_one_packet_a_bucket():
+    rng = random.Random(6)
+    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("blob", pa.binary())])
+    common = [rng.randbytes(60) for _ in range(30)]
+    shards = [held_of([(k, k % 7, c) for k, c in enumerate(common[s::3])] + [(k, 9 + k % 7, rng.randbytes(9) + c) for k, c in enumerate(common[s::3])])
+              for s in range(3)]
+    told = [suffix._answers(h) for h in shards]
+    packets = suffix._by_bucket(told, 4, schema)
+    assert packets.column("bucket").to_pylist() == [0, 1, 2, 3]  # not one a shard and bucket
+    got = {}
+    for bucket, blob in zip(packets.column("bucket").to_pylist(), packets.column("blob").to_pylist()):
+        key, whole, counts, bits = suffix._unpack(blob, "<u8", "?", "<u4", "u1")
+        bits = np.split(np.unpackbits(bits, count=int(counts.sum())).astype(bool), np.cumsum(counts)[:-1])
+        got |= {(bucket, k): None if w else bits.pop(0).tolist() for k, w in zip(key.tolist(), whole.tolist())}
+    want = {}
+    for held in shards:
+        gone, size = suffix.removed_strings(held)
+        for doc, key, own in zip(held.doc.tolist(), suffix._answer_key(held.doc, held.hash).tolist(), np.split(gone, np.cumsum(size)[:-1])):
+            if not own.all():
+                want[doc % 4, key] = own.tolist() if own.any() else None
+    assert got == want and any(want.values()) and None in want.values()
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "abc\x00", "abcdefghijklmnop"])
 def test_suffix_array_and_prefixes(letters):
     rng = random.Random(len(letters))
