@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywatt.llm.common import _give_back as give_back
 from tallywatt.llm.common import batch_of, bounded, inverse_powers, powers, slices, text_bytes
 from tallywatt.llm.sketch import Sketch, cell_bits, repeated_cells
 
@@ -32,13 +33,13 @@ LENGTH, GRAM = 50, 20
 #: Bytes of one suffix array; a place fits 21 bits, so three numbers fit a key.
 PLACE_BITS = 21
 CAPACITY = (1 << PLACE_BITS) - 2
-#: Text that a task works on at once (its arrays fit the processor's cache), and
-#: text after which it sends segments on.
-PIECE_BYTES, FLUSH_BYTES = 1 << 17, 16 << 20
+#: Text that a task works on at once (its arrays fit the processor's cache), text
+#: after which it sends segments on, and over which it counts those of a gram.
+PIECE_BYTES, FLUSH_BYTES, COUNTED_BYTES = 1 << 17, 8 << 20, 16 << 20
 #: Text per shard and per bucket of documents, on average; least number of each.
 #: A flush sends a packet to every shard and a shard to every bucket, so that the
 #: number of packets grows with the square of the text: shards are not small.
-SHARD_TEXT, BUCKET_TEXT, LEAST_PARTS = 4 << 20, 8 << 20, 64
+SHARD_TEXT, BUCKET_TEXT, LEAST_PARTS = 8 << 20, 8 << 20, 64
 #: Answers that a task holds before it sends them on to the buckets.
 ANSWERED = 1 << 18
 #: A gram is hot if it leads more distinct segments than this, or than a 2^-16 of
@@ -163,7 +164,7 @@ def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Held(NamedTuple):
-    """Distinct segments by (route, hashes), each with its smallest document."""
+    """Distinct segments by (shard, route, hashes), each with its smallest document."""
 
     route: np.ndarray
     doc: np.ndarray
@@ -171,8 +172,8 @@ class Held(NamedTuple):
     bytes: pa.Array
 
 
-def distinct(route: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, parts: pa.Array) -> Held:
-    order = np.lexsort((h2, h1, route))
+def distinct(route: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, parts: pa.Array, n_shards: int = 1) -> Held:
+    order = np.lexsort((h2, h1, route, route % np.uint64(n_shards)))
     if not len(order):
         return Held(route, doc, h1, parts)
     r, a, b = route[order], h1[order], h2[order]
@@ -406,7 +407,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             found = meeting(data, bounds)
             held.append((found.route, found.hash))
             count += len(data)
-            if count >= FLUSH_BYTES:
+            if count >= COUNTED_BYTES:
                 yield batch_of(heavy, *_heavy(held))
                 held, count = [], 0
         if held:
@@ -428,23 +429,20 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             held.append((found.route, ids[found.text], found.hash, rolling(data, _BASE2).of(found.first, end), _bytes_of(data, found.first, end)))
             count += len(data)
             if count >= FLUSH_BYTES:
-                yield _together(held)
-                held, count = [], 0
+                yield _together(held, n_shards)
+                count = 0
+                give_back()
         if held:
-            yield _together(held)
+            yield _together(held, n_shards)
 
     def sent(batches):
         for found in flushes(batches):
             shard = (found.route % np.uint64(n_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shard = shard[order]
-            parts, route, doc = found.bytes.take(pa.array(order)), found.route[order], found.doc[order]
-            data, ends = _flat(parts)
+            data, ends = _flat(found.bytes)
             cut = np.flatnonzero(np.diff(shard, prepend=-1))
-            told, blobs = shard[cut].tolist(), []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)]):
-                blobs.append(_pack(route[a:b], doc[a:b], np.diff(ends[a:b + 1]).astype("<u4"), data[ends[a]:ends[b]]))
-            yield batch_of(packed, told, blobs)
+            blobs = [_pack(found.route[a:b], found.doc[a:b], np.diff(ends[a:b + 1]).astype("<u4"), data[ends[a]:ends[b]])
+                     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)])]
+            yield batch_of(packed, shard[cut], blobs)
 
     answer = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()),
                         ("blob", pa.binary())])
@@ -460,7 +458,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
                         if count >= ANSWERED:
                             yield _by_bucket(told, n_buckets, answer)
                             told, count = [], 0
-                    shard, held = own, []
+                    shard = own
                 route, doc, sizes, data = _unpack(blob, "<u8", "<i8", "<u4", "u1")
                 ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
@@ -469,6 +467,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             told.append(_answers(_together(held)))
         if told:
             yield _by_bucket(told, n_buckets, answer)
+        give_back()
 
     answers = (narrow.mapInArrow(sent, "shard long, blob binary").repartition(F.col("shard")).sortWithinPartitions("shard")
                .mapInArrow(answered, "bucket long, kind int, doc_id long, text string, blob binary"))
@@ -488,6 +487,7 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             cut = np.flatnonzero(np.concatenate([[True], (buckets[1:] != buckets[:-1]) | (kinds[1:] != kinds[:-1])]))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(buckets)]):
                 if buckets[a] != at:
+                    give_back()
                     at, keys, masks, table = buckets[a], [], [], None
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
@@ -503,9 +503,11 @@ def remove_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return met.mapInArrow(reduced, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _together(held: list[tuple]) -> Held:
-    *numbers, parts = zip(*held)
-    return distinct(*(np.concatenate(c) for c in numbers), pa.concat_arrays(parts))
+def _together(held: list[tuple], n_shards: int = 1) -> Held:
+    """What is held as one; the list is empty then."""
+    *numbers, parts = (np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*held))
+    held.clear()
+    return distinct(*numbers, parts, n_shards)
 
 
 def _heavy(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
